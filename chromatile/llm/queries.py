@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, warc
+from . import exact_dedup, mixing, packing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +23,25 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over all documents: sequences of at most 1024 ids."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10 over all pages."""
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op5_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
