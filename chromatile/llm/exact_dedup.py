@@ -65,7 +65,8 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = flagged.filter(~F.col("_maybe")).select(*out(F.col("_id"), F.lit(1), F.lit(True)))
     repeated = flagged.filter("_maybe").select("_id", "_sha", "_row")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
-    groups = repeated.groupBy("_sha").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    # As a table of its own, the groups get an exchange of their own, so that a skewed join is split.
+    groups = materialise(repeated.groupBy("_sha").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first")), "groups")
     return rest.unionByName(repeated.join(groups, "_sha").select(*out(F.col("_first.id"), F.col("_n"), F.col("_row") == F.col("_first.row"))))
 
 
