@@ -84,7 +84,7 @@ def _cut(queue: DataFrame, budget: float, bins: int = 4096, small: int = 20_000)
     return within if last is None else within | (F.struct(*QUEUE) <= F.struct(*[F.lit(x).alias(c) for c, x in zip(QUEUE, last, strict=True)]))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, rows_per_bucket: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, rows_per_bucket: int = 5_000) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, copies and taken (words with repeats).
 
     A null text has size 0; a null source is a source of its own, ranked last. Documents of size 0
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     slim = docs.select(F.col(id_col).alias("_key"), F.col(source_col).isNull().alias("_none"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"), word_count(F.col(text_col)).alias("_size"), _order("_place", id_col, seed))
     slim = materialise(slim, "sizes")
-    buckets = max(64, power_of_two(slim.count() / rows_per_bucket))
+    buckets = max(1024, power_of_two(slim.count() / rows_per_bucket))
     sources = materialise(source_targets(slim, share, epochs, weights), "sources")
     slim = slim.withColumn("_bucket", F.floor(F.col("_place") / (2.0**60 / buckets)))
     placed = running_sum(slim, ["_none", "_source"], "_bucket", ["_place", "_key", "_size"], F.col("_size"), "_end").join(sources, ["_none", "_source"])
