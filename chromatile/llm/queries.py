@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, secrets, warc
+from . import exact_dedup, language_id, mixing, ngram_join, packing, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over all documents."""
+    return ngram_join.find_groups(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The vocabulary file that the queries use."""
     import public_tokenizers
@@ -54,8 +59,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op5_packing, op6_secrets, op7_language_id, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op5_packing, op6_secrets, op7_language_id, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_mixing": mixing.OP2_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_ngram_join": ngram_join.OP3_SQL}
