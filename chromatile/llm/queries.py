@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, secrets, warc
+from . import exact_dedup, language_id, mixing, neighbours, ngram_join, packing, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,13 +53,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8: every twentieth embedding against all embeddings."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10 over all pages."""
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op5_packing, op6_secrets, op7_language_id, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op5_packing, op6_secrets, op7_language_id, op8_nearest_neighbours, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
