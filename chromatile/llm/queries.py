@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, neighbours, ngram_join, packing, secrets, warc
+from . import exact_dedup, language_id, mixing, neighbours, ngram_join, packing, quality, secrets, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over all documents: counts, then the counts after masking all runs of three digits or more."""
+    docs = _table(spark, sf_dir, "documents")
+    trees = token_counts.build_trees(docs, tokenizer_path()).withColumnRenamed("n_tokens", "n_tokens_before")
+    edited = token_counts.pattern_edits(trees, "[0-9]{3,}", "000")
+    after = token_counts.apply_edits(edited.withColumn("doc_id", F.struct("doc_id", "n_tokens_before")), tokenizer_path())
+    return after.select("doc_id.*", F.col("n_tokens").alias("n_tokens_after"), "n_edits", "n_chars_encoded")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5 over all documents: sequences of at most 1024 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -58,13 +67,19 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10 over all pages."""
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op5_packing, op6_secrets, op7_language_id, op8_nearest_neighbours, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op4_token_counts, op5_packing, op6_secrets, op7_language_id, op8_nearest_neighbours, op9_quality, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
