@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chromatile.llm import exact_dedup, mixing
+from chromatile.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from chromatile.llm._common import materialise
+from chromatile.llm.queries import tokenizer_path
+
+
+def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found; null texts and texts without a letter go."""
+    found = language_id.identify(docs, language_id.train(docs), lang_col="_lang", score_col="_score")
+    return found.filter(F.col("_lang") != language_id.UNKNOWN).select(*docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,12 +21,28 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_copies(docs)
 
 
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return ngram_join.drop_near_copies(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
     return mixing.mixed(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup_stage), ("mixing", mixing_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of at most 1024 ids."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", language_id_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("ngram_join", ngram_join_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
 #: Language ID and packing cannot be written in SQL.
 ORACLE_SQL = None
