@@ -5,9 +5,9 @@ similar enough share a shingle among the first ``n - ceil(t * n) + 1`` of either
 to all sets (prefix filter). Here frequent shingles come last, so passages that many documents share
 rarely lead two classes into one tile. A tile holds the classes of one size band (and of the next)
 that share such a shingle; in it, the bit counts of the signatures bound the overlap from above, and
-pairs that may pass are decided by intersecting their sorted arrays. Before that, each class is
-compared with the class that it shares most tiles with, and tiles then compare only what is not yet
-connected: a large group of near copies needs few of its pairs.
+pairs that may pass are decided by intersecting their sorted arrays. A class first decides its
+closest partners; classes that have more come again, in tiles that compare only what is not yet
+connected, until nothing is left: a large group of near copies needs few of its pairs.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ from ._common import materialise
 WORDS = 5
 SIMILARITY = 75  # percent
 #: Counters by which frequent shingles are told; a fixed size, whatever the input.
-COUNTERS = 1 << 20
-_COUNTERS_PER_ROW = 1 << 12
+COUNTERS = 1 << 22
+_COUNTERS_PER_ROW = 1 << 14
+_COUNTER = np.uint64(42)  # a counter's number is the top bits of a hash
+#: Parts of a set by which places of shingles are told.
+PARTS = 56
 #: Text that is hashed at once.
 SLICE_BYTES = 1 << 21
 
@@ -142,32 +145,34 @@ def describe(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) ->
             sets = list(shingle_sets(part.column(1), words))
             together = np.concatenate(sets)
             if len(together):
-                counts += np.bincount((together >> _U(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                at, n = np.unique(together >> _COUNTER, return_counts=True)
+                counts[at] += n.astype(np.uint32)
             none = len(sets)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
         blocks = counts.reshape(-1, _COUNTERS_PER_ROW)
         some = np.flatnonzero(blocks.any(axis=1))
         for at in range(0, len(some), 64):
             own = some[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), kind), *(pa.nulls(len(own), t) for t in (pa.int64(), pa.int64(), pa.binary())), pa.array(own, pa.int32()), pa.array([blocks[b].tobytes() for b in own], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), kind), *(pa.nulls(len(own), t) for t in (pa.int64(), pa.int64(), pa.binary())), pa.array(own, pa.int32()), pa.array([zlib.compress(np.minimum(blocks[b], 65_535).astype(np.uint16).tobytes(), 1) for b in own], pa.binary())], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"_id {kind}, _key long, _n long, _bits binary, _block int, _counts binary")
 
 
-def frequent(described: DataFrame, times: float = 4.0, least: int = 50) -> bytes:
-    """The counters that are over ``times`` their mean plus ``least``, as bits (compressed; a fixed size).
+def frequent(described: DataFrame, deviations: float = 6.0, least: int = 20) -> bytes:
+    """The counters that are over what rare shingles alone would make of them, as bits (compressed; a fixed size).
 
-    Counters are added up where they are; what reaches the driver is a bit for each.
+    The limit is the mean, ``deviations`` times its square root and ``least``. Counters are added up
+    where they are; what reaches the driver is a bit for each.
     """
-    total = described.agg(F.sum("_n")).first()[0] or 0
-    limit = times * total / COUNTERS + least
+    mean = (described.agg(F.sum("_n")).first()[0] or 0) / COUNTERS
+    limit = mean + deviations * mean**0.5 + least
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                new = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
+                new = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint16).astype(np.int64)
                 sums[block] = sums[block] + new if block in sums else new
         found = {b: np.packbits(c > limit).tobytes() for b, c in sums.items() if (c > limit).any()}
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.binary())], ["block", "bits"])
@@ -180,9 +185,9 @@ def frequent(described: DataFrame, times: float = 4.0, least: int = 50) -> bytes
 
 
 def prefixes(docs: DataFrame, text_col: str, often: bytes, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """(_key, _n, _token) for the prefix of each document's set: rare shingles by hash, then frequent ones.
+    """(_key, _n, _token, _at) for the prefix of each document's set: rare shingles by hash, then frequent ones.
 
-    A set that comes again in a task is left out there.
+    _at is the place of the shingle in that order, in ``PARTS`` parts of the set's size. A set that comes again in a task is left out there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +200,7 @@ def prefixes(docs: DataFrame, text_col: str, often: bytes, words: int = WORDS, p
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(key)
-                last = late[(s >> _U(44)).astype(np.int64)]
+                last = late[(s >> _COUNTER).astype(np.int64)]
                 length = len(s) + (-percent * len(s)) // 100 + 1
                 keys.append(key)
                 sizes.append(len(s))
@@ -206,7 +211,7 @@ def prefixes(docs: DataFrame, text_col: str, often: bytes, words: int = WORDS, p
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists], ["_key", "_n", "_tokens"])
 
     found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "_key long, _n long, _tokens array<long>")
-    return found.select("_key", "_n", F.explode("_tokens").alias("_token"))
+    return found.select("_key", "_n", F.posexplode("_tokens").alias("_place", "_token")).select("_key", "_n", "_token", F.floor(F.col("_place") * PARTS / F.col("_n")).cast("int").alias("_at"))
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
@@ -214,9 +219,10 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def groups(tokens: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """(_group, _key, _n): classes that share a prefix shingle with another of a fitting size.
+    """(_group, _key, _n, _at): classes that share a prefix shingle with another of a fitting size.
 
-    Shingles that lead the same classes together make one group, named by a hash of its members.
+    Shingles that lead the same classes together make one group, named by a hash of its members;
+    _at is then the first place.
     """
     by = Window.partitionBy("_token").orderBy("_n", "_key")
     once = tokens.withColumn("_last", F.lag("_key").over(by)).filter("_last IS NULL OR _last != _key")
@@ -224,98 +230,96 @@ def groups(tokens: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     near = near.filter(_fits(F.col("_below"), F.col("_n"), percent) | _fits(F.col("_above"), F.col("_n"), percent))
     whole = Window.partitionBy("_token")
     named = near.withColumn("_group", F.xxhash64(F.bit_xor(F.xxhash64("_key")).over(whole), F.count(F.lit(1)).over(whole)))
-    return named.select("_group", "_key", "_n").distinct()
-
-
-def best_partners(members: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """(_x, _y): for each class, of the smallest classes of its groups the one that it meets most often."""
-    banded = members.withColumn("_band", _band(F.col("_n"), percent))
-    heads = banded.groupBy("_group", "_band").agg(F.min(F.struct("_n", "_key")).alias("_head"))
-    met = banded.join(heads, ["_group", "_band"]).filter((F.col("_key") != F.col("_head._key")) & _fits(F.col("_n"), F.col("_head._n"), percent))
-    votes = met.groupBy(F.col("_key").alias("_x"), F.col("_head._key").alias("_y")).agg(F.count(F.lit(1)).alias("_times"))
-    return votes.groupBy("_x").agg(F.max(F.struct("_times", "_y"))["_y"].alias("_y"))
+    return named.groupBy("_group", "_key").agg(F.first("_n").alias("_n"), F.min("_at").alias("_at"))
 
 
 def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(100.0 / percent)) + 1e-9)
 
 
-def tile_pairs(members: DataFrame, percent: int = SIMILARITY, rows_per_block: int = 512) -> DataFrame:
-    """(_x, _y), distinct: pairs of a tile not yet connected whose signatures leave a link possible.
+def tile_pairs(members: DataFrame, percent: int = SIMILARITY, most: int | None = None, rows_per_block: int = 512) -> DataFrame:
+    """(_x, _y, _differ, _more): partners not yet connected whose signatures leave a link possible.
 
-    members: _group, _key, _n, _bits, _part (what is connected has the same). Tiles are dealt by
-    group, size band and, for large groups, pairs of blocks of about ``rows_per_block`` members.
+    Of the shingles that two sets share, the first one must come early enough in both to leave room
+    for the overlap that a link needs; in other tiles the two are not compared.
+    members: _group, _key, _n, _at, _bits, _part (what is connected has the same). Tiles are dealt by
+    group, size band and, for large groups, pairs of blocks of about ``rows_per_block`` members. In
+    each tile a class keeps the ``most`` partners with the least different signatures (None: all);
+    _more says that there are others.
     """
     banded = members.withColumn("_band", _band(F.col("_n"), percent))
-    # Also as a visitor in the tiles of the next smaller sizes; the band below that covers rounding.
-    placed = banded.withColumns({"_own": F.col("_band"), "_band": F.explode(F.array(*[F.col("_band") - k for k in range(3)]))})
+    # Also as a visitor in the tiles of the next smaller sizes: a partner is at most one band away.
+    placed = banded.withColumns({"_own": F.col("_band"), "_band": F.explode(F.array(F.col("_band"), F.col("_band") - 1))})
     tiles = placed.groupBy("_group", "_band").agg(F.count(F.lit(1)).alias("_rows"), F.min("_part").alias("_a"), F.max("_part").alias("_b"), F.min("_own").alias("_low"))
     tiles = tiles.filter("_rows > 1 AND _a != _b AND _low = _band").select("_group", "_band", F.ceil(F.col("_rows") / rows_per_block).cast("int").alias("_blocks"))
     dealt = placed.join(tiles, ["_group", "_band"]).withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     tile = F.xxhash64("_group", "_band", F.least("_block", "_other"), F.greatest("_block", "_other")).alias("_tile")
-    rows = dealt.select(tile, "_key", "_n", (F.col("_own") > F.col("_band")).alias("_visits"), F.col("_part").alias("_part"), "_block", "_bits")
+    rows = dealt.select(tile, "_key", "_n", (F.col("_own") > F.col("_band")).alias("_visits"), "_part", "_block", "_at", "_bits")
 
-    def compare(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        keys, sizes, visits, parts, blocks, bits = zip(*rows, strict=True)
-        keys, sizes, visits, parts, blocks = (np.array(c) for c in (keys, sizes, visits, parts, blocks))
+    def compare(rows: list[tuple]) -> list[tuple[int, int, int, bool]]:
+        keys, sizes, visits, parts, blocks, places, bits = zip(*rows, strict=True)
+        n = len(keys)
+        sizes, visits, parts, blocks, places = (np.array(c) for c in (sizes, visits, parts, blocks, places))
+        room = sizes - places * sizes / PARTS + 1e-6
         width = min(map(len, bits))
         m = np.stack([_folded(np.frombuffer(b, np.uint8), width) for b in bits]).view(np.uint64)
         apart = blocks.min() != blocks.max()
-        xs, ys = [], []
-        for j in range(1, len(keys)):
+        found: list[tuple[int, int, int]] = []
+        for j in range(1, n):
             hope = (parts[:j] != parts[j]) & ~(visits[:j] & visits[j]) & (100 * np.minimum(sizes[:j], sizes[j]) >= percent * np.maximum(sizes[:j], sizes[j]))
+            hope &= np.minimum(room[:j], room[j]) * (100 + percent) >= percent * (sizes[:j] + sizes[j])
             if apart:
                 hope &= blocks[:j] != blocks[j]
             near = np.flatnonzero(hope)
             if len(near):
                 differ = np.bitwise_count(m[near] ^ m[j]).sum(axis=1, dtype=np.int64)
-                near = near[_similar((sizes[near] + sizes[j] - differ) // 2, sizes[near], sizes[j], percent)]
-                for i in near:
-                    x, y = int(keys[i]), int(keys[j])
-                    xs.append(min(x, y))
-                    ys.append(max(x, y))
-        return xs, ys
+                passes = _similar((sizes[near] + sizes[j] - differ) // 2, sizes[near], sizes[j], percent)
+                found += [(int(d), int(i), j) for i, d in zip(near[passes], differ[passes], strict=True)]
+        if most is None:
+            return [(keys[i], keys[j], d, False) for d, i, j in found]
+        found.sort()
+        kept: dict[int, list[tuple[int, int]]] = {}
+        more: set[int] = set()
+        for d, i, j in found:
+            for x, y in ((i, j), (j, i)):
+                if len(own := kept.setdefault(x, [])) < most:
+                    own.append((d, y))
+                else:
+                    more.add(x)
+        return [(keys[x], keys[y], d, x in more) for x, own in kept.items() for d, y in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        at, seen = None, set()
+        at = None
 
         def done() -> pa.RecordBatch:
-            new = [p for p in zip(*compare(held), strict=True) if p not in seen]
-            if len(seen) < 1 << 20:
-                seen.update(new)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], ["_x", "_y"])
+            found = compare(held) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["_x", "_y", "_differ", "_more"])
 
         for batch in batches:
-            tiles = batch.column(0).to_pylist()
-            for tile, row in zip(tiles, zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True), strict=True):
-                if tile != at:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != at:
                     if len(held) > 1:
                         yield done()
-                    at, held = tile, []
-                held.append(row)
-        if len(held) > 1:
-            yield done()
+                    at, held = row[0], []
+                held.append(row[1:])
+        yield done()
 
-    return rows.repartition("_tile").sortWithinPartitions("_tile").mapInArrow(run, "_x long, _y long").distinct()
+    return rows.repartition("_tile").sortWithinPartitions("_tile").mapInArrow(run, "_x long, _y long, _differ long, _more boolean")
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (_x, _y) whose signatures leave a link possible."""
-    side = lambda c: classes.select(F.col("_key").alias(f"_{c}"), F.col("_n").alias(f"_n{c}"), F.col("_bits").alias(f"_b{c}"))
+def closest(found: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """From ``tile_pairs``: the pairs with the ``most`` closest partners of either side, and the classes that have more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y, nx, bx, ny, by = (batch.column(batch.schema.get_field_index(c)) for c in ("_x", "_y", "_nx", "_bx", "_ny", "_by"))
-            keep = []
-            for a, p, b, q in zip(nx.to_pylist(), bx.to_pylist(), ny.to_pylist(), by.to_pylist(), strict=True):
-                width = min(len(p), len(q))
-                differ = int(np.bitwise_count(_folded(np.frombuffer(p, np.uint8), width) ^ _folded(np.frombuffer(q, np.uint8), width)).sum())
-                keep.append(bool(_similar((a + b - differ) // 2, a, b, percent)))
-            yield pa.RecordBatch.from_arrays([x, y], ["_x", "_y"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(side("x"), "_x").join(side("y"), "_y").mapInArrow(run, "_x long, _y long")
+    A pair is left out only if both of its classes have more.
+    """
+    partners = materialise(found.groupBy("_x", "_y").agg(F.first("_differ").alias("_differ"), F.max("_more").alias("_more")), "partners")
+    each = Window.partitionBy("_x")
+    ranked = partners.withColumns({"_rank": F.row_number().over(each.orderBy("_differ", "_y")), "_crowded": F.max("_more").over(each) | (F.count(F.lit(1)).over(each) > most)})
+    ranked = materialise(ranked.filter(F.col("_rank") <= most), "closest")
+    pairs = ranked.select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).distinct()
+    return pairs, ranked.filter("_crowded").select(F.col("_x").alias("_key")).distinct()
 
 
 def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = SIMILARITY, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -374,7 +378,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _resolve(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _resolve(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, most: int = 2, few: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (_id, _key, _n), classes (_key, _first, _n, _bits, _copies) and roots (_key, _root) of linked classes."""
     described = materialise(describe(docs, id_col, text_col, words), "described")
     often = frequent(described)
@@ -382,14 +386,23 @@ def _resolve(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     classes = described.filter("_n > 0").groupBy("_key").agg(F.min("_id").alias("_first"), F.first("_n").alias("_n"), F.first("_bits").alias("_bits"), F.count(F.lit(1)).alias("_copies"))
     classes = materialise(classes, "classes")
     members = materialise(groups(prefixes(docs, text_col, often, words, percent), percent), "groups")
-    first = materialise(links(docs, _possible(best_partners(members, percent), classes, percent), classes, id_col, text_col, words, percent), "links")
-    parts = components(first)
-    joined = members.join(parts, "_key", "left").withColumn("_part", F.coalesce("_root", "_key")).drop("_root")
-    open_ = joined.groupBy("_group").agg(F.min("_part").alias("_a"), F.max("_part").alias("_b")).filter("_a != _b").select("_group")
-    tiles = joined.join(open_, "_group", "left_semi").join(classes.select("_key", "_bits"), "_key")
-    second = links(docs, tile_pairs(tiles, percent), classes, id_col, text_col, words, percent)
-    forest = parts.select(F.col("_key").alias("_x"), F.col("_root").alias("_y"))
-    return rows, classes, materialise(components(forest.unionByName(second)), "roots")
+    bits = classes.select("_key", "_bits")
+    check = lambda pairs: materialise(links(docs, pairs, classes, id_col, text_col, words, percent), "links")
+    pairs, crowded = closest(tile_pairs(members.join(bits, "_key").withColumn("_part", F.col("_key")), percent, most), most)
+    forest = components(check(pairs))
+    while crowded.take(1):
+        members = materialise(members.join(crowded, "_key", "left_semi"), "groups")
+        placed = members.join(forest, "_key", "left").withColumn("_part", F.coalesce("_root", "_key")).drop("_root")
+        open_ = placed.groupBy("_group").agg(F.min("_part").alias("_a"), F.max("_part").alias("_b")).filter("_a != _b").select("_group")
+        placed = materialise(placed.join(open_, "_group", "left_semi").join(bits, "_key"), "open")
+        pairs, crowded = closest(tile_pairs(placed, percent, most), most)
+        found = check(pairs)
+        if found.count() < few * pairs.count():  # classes are rarely linked to their closest any more: all pairs decide
+            left = tile_pairs(placed, percent).select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
+            found = found.unionByName(check(left.distinct()))
+            crowded = crowded.limit(0)
+        forest = components(forest.select(F.col("_key").alias("_x"), F.col("_root").alias("_y")).unionByName(found))
+    return rows, classes, materialise(forest, "roots")
 
 
 def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
