@@ -237,12 +237,12 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(100.0 / percent)) + 1e-9)
 
 
-def tile_pairs(members: DataFrame, percent: int = SIMILARITY, most: int | None = None, rows_per_block: int = 512) -> DataFrame:
+def tile_pairs(members: DataFrame, bits: DataFrame, percent: int = SIMILARITY, most: int | None = None, rows_per_block: int = 512) -> DataFrame:
     """(_x, _y, _differ, _more): partners not yet connected whose signatures leave a link possible.
 
     Of the shingles that two sets share, the first one must come early enough in both to leave room
     for the overlap that a link needs; in other tiles the two are not compared.
-    members: _group, _key, _n, _at, _bits, _part (what is connected has the same). Tiles are dealt by
+    members: _group, _key, _n, _at, _part (what is connected has the same); bits: _key, _bits. Tiles are dealt by
     group, size band and, for large groups, pairs of blocks of about ``rows_per_block`` members. In
     each tile a class keeps the ``most`` partners with the least different signatures (None: all);
     _more says that there are others.
@@ -255,7 +255,7 @@ def tile_pairs(members: DataFrame, percent: int = SIMILARITY, most: int | None =
     dealt = placed.join(tiles, ["_group", "_band"]).withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     tile = F.xxhash64("_group", "_band", F.least("_block", "_other"), F.greatest("_block", "_other")).alias("_tile")
-    rows = dealt.select(tile, "_key", "_n", (F.col("_own") > F.col("_band")).alias("_visits"), "_part", "_block", "_at", "_bits")
+    rows = dealt.select(tile, "_key", "_n", (F.col("_own") > F.col("_band")).alias("_visits"), "_part", "_block", "_at").join(bits, "_key").select("_tile", "_key", "_n", "_visits", "_part", "_block", "_at", "_bits")
 
     def compare(rows: list[tuple]) -> list[tuple[int, int, int, bool]]:
         keys, sizes, visits, parts, blocks, places, bits = zip(*rows, strict=True)
@@ -388,17 +388,17 @@ def _resolve(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     members = materialise(groups(prefixes(docs, text_col, often, words, percent), percent), "groups")
     bits = classes.select("_key", "_bits")
     check = lambda pairs: materialise(links(docs, pairs, classes, id_col, text_col, words, percent), "links")
-    pairs, crowded = closest(tile_pairs(members.join(bits, "_key").withColumn("_part", F.col("_key")), percent, most), most)
+    pairs, crowded = closest(tile_pairs(members.withColumn("_part", F.col("_key")), bits, percent, most), most)
     forest = components(check(pairs))
     while crowded.take(1):
         members = materialise(members.join(crowded, "_key", "left_semi"), "groups")
         placed = members.join(forest, "_key", "left").withColumn("_part", F.coalesce("_root", "_key")).drop("_root")
         open_ = placed.groupBy("_group").agg(F.min("_part").alias("_a"), F.max("_part").alias("_b")).filter("_a != _b").select("_group")
-        placed = materialise(placed.join(open_, "_group", "left_semi").join(bits, "_key"), "open")
-        pairs, crowded = closest(tile_pairs(placed, percent, most), most)
+        placed = materialise(placed.join(open_, "_group", "left_semi"), "open")
+        pairs, crowded = closest(tile_pairs(placed, bits, percent, most), most)
         found = check(pairs)
         if found.count() < few * pairs.count():  # classes are rarely linked to their closest any more: all pairs decide
-            left = tile_pairs(placed, percent).select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
+            left = tile_pairs(placed, bits, percent).select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
             found = found.unionByName(check(left.distinct()))
             crowded = crowded.limit(0)
         forest = components(forest.select(F.col("_key").alias("_x"), F.col("_root").alias("_y")).unionByName(found))
