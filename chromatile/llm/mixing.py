@@ -109,12 +109,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return taken.select(F.col("_key").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it is taken, 0 to ``epochs`` times.
 
     Rows with null ids, and rows that repeat an id, are taken as often as the most taken of them.
+    The table of what is taken is broadcast up to ``broadcast_rows`` rows; beyond that the documents
+    are shuffled by id.
     """
     copies = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0").groupBy(F.col(id_col).alias("_key")).agg(F.max("copies").alias("_copies"))
+    copies = materialise(copies, "copies")
+    copies = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
     names = docs.columns
     held = docs.select(F.struct(*[docs[c] for c in names]).alias("_doc"))
     joined = held.join(copies, F.col("_doc").getField(id_col).eqNullSafe(F.col("_key")))
