@@ -229,6 +229,11 @@ def groups(tokens: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     near = once.withColumns({"_below": F.lag("_n").over(by), "_above": F.lead("_n").over(by)})
     near = near.filter(_fits(F.col("_below"), F.col("_n"), percent) | _fits(F.col("_above"), F.col("_n"), percent))
     whole = Window.partitionBy("_token")
+    # The shingle has to come early enough for a link even with the smallest partner that fits.
+    smallest = F.greatest(F.min("_n").over(whole), F.col("_n") * (percent / 100.0))
+    near = near.withColumn("_smallest", smallest).filter((F.col("_n") - F.col("_at") * F.col("_n") / PARTS + 1e-6) * (100 + percent) >= percent * (F.col("_n") + F.col("_smallest")))
+    near = near.withColumns({"_below": F.lag("_n").over(by), "_above": F.lead("_n").over(by)})
+    near = near.filter(_fits(F.col("_below"), F.col("_n"), percent) | _fits(F.col("_above"), F.col("_n"), percent))
     named = near.withColumn("_group", F.xxhash64(F.bit_xor(F.xxhash64("_key")).over(whole), F.count(F.lit(1)).over(whole)))
     return named.groupBy("_group", "_key").agg(F.first("_n").alias("_n"), F.min("_at").alias("_at"))
 
