@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import discard, materialise
 
 WORDS = 5
 SIMILARITY = 75  # percent
@@ -359,7 +359,9 @@ def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, te
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["_x", "_y"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: arrays.select(F.col("_key").alias(f"_{c}"), F.col("_set").alias(f"_s{c}"))
-    return pairs.join(side("x"), "_x").join(side("y"), "_y").select("_x", "_y", "_sx", "_sy").mapInArrow(decide, "_x long, _y long")
+    found = materialise(pairs.join(side("x"), "_x").join(side("y"), "_y").select("_x", "_y", "_sx", "_sy").mapInArrow(decide, "_x long, _y long"), "links")
+    discard(arrays)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -387,12 +389,13 @@ def _resolve(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     """Documents (_id, _key, _n), classes (_key, _first, _n, _bits, _copies) and roots (_key, _root) of linked classes."""
     described = materialise(describe(docs, id_col, text_col, words), "described")
     often = frequent(described)
-    rows = described.filter("_block IS NULL").select("_id", "_key", "_n")
+    rows = materialise(described.filter("_block IS NULL").select("_id", "_key", "_n"), "rows")
     classes = described.filter("_n > 0").groupBy("_key").agg(F.min("_id").alias("_first"), F.first("_n").alias("_n"), F.first("_bits").alias("_bits"), F.count(F.lit(1)).alias("_copies"))
     classes = materialise(classes, "classes")
+    discard(described)
     members = materialise(groups(prefixes(docs, text_col, often, words, percent), percent), "groups")
     bits = classes.select("_key", "_bits")
-    check = lambda pairs: materialise(links(docs, pairs, classes, id_col, text_col, words, percent), "links")
+    check = lambda pairs: links(docs, pairs, classes, id_col, text_col, words, percent)
     pairs, crowded = closest(tile_pairs(members.withColumn("_part", F.col("_key")), bits, percent, most), most)
     forest = components(check(pairs))
     while crowded.take(1):
