@@ -1,3 +1,4 @@
+import pathlib
 import re
 import zlib
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chromatile.llm import exact_dedup, language_id, mixing, neighbours, ngram_join, packing, quality, secrets, token_counts, warc
+from chromatile.llm import _common, exact_dedup, language_id, mixing, neighbours, ngram_join, packing, quality, secrets, token_counts, warc
 from chromatile.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, _key string, length string, votes string, key string"
@@ -205,3 +206,15 @@ def test_pipeline(spark, docs, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_join", "mixing", "packing"]
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} <= {0, 7, 10, 12} and all(r.length <= 1024 for r in rows)
+
+
+def test_tables_between_steps(spark):
+    before = spark.conf.get(_common.SHUFFLE_CLEANUP)
+    table = _common.materialise(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert spark.conf.get(_common.SHUFFLE_CLEANUP) == before
+    assert table.agg(F.sum("count")).first()[0] == 100
+    folder = pathlib.Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists()
+    _common.discard(table)
+    assert not folder.exists()
+    _common.discard(spark.range(3))  # of no file: nothing to delete
