@@ -9,6 +9,7 @@ then finds its place by its length and its rank among the pieces of that length.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,28 +26,34 @@ from ._common import materialise, power_of_two, running_sum
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-@lru_cache(2)
-def encoder(path: str):
-    """A byte-level BPE encoder: text -> uint32 ids. Special tokens in a text are ordinary text.
+@lru_cache(4)
+def encoder(path: str, added: bool = False):
+    """A byte-level BPE encoder: text -> uint32 ids.
 
     ``path`` is a ``.json`` file of tokenizers, or the same vocabulary as ``.tiktoken`` ranks. From a
     ``.json`` file the ranks are derived (the id order of merged tokens is their merge order), which
     gives the same ids faster.
+
+    With ``added``, an added token of the file is one id wherever a text holds it, as tokenizers does
+    by default (``add_special_tokens=False`` only keeps it from adding any); the operators use this.
+    Without, added tokens in a text are ordinary text. Ranks have no added tokens.
     """
     import json
 
     import tiktoken
 
     if path.endswith(".tiktoken"):
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        ranks, special = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, {}
     else:
         model = json.load(open(path, encoding="utf-8"))
-        special = {x["content"] for x in model["added_tokens"]}
+        special = {x["content"]: x["id"] for x in model["added_tokens"]}
+        if added and (any(x.get("single_word") or x.get("lstrip") or x.get("rstrip") or re.search(r"\s", x["content"]) for x in model["added_tokens"]) or any(a != b and b.startswith(a) for a in special for b in special)):
+            raise ValueError(f"added tokens that take in or hold white space, need word ends or begin others are not supported: {path}")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         ranks = {bytes(chars[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in special}
-    encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+    encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special if added else {})
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -57,7 +64,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added=True)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 keys, cols = [], [[] for _ in range(5)]

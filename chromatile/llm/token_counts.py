@@ -2,7 +2,7 @@
 
 A leaf is a run of whole pre-tokens of about ``LEAF`` characters; every node holds the characters and
 tokens below it. Text is cut only before a blank that follows something else: there a pre-token ends
-whatever surrounds it, so counts of leaves add up to the count of the text. An edit finds its leaves
+whatever surrounds it, and no added token holds a blank, so counts of leaves add up to the count of the text. An edit finds its leaves
 by the characters in the subtrees, takes one character more on either side as context, encodes only
 those leaves again and updates the sums above them.
 """
@@ -144,7 +144,7 @@ def build_trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added=True)
         for part in _parts(batches):
             texts = [t or "" for t in part.column(1).to_pylist()]
             trees = [CountTree.build(t, lambda s: len(encode(s))) for t in texts]
@@ -162,7 +162,7 @@ def apply_edits(trees: DataFrame, tokenizer: str, edits_col: str = "edits", id_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added=True)
         for part in _parts(batches):
             texts, done, encoded, new = [], [], [], []
             for text, chars, tokens, edits in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):

@@ -141,6 +141,24 @@ def test_encoder_is_that_of_the_file():
         assert list(packing.encoder(tokenizer_path())(text)) == real.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    real = Tokenizer.from_file(tokenizer_path())
+    ids = lambda t: real.encode(t, add_special_tokens=False).ids
+    end = "<|endoftext|>"
+    assert ids(f"a {end} b") == [64, 220, 50256, 275]
+    texts = [f"a {end} b", end, f"{end}{end}  {end}\n x{end}y", f"don't {end[:-1]} {end.upper()}", f"word  {end} and " * 300, "a <|end 42oftext|> b", f"x {end[:6]}123{end[6:]} y"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.pack(table, tokenizer_path(), 4096, keep_ids=True).collect():
+        own = [*ids(texts[r.doc_id]), 2]
+        assert (list(r.ids), r.length, r.ids_crc32) == (own, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+    trees = token_counts.build_trees(table, tokenizer_path())
+    assert all(r.n_tokens == len(ids(r.text)) for r in trees.collect())
+    edited = token_counts.apply_edits(token_counts.pattern_edits(trees, " ?[0-9]+|d> a", ""), tokenizer_path()).collect()  # makes and breaks added tokens
+    assert len(edited) == len(texts) and all(r.n_tokens == len(ids(r.text)) for r in edited) and any(end in r.text for r in edited if r.doc_id >= 5)
+
+
 def test_secrets(docs, nothing):
     found = {r.doc_id: r for r in secrets.digests(secrets.find_secrets(docs)).collect()}
     assert found[12].n_assign == 1 and found[12].n_guess == 1 and found[12].spans.startswith("assign:0:") and found[5].spans == ""
