@@ -47,6 +47,7 @@ def rounded(df: DataFrame) -> DataFrame:
 # ---- inputs ----
 
 WIDTH = 20
+REFINED = 48
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
@@ -385,8 +386,10 @@ def palette_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def palette_refine(spark: SparkSession, sf: str) -> DataFrame:
-    palette = colors(spark, sf).select((F.col("label") % 4).cast("string").alias("image_id"), F.col("vec_id").cast("int").alias("idx"), "L", "a", "b", (1 + F.col("vec_id") % 9).alias("n"))
-    return rounded(pal.refine(palette.filter("idx < 250"), 5.0))
+    """All embeddings, as palettes of ``REFINED`` colours; more than ``MAX_COLORS``, so that clusters are joined too."""
+    at = F.col("vec_id")
+    palette = colors(spark, sf).select(F.floor(at / REFINED).cast("string").alias("image_id"), F.pmod(at, F.lit(REFINED)).cast("int").alias("idx"), "L", "a", "b", (1 + at % 9).alias("n"))
+    return rounded(pal.refine(palette, 5.0))
 
 
 # ---- regions and outlines ----

@@ -58,3 +58,14 @@ def test_refine(spark):
     assert got[0].new_idx == got[1].new_idx == 0 and got[0].n == 800 and got[2].new_idx == 1 and got[2].n == 200
     many = [("i", i, 2.0 * i, i % 2 * 80.0 - 40, 13 * i % 4 * 40.0 - 60, 10) for i in range(50)]
     assert P.refine(spark.createDataFrame(many, "image_id string, idx int, L double, a double, b double, n long"), 2.0).agg(F.max("new_idx")).first()[0] < 36
+
+
+def test_palette_refine_takes_every_embedding(spark):
+    from chromatile.plans import queries as Q
+
+    sf = "/root/testdata/sf0.1"
+    rows = Q.palette_refine(spark, sf).collect()
+    ids = sorted(int(r.image_id) * Q.REFINED + r.idx for r in rows)
+    assert ids == sorted(r.vec_id for r in Q.colors(spark, sf).select("vec_id").collect()) and len(ids) == 2000
+    clusters = {(r.image_id, r.new_idx): r.n for r in rows}
+    assert sum(clusters.values()) == sum(1 + i % 9 for i in ids) and max(r.new_idx for r in rows) == P.MAX_COLORS - 1
