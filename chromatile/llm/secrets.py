@@ -27,7 +27,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CONTEXTS = (
     re.compile(r"""(?:pwd|pass(?:phrase|code)?|credentials?|auth|private_?key|access_?key|client_?secret|password|passwd|secret|token|api_?key)["']?[\x20\t]*[:=][\x20\t]*["']?([^\s"'<>,;]{8,})""", re.I | re.A),
     re.compile(r"""\b(?:bearer|basic)\x20+([A-Za-z0-9+/_.=-]{16,})""", re.I | re.A),
-    re.compile(r"""[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:([^\s/@]{6,})@""", re.I | re.A),
+    re.compile(r"""[a-z][a-z0-9+.-]{1,15}://[^\s/:@]*:([^\s/@]{6,})@""", re.I | re.A),
 )
 _TRIGGERS = re.compile(r"p(?:wd|ass)|credential|auth|key|secret|token|bearer|basic|://|AKIA", re.I | re.A)
 
@@ -104,7 +104,7 @@ def scan(text: str, threshold: float = 10.0) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret in a text, by start, then kind; places are code points.
 
     The base kinds come from their patterns alone. A value in a credential context is of the kind
-    ``guess`` if its cost is at least ``threshold`` and no base span overlaps it.
+    ``guess`` if its cost is at least ``threshold`` and no base span covers the whole of it.
     """
     spans = [("hex", *m.span()) for m in HEX.finditer(text)]
     if _TRIGGERS.search(text):
@@ -112,7 +112,7 @@ def scan(text: str, threshold: float = 10.0) -> list[tuple[str, int, int]]:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
         base = list(spans)
         values = {m.span(1) for pattern in CONTEXTS for m in pattern.finditer(text)}
-        spans += [("guess", a, b) for a, b in values if not any(a < e and s < b for _, s, e in base) and guess_cost(text[a:b]) >= threshold]
+        spans += [("guess", a, b) for a, b in values if not any(s <= a and b <= e for _, s, e in base) and guess_cost(text[a:b]) >= threshold]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

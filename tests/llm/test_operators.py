@@ -168,6 +168,16 @@ def test_secrets(docs, nothing):
     assert secrets.find_secrets(nothing).count() == 0
 
 
+def test_secrets_that_base_spans_touch_in_part(spark):
+    text = "x secret: hunter22hunter!@#tail y"
+    assert secrets.scan(text) == [("assign", 2, 24), ("guess", 10, 31)]
+    assert secrets.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == "x [secret] y"
+    assert [k for k, _, _ in secrets.scan("password = 'zQ9kf83Lm2x7'")] == ["assign"]  # covered wholly
+    for user in ("", "u" * 65):
+        at = len(f"redis://{user}:")
+        assert secrets.scan(f"redis://{user}:zQ9!kf83Lm2x@host") == [("guess", at, at + 12)]
+
+
 def test_language_id(spark, docs, nothing):
     rows = language_id.identify(docs, language_id.train(docs)).collect()
     assert len(rows) == 16 and all(r.lang_pred == ("en" if r.text and re.search("[a-zA-Z]", r.text) else "und") for r in rows)
