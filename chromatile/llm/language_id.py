@@ -149,6 +149,18 @@ def has_letter(data: bytes) -> bool:
     return bool((x >= 32).any()) and any(c.isalpha() for c in data.decode("utf-8", "replace"))
 
 
+def with_letter(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter; needs no model."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string()).view(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([bool(t) and has_letter(t) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_column: Column) -> Column:
     """Whether crc32 of the id as text leaves 1 modulo 3; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 3 == 1

@@ -236,6 +236,16 @@ def test_pipeline(spark, docs, tmp_path):
     assert {r.doc_id for r in rows} <= {0, 7, 10, 12} and all(r.length <= 1024 for r in rows)
 
 
+def test_language_stage_without_labels(spark, docs):
+    import corpus_pipeline
+
+    lettered = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect() if re.search("[a-zA-Z]", r.text or ""))
+    held = F.when(language_id.held_out(F.col("doc_id")), "en")
+    for lang in (F.lit(None).cast("string"), held, F.lit("en")):
+        kept = corpus_pipeline.language_id_stage(spark, docs.withColumn("lang", lang), "")
+        assert kept.columns == docs.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == lettered
+
+
 def test_tables_between_steps(spark):
     before = spark.conf.get(_common.SHUFFLE_CLEANUP)
     table = _common.materialise(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "test")
