@@ -1,6 +1,8 @@
+import hashlib
 import pathlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -236,6 +238,56 @@ def test_pipeline(spark, docs, tmp_path):
     assert {r.doc_id for r in rows} <= {0, 7, 10, 12} and all(r.length <= 1024 for r in rows)
 
 
+def mixed_by_hand(rows):
+    """Copies by id of rows (id, text, source), ids unique: the queue of the mix, sorted whole."""
+    found = [(s is None, s or "", int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:15], 16), i, len(words(t))) for i, t, s in rows]
+    queue, total = [], sum(d[4] for d in found)
+    for rank, source in enumerate(sorted({d[:2] for d in found})):
+        own = sorted(d for d in found if d[:2] == source)
+        size = sum(d[4] for d in own)
+        for epoch in range(2):
+            done = size * epoch
+            for d in own:
+                done += d[4]
+                queue += [(done / (5, 2, 1)[rank % 3], *d[:4], epoch, d[4])] * (d[4] > 0)
+    copies, taken = Counter(), 0
+    for entry in sorted(queue):
+        taken += entry[-1]
+        if taken > 1.5 * total:
+            break
+        copies[entry[4]] += 1
+    return copies
+
+
+def test_pipeline_against_plain_python(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    real = Tokenizer.from_file(tokenizer_path())
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    first = {}
+    for r in sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0)):
+        if re.search("[a-zA-Z]", r.text or ""):
+            first.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", r.text), (r.doc_id, r.text, r.source))
+    left = list(first.values())
+    kept = [left[k] for k in sorted(set(components([t for _, t, _ in left])))]
+    assert [d for d, _, _ in kept] == [0, 7, 10, 12]
+    copies, want = mixed_by_hand(kept), Counter()
+    for i, text, _ in kept:
+        ids = [*real.encode(text, add_special_tokens=False).ids, 2]
+        ends = [*range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for piece, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+            want[i, piece, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += copies[i]
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == +want and len(+want) > 10
+    by = {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == by.get(r.sequence_id, 0)
+        by[r.sequence_id] = r.offset + r.length
+    assert max(by.values()) <= 1024
+
+
 def test_language_stage_without_labels(spark, docs):
     import corpus_pipeline
 
