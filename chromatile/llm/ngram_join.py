@@ -3,11 +3,17 @@
 Documents are sets of hashed word shingles. Equal sets collapse to one class. Two sets that are
 similar enough share a shingle among the first ``n - ceil(t * n) + 1`` of either, in any order common
 to all sets (prefix filter). Here frequent shingles come last, so passages that many documents share
-rarely lead two classes into one tile. A tile holds the classes of one size band (and of the next)
-that share such a shingle; in it, the bit counts of the signatures bound the overlap from above, and
-pairs that may pass are decided by intersecting their sorted arrays. A class first decides its
-closest partners; classes that have more come again, in tiles that compare only what is not yet
-connected, until nothing is left: a large group of near copies needs few of its pairs.
+rarely lead two classes into one group. A group holds the classes that share such a shingle; its
+classes of one size band (and of the next) are compared in tiles, where the bit counts of the
+signatures bound the overlap from above before sorted arrays are intersected.
+
+Only what is connected is asked for, so not all pairs are needed. First every class meets the pivot
+of its group and band, the class with the smallest key: that costs a row a membership and connects
+families of near copies. Then tiles compare what is not yet connected: the classes of the largest
+part of a group only with the others, never among themselves. A tile returns the classes that may
+have a partner, then a spanning forest of its links: never its pairs.
+
+Links are exact for 64-bit hashes of shingles, and equal sets are told by 64-bit names.
 """
 
 from __future__ import annotations
@@ -30,6 +36,9 @@ _COUNTERS_PER_ROW = 1 << 14
 _COUNTER = np.uint64(42)  # a counter's number is the top bits of a hash
 #: Parts of a set by which places of shingles are told.
 PARTS = 56
+#: Classes and shingles in a block of a tile, about.
+TILE_ROWS = 256
+TILE_SHINGLES = 1 << 20
 #: Text that is hashed at once.
 SLICE_BYTES = 1 << 21
 
@@ -185,16 +194,17 @@ def frequent(described: DataFrame, deviations: float = 6.0, least: int = 20) ->
 
 
 def prefixes(docs: DataFrame, text_col: str, often: bytes, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """(_key, _n, _token, _at) for the prefix of each document's set: rare shingles by hash, then frequent ones.
+    """(_key, _n, _token, _at, _often) for the prefix of each document's set: rare shingles by hash, then frequent ones.
 
-    _at is the place of the shingle in that order, in ``PARTS`` parts of the set's size. A set that comes again in a task is left out there.
+    _at is the place of the shingle in that order, in ``PARTS`` parts of the set's size; _often: it
+    is a frequent one. A set that comes again in a task is left out there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.unpackbits(np.frombuffer(zlib.decompress(often), np.uint8)).astype(bool)
         seen: set[int] = set()
         for part in _slices(batches):
-            keys, sizes, tokens = [], [], []
+            keys, sizes, rare, tokens = [], [], [], []
             for s in shingle_sets(part.column(0), words):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
@@ -204,164 +214,244 @@ def prefixes(docs: DataFrame, text_col: str, often: bytes, words: int = WORDS, p
                 length = len(s) + (-percent * len(s)) // 100 + 1
                 keys.append(key)
                 sizes.append(len(s))
+                rare.append(len(s) - int(last.sum()))
                 tokens.append(np.concatenate([s[~last], s[last]])[:length])
             lengths = np.array([len(t) for t in tokens], np.int32)
             flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists], ["_key", "_n", "_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rare, pa.int64()), lists], ["_key", "_n", "_rare", "_tokens"])
 
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "_key long, _n long, _tokens array<long>")
-    return found.select("_key", "_n", F.posexplode("_tokens").alias("_place", "_token")).select("_key", "_n", "_token", F.floor(F.col("_place") * PARTS / F.col("_n")).cast("int").alias("_at"))
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "_key long, _n long, _rare long, _tokens array<long>")
+    return found.select("_key", "_n", "_rare", F.posexplode("_tokens").alias("_place", "_token")).select("_key", "_n", "_token", F.floor(F.col("_place") * PARTS / F.col("_n")).cast("int").alias("_at"), (F.col("_place") >= F.col("_rare")).alias("_often"))
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _early(n: Column, at: Column, smallest: Column, percent: int) -> Column:
+    """Whether a shingle at place ``at`` of a set of ``n`` comes early enough for a link with a set of ``smallest``."""
+    return (n - at * n / PARTS + 1e-6) * (100 + percent) >= percent * (n + F.greatest(smallest, n * (percent / 100.0)))
+
+
 def groups(tokens: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """(_group, _key, _n, _at): classes that share a prefix shingle with another of a fitting size.
 
     Shingles that lead the same classes together make one group, named by a hash of its members;
-    _at is then the first place.
+    _at is then the first place. The classes of a rare shingle (its counter bounds them) meet in one
+    window; those of frequent ones are counted with combining on the map side, and joined to that.
     """
     by = Window.partitionBy("_token").orderBy("_n", "_key")
-    once = tokens.withColumn("_last", F.lag("_key").over(by)).filter("_last IS NULL OR _last != _key")
-    near = once.withColumns({"_below": F.lag("_n").over(by), "_above": F.lead("_n").over(by)})
-    near = near.filter(_fits(F.col("_below"), F.col("_n"), percent) | _fits(F.col("_above"), F.col("_n"), percent))
     whole = Window.partitionBy("_token")
-    # The shingle has to come early enough for a link even with the smallest partner that fits.
-    smallest = F.greatest(F.min("_n").over(whole), F.col("_n") * (percent / 100.0))
-    near = near.withColumn("_smallest", smallest).filter((F.col("_n") - F.col("_at") * F.col("_n") / PARTS + 1e-6) * (100 + percent) >= percent * (F.col("_n") + F.col("_smallest")))
-    near = near.withColumns({"_below": F.lag("_n").over(by), "_above": F.lead("_n").over(by)})
-    near = near.filter(_fits(F.col("_below"), F.col("_n"), percent) | _fits(F.col("_above"), F.col("_n"), percent))
-    named = near.withColumn("_group", F.xxhash64(F.bit_xor(F.xxhash64("_key")).over(whole), F.count(F.lit(1)).over(whole)))
-    return named.groupBy("_group", "_key").agg(F.first("_n").alias("_n"), F.min("_at").alias("_at"))
+    fits = _fits(F.col("_below"), F.col("_n"), percent) | _fits(F.col("_above"), F.col("_n"), percent)
+    beside = {"_below": F.lag("_n").over(by), "_above": F.lead("_n").over(by)}
+    once = tokens.filter("NOT _often").withColumn("_last", F.lag("_key").over(by)).filter("_last IS NULL OR _last != _key")
+    near = once.withColumns(beside).filter(fits)
+    near = near.withColumn("_smallest", F.min("_n").over(whole)).filter(_early(F.col("_n"), F.col("_at"), F.col("_smallest"), percent))
+    near = near.withColumns(beside).filter(fits)
+    name = lambda over: F.xxhash64(over(F.bit_xor(F.xxhash64("_key"))), over(F.count(F.lit(1)))).alias("_group")
+    rare = near.select(name(lambda x: x.over(whole)), "_key", "_n", "_at")
+
+    held = materialise(tokens.filter("_often").groupBy("_token", "_key").agg(F.first("_n").alias("_n"), F.min("_at").alias("_at")), "often")
+    sizes = materialise(held.groupBy("_token").agg(F.min("_n").alias("_smallest"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c"), "sizes")
+    close = materialise(held.join(sizes, "_token").filter(_early(F.col("_n"), F.col("_at"), F.col("_smallest"), percent)).drop("_smallest"), "close")
+    discard(held)
+    names = materialise(close.groupBy("_token").agg(name(lambda x: x), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c"), "names")
+    often = close.join(names, "_token").select("_group", "_key", "_n", "_at")
+    return rare.unionByName(often).groupBy("_group", "_key").agg(F.first("_n").alias("_n"), F.min("_at").alias("_at"))
+
 
+def _banded(members: DataFrame, percent: int) -> DataFrame:
+    """Members with _band, in their _own size band and as visitors in the next smaller one: a partner is at most one band away."""
+    own = F.floor(F.log("_n") / F.log(F.lit(100.0 / percent)) + 1e-9)
+    return members.withColumn("_own", own).withColumn("_band", F.explode(F.array(F.col("_own"), F.col("_own") - 1)))
 
-def _band(n: Column, percent: int) -> Column:
-    return F.floor(F.log(n) / F.log(F.lit(100.0 / percent)) + 1e-9)
 
+def pivot_pairs(members: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """(_x, _y): every class with the smallest key of each group and band that it is in."""
+    placed = _banded(members, percent)
+    pivots = placed.groupBy("_group", "_band").agg(F.min("_key").alias("_pivot"), F.count(F.lit(1)).alias("_rows"), F.min("_own").alias("_low"))
+    pivots = materialise(pivots.filter("_rows > 1 AND _low = _band").select("_group", "_band", "_pivot"), "pivots")
+    return placed.join(pivots, ["_group", "_band"]).filter("_key != _pivot").select(F.col("_pivot").alias("_x"), F.col("_key").alias("_y")).distinct()
 
-def tile_pairs(members: DataFrame, bits: DataFrame, percent: int = SIMILARITY, most: int | None = None, rows_per_block: int = 512) -> DataFrame:
-    """(_x, _y, _differ, _more): partners not yet connected whose signatures leave a link possible.
 
-    Of the shingles that two sets share, the first one must come early enough in both to leave room
-    for the overlap that a link needs; in other tiles the two are not compared.
-    members: _group, _key, _n, _at, _part (what is connected has the same); bits: _key, _bits. Tiles are dealt by
-    group, size band and, for large groups, pairs of blocks of about ``rows_per_block`` members. In
-    each tile a class keeps the ``most`` partners with the least different signatures (None: all);
-    _more says that there are others.
+def possible(pairs: DataFrame, bits: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """Those of the pairs (_x, _y) whose sizes and signatures leave a link possible. bits: _key, _n, _bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(k).to_numpy() for k in (2, 3))
+            keep = np.zeros(len(a), bool)
+            for k in np.flatnonzero(100 * np.minimum(a, b) >= percent * np.maximum(a, b)):
+                p, q = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint8) for c in (4, 5))
+                width = min(len(p), len(q))
+                differ = int(np.bitwise_count((_folded(p, width) ^ _folded(q, width)).view(_U)).sum())
+                keep[k] = _similar((a[k] + b[k] - differ) // 2, a[k], b[k], percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["_x", "_y"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: bits.select(F.col("_key").alias(f"_{c}"), F.col("_n").alias(f"_n{c}"), F.col("_bits").alias(f"_b{c}"))
+    both = pairs.join(side("y"), "_y").join(side("x"), "_x").filter(_fits(F.col("_nx"), F.col("_ny"), percent))
+    return both.select("_x", "_y", "_nx", "_ny", "_bx", "_by").mapInArrow(run, "_x long, _y long")
+
+
+def tiles(members: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """(_tile, _side, _key, _n, _visits, _part, _at): where classes meet that are not yet connected.
+
+    members: _group, _key, _n, _at, _part (what is connected has the same). The classes of a group and
+    band are dealt over blocks of about ``TILE_ROWS`` classes and at most about ``TILE_SHINGLES``
+    shingles: blocks of the largest part meet those of the others, and the
+    others meet each other. In a tile, rows of one _side do not meet (-1: all rows meet). Two classes
+    have met as class and pivot, so groups of two do not come again.
     """
-    banded = members.withColumn("_band", _band(F.col("_n"), percent))
-    # Also as a visitor in the tiles of the next smaller sizes: a partner is at most one band away.
-    placed = banded.withColumns({"_own": F.col("_band"), "_band": F.explode(F.array(F.col("_band"), F.col("_band") - 1))})
-    tiles = placed.groupBy("_group", "_band").agg(F.count(F.lit(1)).alias("_rows"), F.min("_part").alias("_a"), F.max("_part").alias("_b"), F.min("_own").alias("_low"))
-    tiles = tiles.filter("_rows > 1 AND _a != _b AND _low = _band").select("_group", "_band", F.ceil(F.col("_rows") / rows_per_block).cast("int").alias("_blocks"))
-    dealt = placed.join(tiles, ["_group", "_band"]).withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    tile = F.xxhash64("_group", "_band", F.least("_block", "_other"), F.greatest("_block", "_other")).alias("_tile")
-    rows = dealt.select(tile, "_key", "_n", (F.col("_own") > F.col("_band")).alias("_visits"), "_part", "_block", "_at").join(bits, "_key").select("_tile", "_key", "_n", "_visits", "_part", "_block", "_at", "_bits")
-
-    def compare(rows: list[tuple]) -> list[tuple[int, int, int, bool]]:
-        keys, sizes, visits, parts, blocks, places, bits = zip(*rows, strict=True)
-        n = len(keys)
-        sizes, visits, parts, blocks, places = (np.array(c) for c in (sizes, visits, parts, blocks, places))
-        room = sizes - places * sizes / PARTS + 1e-6
-        width = min(map(len, bits))
-        m = np.stack([_folded(np.frombuffer(b, np.uint8), width) for b in bits]).view(np.uint64)
-        apart = blocks.min() != blocks.max()
-        found: list[tuple[int, int, int]] = []
-        for j in range(1, n):
-            hope = (parts[:j] != parts[j]) & ~(visits[:j] & visits[j]) & (100 * np.minimum(sizes[:j], sizes[j]) >= percent * np.maximum(sizes[:j], sizes[j]))
-            hope &= np.minimum(room[:j], room[j]) * (100 + percent) >= percent * (sizes[:j] + sizes[j])
-            if apart:
-                hope &= blocks[:j] != blocks[j]
-            near = np.flatnonzero(hope)
-            if len(near):
-                differ = np.bitwise_count(m[near] ^ m[j]).sum(axis=1, dtype=np.int64)
-                passes = _similar((sizes[near] + sizes[j] - differ) // 2, sizes[near], sizes[j], percent)
-                found += [(int(d), int(i), j) for i, d in zip(near[passes], differ[passes], strict=True)]
-        if most is None:
-            return [(keys[i], keys[j], d, False) for d, i, j in found]
-        found.sort()
-        kept: dict[int, list[tuple[int, int]]] = {}
-        more: set[int] = set()
-        for d, i, j in found:
-            for x, y in ((i, j), (j, i)):
-                if len(own := kept.setdefault(x, [])) < most:
-                    own.append((d, y))
-                else:
-                    more.add(x)
-        return [(keys[x], keys[y], d, x in more) for x, own in kept.items() for d, y in own]
+    placed = _banded(members, percent)
+    parts = placed.groupBy("_group", "_band", "_part").agg(F.count(F.lit(1)).alias("_c"), F.sum("_n").alias("_s"), F.min("_own").alias("_low"))
+    most = F.max(F.struct("_c", "_part", "_s"))
+    whole = parts.groupBy("_group", "_band").agg(most.alias("_most"), F.sum("_c").alias("_c"), F.sum("_s").alias("_s"), F.count(F.lit(1)).alias("_k"), F.min("_low").alias("_low"))
+    blocks = lambda c, s: F.greatest(F.ceil(c / TILE_ROWS), F.ceil(s / TILE_SHINGLES), F.lit(1)).cast("int")
+    whole = whole.filter("_c > 2 AND _k > 1 AND _low = _band").select(
+        "_group", "_band", F.col("_most._part").alias("_main"), blocks(F.col("_c"), F.col("_s")).alias("_all"),
+        blocks(F.col("_most._c"), F.col("_most._s")).alias("_mains"), blocks(F.col("_c") - F.col("_most._c"), F.col("_s") - F.col("_most._s")).alias("_rests"),
+    )
+    dealt = placed.join(materialise(whole, "crowded"), ["_group", "_band"])
+    own = lambda n: F.pmod(F.xxhash64("_key"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda kind, a, b, side: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), side.cast("int").alias("side"))
+    zero, block = F.lit(0), own("_rests")
+    main = F.transform(upto("_rests"), lambda j: at(1, own("_mains"), j, zero))
+    rest = F.concat(
+        F.transform(upto("_mains"), lambda j: at(1, j, block, F.lit(1))),
+        F.transform(upto("_rests"), lambda j: at(2, F.least(j, block), F.greatest(j, block), F.when(j == block, -1).otherwise((block > j).cast("int")))),
+    )
+    places = F.when(F.col("_all") == 1, F.array(at(0, zero, zero, F.lit(-1)))).when(F.col("_part") == F.col("_main"), main).otherwise(rest)
+    dealt = dealt.withColumn("_place", F.explode(places))
+    tile = F.xxhash64("_group", "_band", "_place.kind", "_place.a", "_place.b").alias("_tile")
+    return dealt.select(tile, F.col("_place.side").alias("_side"), "_key", "_n", (F.col("_own") > F.col("_band")).alias("_visits"), "_part", "_at")
+
+
+_TILE = "_tile long, _side int, _key long, _n long, _visits boolean, _part long, _at int"
+_TILE_COLUMNS = [c.split()[0] for c in _TILE.split(", ")]
+
+
+def _hopes(rows: list[tuple], bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(differing bits, i, j) of the pairs of a tile that sizes, places and signatures leave possible."""
+    _, sides, _, sizes, visits, parts, places, *_ = (np.array(c) for c in zip(*(r[:7] for r in rows), strict=True))
+    # Of the shingles that two sets share, the first one must come early enough in both to leave room for the overlap.
+    room = sizes - places * sizes / PARTS + 1e-6
+    width = min(map(len, bits))
+    m = np.stack([_folded(np.frombuffer(b, np.uint8), width) for b in bits]).view(np.uint64)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for j in range(1, len(rows)):
+        hope = (parts[:j] != parts[j]) & ~(visits[:j] & visits[j]) & ((sides[:j] != sides[j]) | (sides[:j] < 0))
+        hope &= 100 * np.minimum(sizes[:j], sizes[j]) >= percent * np.maximum(sizes[:j], sizes[j])
+        hope &= np.minimum(room[:j], room[j]) * (100 + percent) >= percent * (sizes[:j] + sizes[j])
+        near = np.flatnonzero(hope)
+        if len(near):
+            differ = np.bitwise_count(m[near] ^ m[j]).sum(axis=1, dtype=np.int64)
+            passes = _similar((sizes[near] + sizes[j] - differ) // 2, sizes[near], sizes[j], percent)
+            out.append((differ[passes], near[passes], np.full(int(passes.sum()), j)))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([o[k] for o in out]) if out else none for k in range(3))
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[0] != held[0][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _in_tiles(rows: DataFrame) -> DataFrame:
+    return rows.repartition("_tile").sortWithinPartitions("_tile")
+
+
+def hopeful(dealt: DataFrame, bits: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """The rows of ``tiles`` whose signature leaves a link with another row of the tile possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        at = None
+        for rows in _by_tile(batches):
+            _, i, j = _hopes(rows, [r[7] for r in rows], percent)
+            kept = [rows[k][:7] for k in np.unique(np.concatenate([i, j]))]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*kept, strict=True), kinds, strict=True)], _TILE_COLUMNS)
 
-        def done() -> pa.RecordBatch:
-            found = compare(held) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["_x", "_y", "_differ", "_more"])
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32())
+    rows = dealt.join(bits.select("_key", "_bits"), "_key").select(*_TILE_COLUMNS, "_bits")
+    return _in_tiles(rows).mapInArrow(run, _TILE)
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != at:
-                    if len(held) > 1:
-                        yield done()
-                    at, held = row[0], []
-                held.append(row[1:])
-        yield done()
 
-    return rows.repartition("_tile").sortWithinPartitions("_tile").mapInArrow(run, "_x long, _y long, _differ long, _more boolean")
+def tile_links(rows: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """(_x, _y): links that connect the parts of each tile as all its links would. sets: _key, _set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_tile(batches):
+            arrays = [np.frombuffer(r[7], _U) for r in rows]
+            differ, i, j = _hopes(rows, [signature(a) for a in arrays], percent)
+            tops: dict[int, int] = {}
 
-def closest(found: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """From ``tile_pairs``: the pairs with the ``most`` closest partners of either side, and the classes that have more.
+            def top(part: int) -> int:
+                while part != (above := tops.setdefault(part, part)):
+                    tops[part] = part = tops.setdefault(above, above)
+                return part
 
-    A pair is left out only if both of its classes have more.
-    """
-    partners = materialise(found.groupBy("_x", "_y").agg(F.first("_differ").alias("_differ"), F.max("_more").alias("_more")), "partners")
-    each = Window.partitionBy("_x")
-    ranked = partners.withColumns({"_rank": F.row_number().over(each.orderBy("_differ", "_y")), "_crowded": F.max("_more").over(each) | (F.count(F.lit(1)).over(each) > most)})
-    ranked = materialise(ranked.filter(F.col("_rank") <= most), "closest")
-    pairs = ranked.select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).distinct()
-    return pairs, ranked.filter("_crowded").select(F.col("_x").alias("_key")).distinct()
+            found = []
+            for k in np.argsort(differ, kind="stable"):
+                a, b = int(i[k]), int(j[k])
+                p, q = top(rows[a][5]), top(rows[b][5])
+                if p != q and _linked(arrays[a], arrays[b], percent):
+                    tops[max(p, q)] = min(p, q)
+                    found.append((rows[a][2], rows[b][2]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["_x", "_y"])
+
+    return _in_tiles(rows.join(sets, "_key").select(*_TILE_COLUMNS, "_set")).mapInArrow(run, "_x long, _y long")
 
 
-def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = SIMILARITY, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Those of the pairs (_x, _y) that are linked, by exact intersection of their sorted sets.
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return bool(_similar(int((both[1:] == both[:-1]).sum()), len(a), len(b), percent))
 
-    The sets come from the texts of one document of each class that is in a pair. Their ids are
-    broadcast up to ``broadcast_rows`` of them; beyond that the texts are shuffled.
+
+def class_sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int = WORDS, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(_key, _set) of the classes in ``keys``: sorted sets, from the text of one document of each.
+
+    A document that is there many times (same id and text) gives a row a task; that does no harm.
+    The ids of these documents are broadcast up to ``broadcast_rows`` of them; beyond that the texts
+    are shuffled.
     """
-    pairs = materialise(pairs, "pairs")
-    used = materialise(pairs.select(F.explode(F.array("_x", "_y")).alias("_key")).distinct().join(classes, "_key").select("_key", "_first"), "used")
-    wanted = used.select(F.col("_first").alias("_wanted"))
+    used = materialise(keys.select("_key").distinct().join(classes, "_key").select("_key", "_first"), "used")
+    small = used.count() <= broadcast_rows
+    of = lambda *c: F.broadcast(used.select(*c)) if small else used.select(*c)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    texts = texts.join(F.broadcast(wanted) if used.count() <= broadcast_rows else wanted, F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi")
+    texts = texts.join(of(F.col("_first").alias("_wanted")), F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in _slices(batches):
-            found = list(shingle_sets(part.column(0), words))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["_key", "_set"])
+            found = {set_key(s): s.tobytes() for s in shingle_sets(part.column(0), words)}
+            new = [k for k in found if k not in seen]
+            if len(seen) < 1 << 20:
+                seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([found[k] for k in new], pa.binary())], ["_key", "_set"])
+
+    arrays = texts.select("_text").mapInArrow(sets, "_key long, _set binary").join(of("_key"), "_key", "left_semi")
+    return materialise(arrays, "sets")
+
 
-    arrays = texts.select("_text").mapInArrow(sets, "_key long, _set binary").join(F.broadcast(used.select("_key")) if used.count() <= broadcast_rows else used.select("_key"), "_key", "left_semi")
-    arrays = materialise(arrays, "sets")
+def links(pairs: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """Those of the pairs (_x, _y) that are linked, by exact intersection of their sorted sets."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keep = []
-                for p, q in zip(part.column(2), part.column(3), strict=True):
-                    a, b = np.frombuffer(p.as_buffer(), _U), np.frombuffer(q.as_buffer(), _U)
-                    both = np.sort(np.concatenate([a, b]), kind="stable")
-                    keep.append(bool(_similar(int((both[1:] == both[:-1]).sum()), len(a), len(b), percent)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["_x", "_y"]).filter(pa.array(keep, pa.bool_()))
+            keep = [_linked(np.frombuffer(p.as_buffer(), _U), np.frombuffer(q.as_buffer(), _U), percent) for p, q in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["_x", "_y"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: arrays.select(F.col("_key").alias(f"_{c}"), F.col("_set").alias(f"_s{c}"))
-    found = materialise(pairs.join(side("x"), "_x").join(side("y"), "_y").select("_x", "_y", "_sx", "_sy").mapInArrow(decide, "_x long, _y long"), "links")
-    discard(arrays)
-    return found
+    side = lambda c: sets.select(F.col("_key").alias(f"_{c}"), F.col("_set").alias(f"_s{c}"))
+    return pairs.join(side("y"), "_y").join(side("x"), "_x").select("_x", "_y", "_sx", "_sy").mapInArrow(decide, "_x long, _y long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -374,7 +464,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.select(F.col("_a").alias("_u"), F.col("_b").alias("_v")).unionByName(e.select(F.col("_b").alias("_u"), F.col("_a").alias("_v")))
-        least = both.groupBy("_u").agg(F.min("_v").alias("_m")).withColumn("_m", F.least("_u", "_m"))
+        # As a table of its own it has an exchange of its own, so that the join is split at a node with many neighbours.
+        least = materialise(both.groupBy("_u").agg(F.min("_v").alias("_m")).withColumn("_m", F.least("_u", "_m")), "least")
         large = both.join(least, "_u").filter("_v > _u AND _v != _m").select(F.col("_v").alias("_a"), F.col("_m").alias("_b")).distinct()
         small = large.groupBy("_a").agg(F.min("_b").alias("_m"))
         moved = large.join(small, "_a").filter("_b != _m").select(F.col("_b").alias("_a"), F.col("_m").alias("_b"))
@@ -385,7 +476,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _resolve(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, most: int = 2, few: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _resolve(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (_id, _key, _n), classes (_key, _first, _n, _bits, _copies) and roots (_key, _root) of linked classes."""
     described = materialise(describe(docs, id_col, text_col, words), "described")
     often = frequent(described)
@@ -394,22 +485,20 @@ def _resolve(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     classes = materialise(classes, "classes")
     discard(described)
     members = materialise(groups(prefixes(docs, text_col, often, words, percent), percent), "groups")
-    bits = classes.select("_key", "_bits")
-    check = lambda pairs: links(docs, pairs, classes, id_col, text_col, words, percent)
-    pairs, crowded = closest(tile_pairs(members.withColumn("_part", F.col("_key")), bits, percent, most), most)
-    forest = components(check(pairs))
-    while crowded.take(1):
-        members = materialise(members.join(crowded, "_key", "left_semi"), "groups")
-        placed = members.join(forest, "_key", "left").withColumn("_part", F.coalesce("_root", "_key")).drop("_root")
-        open_ = placed.groupBy("_group").agg(F.min("_part").alias("_a"), F.max("_part").alias("_b")).filter("_a != _b").select("_group")
-        placed = materialise(placed.join(open_, "_group", "left_semi"), "open")
-        pairs, crowded = closest(tile_pairs(placed, bits, percent, most), most)
-        found = check(pairs)
-        if found.count() < few * pairs.count():  # classes are rarely linked to their closest any more: all pairs decide
-            left = tile_pairs(placed, bits, percent).select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
-            found = found.unionByName(check(left.distinct()))
-            crowded = crowded.limit(0)
-        forest = components(forest.select(F.col("_key").alias("_x"), F.col("_root").alias("_y")).unionByName(found))
+    bits = classes.select("_key", "_n", "_bits")
+    sets_of = lambda keys: class_sets(docs, keys, classes, id_col, text_col, words)
+
+    pairs = materialise(possible(pivot_pairs(members, percent), bits, percent), "pairs")
+    sets = sets_of(pairs.select(F.explode(F.array("_x", "_y")).alias("_key")))
+    linked = materialise(links(pairs, sets, percent), "links")
+    discard(sets)
+    forest = components(linked)
+    placed = members.join(forest, "_key", "left").withColumn("_part", F.coalesce("_root", "_key")).drop("_root")
+    rest = materialise(hopeful(tiles(placed, percent), bits, percent), "hopeful")
+    sets = sets_of(rest)
+    more = materialise(tile_links(rest, sets, percent), "more")
+    discard(sets)
+    forest = components(forest.select(F.col("_key").alias("_x"), F.col("_root").alias("_y")).unionByName(more))
     return rows, classes, materialise(forest, "roots")
 
 

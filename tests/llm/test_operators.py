@@ -96,6 +96,29 @@ def test_ngram_join_against_brute_force(spark):
     assert [r.component_id for r in sorted(rows)] == components(texts)
 
 
+def test_ngram_join_of_hot_groups(spark, monkeypatch):
+    """A family of near copies, and texts that share a passage and are not linked, in tiles of many blocks."""
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 8)
+    rng = np.random.default_rng(4)
+    passage, base = [f"p{i}" for i in range(24)], [f"b{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"o{i}x{k}" for k in range(4)]) for i in range(90)]
+    for _ in range(90):
+        copy = list(base)
+        for at in rng.integers(0, len(copy), rng.integers(1, 4)):
+            copy[at] = f"v{rng.integers(0, 10_000)}"
+        texts.append(" ".join(copy))
+    want = components(texts)
+    assert len(set(want[:90])) == 90 and len(set(want[90:])) < 45
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in sorted(ngram_join.find_groups(table).collect())] == want
+    often = ngram_join.frequent(ngram_join.describe(table, "doc_id", "text"))
+    members = ngram_join.groups(ngram_join.prefixes(table, "text", often))
+    assert ngram_join.pivot_pairs(members).count() <= 2 * members.count()
+    dealt = ngram_join.tiles(members.withColumn("_part", F.col("_key")))
+    sizes = [r["count"] for r in dealt.groupBy("_tile").count().collect()]
+    assert max(sizes) <= 4 * 8 and len(sizes) > 20
+
+
 def test_token_counts(docs, nothing):
     encode = packing.encoder(tokenizer_path())
     trees = token_counts.build_trees(docs, tokenizer_path())
