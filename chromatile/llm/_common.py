@@ -64,6 +64,22 @@ def discard(table: DataFrame) -> None:
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def sample_by_hash(rows: DataFrame, stratum: str, most: int, *hashed: str) -> DataFrame:
+    """The ``most`` rows of each stratum (few values, not null) with the smallest hashes of the columns ``hashed``.
+
+    Exactly ``most`` rows, or all if there are fewer: also where rows repeat, as ties count one by
+    one. The limits are found on hashes alone, which each task cuts to ``most`` before they are shuffled.
+    """
+    h = F.xxhash64(*hashed)
+    by = Window.partitionBy("_stratum").orderBy("_h")
+    slim = rows.select(F.col(stratum).alias("_stratum"), h.alias("_h")).withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= most)
+    limits = [F.lit(x) for r in slim.groupBy("_stratum").agg(F.max("_h").alias("_h")).collect() for x in r]
+    if not limits:
+        return rows.limit(0)
+    near = rows.withColumns({"_stratum": F.col(stratum), "_h": h}).filter(F.col("_h") <= F.create_map(*limits)[F.col("_stratum")])
+    return near.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= most).drop("_stratum", "_h", "_rank")
+
+
 def power_of_two(n: float) -> int:
     """The smallest power of two that is at least ``n`` (and at least 1)."""
     return 1 << max(0, int(-(-n // 1)) - 1).bit_length() if n > 1 else 1

@@ -1,9 +1,9 @@
 """Language identification by a convolutional network over bytes, trained and applied in numpy.
 
-Bytes are mapped to 64 classes; filters of several widths slide over fixed-length windows, are max
-pooled over each window, and a softmax layer scores the languages. Every window of a text counts,
-weighted by its bytes. As the input is one-hot, a filter is a sum of table look-ups; for applying,
-the tables of neighbouring bytes are merged into tables over pairs.
+Filters of several widths slide over the bytes of fixed-length windows, are max pooled over each
+window, and a softmax layer scores the languages. Every window of a text counts, weighted by its
+bytes. As the input is one-hot, a filter is a sum of table look-ups; for applying, the tables of
+neighbouring bytes are merged into tables over pairs.
 """
 
 from __future__ import annotations
@@ -16,37 +16,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import sample_by_hash
+
 WIDTHS = (2, 3, 4)
-FILTERS = 12
-CLASSES = 64
+FILTERS = 16
+BYTES = 256
 WINDOW = 512
+PAD = 32  # a blank
+SHORTEST = 16
 UNKNOWN = "und"
 
 
-def _byte_classes() -> np.ndarray:
-    """Letters (case folded) 1..26, digits 27, white space 0, apostrophe 28, other ASCII 29; other bytes 32 + their low 5 bits."""
-    out = np.full(256, 29, np.uint8)
-    for b in range(256):
-        c = chr(b)
-        if b >= 128:
-            out[b] = 32 + (b & 31)
-        elif c.isalpha():
-            out[b] = ord(c.lower()) - 96
-        elif c.isdigit():
-            out[b] = 27
-        elif c.isspace() or b == 0:
-            out[b] = 0
-        elif c == "'":
-            out[b] = 28
-    return out
-
-
-BYTE_CLASS = _byte_classes()
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 @dataclass
 class Model:
-    """filters[w][j]: class x filter table of the j-th byte under a filter of width w; dense: features x languages."""
+    """filters[w][j]: byte x filter table of the j-th byte under a filter of width w; dense: features x languages."""
 
     languages: list[str]
     filters: dict[int, np.ndarray]
@@ -72,17 +59,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Model:
-    """Train by Adam on windows (n, WINDOW) of byte classes and language numbers; the same input gives the same model."""
+def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 5, batch: int = 64, rate: float = 0.005, seed: int = 0) -> Model:
+    """Train by Adam on windows (n, WINDOW) of bytes and language numbers; the same input gives the same model.
+
+    Each time a window is used, it is cut to a random part of it in half of the cases, since short
+    texts fill windows only in part.
+    """
     rng = np.random.default_rng(seed)
     k, f = len(languages), len(WIDTHS) * FILTERS
-    model = Model(languages, {w: rng.normal(0, 0.3, (w, CLASSES, FILTERS)).astype(np.float32) for w in WIDTHS}, np.zeros(f, np.float32), rng.normal(0, 0.3, (f, k)).astype(np.float32), np.zeros(k, np.float32))
+    model = Model(languages, {w: rng.normal(0, 0.3, (w, BYTES, FILTERS)).astype(np.float32) for w in WIDTHS}, np.zeros(f, np.float32), rng.normal(0, 0.3, (f, k)).astype(np.float32), np.zeros(k, np.float32))
     weights = [*(model.filters[w] for w in WIDTHS), model.bias, model.dense, model.dense_bias]
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     for epoch in range(epochs):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), batch):
-            x, y = windows[order[at : at + batch]], labels[order[at : at + batch]]
+            x, y = windows[order[at : at + batch]].copy(), labels[order[at : at + batch]]
+            for row in x[rng.random(len(x)) < 0.5]:
+                size = int(rng.integers(SHORTEST, WINDOW))
+                begin = int(rng.integers(0, WINDOW - size + 1))
+                row[:size], row[size:] = row[begin : begin + size].copy(), PAD
             z, places = _features(model, x)
             h = np.maximum(z, 0)
             d = _softmax(h @ model.dense + model.dense_bias)
@@ -111,7 +106,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         t = model.filters
-        pair = lambda a, b: (a[:, None, :] + b[None, :, :]).reshape(CLASSES * CLASSES, FILTERS)
+        pair = lambda a, b: (a[:, None, :] + b[None, :, :]).reshape(BYTES * BYTES, FILTERS)
         self.model = model
         self.pairs = np.ascontiguousarray(np.concatenate([pair(t[2][0], t[2][1]), pair(t[3][0], t[3][1]), pair(t[4][0], t[4][1])], axis=1))
         self.third = np.ascontiguousarray(t[3][2])
@@ -122,7 +117,7 @@ class Scorer:
         out = []
         for at in range(0, len(x), step):
             c = np.ascontiguousarray(x[at : at + step].T)
-            p = c[:-1].astype(np.int32) * CLASSES + c[1:]
+            p = c[:-1].astype(np.int32) * BYTES + c[1:]
             z = self.pairs[p]
             z3 = z[:-1, :, FILTERS : 2 * FILTERS] + self.third[c[2:]]
             z4 = z[:-2, :, 2 * FILTERS :] + self.last[p[2:]]
@@ -132,10 +127,10 @@ class Scorer:
 
 
 def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of a text as byte classes, the last one padded with white space, and the bytes in each."""
+    """All windows of a text, the last one padded with blanks, and the bytes in each."""
     n = max(1, -(-len(data) // WINDOW))
-    x = np.zeros(n * WINDOW, np.uint8)
-    x[: len(data)] = BYTE_CLASS[np.frombuffer(data, np.uint8)]
+    x = np.full(n * WINDOW, PAD, np.uint8)
+    x[: len(data)] = np.frombuffer(data, np.uint8)
     size = np.full(n, WINDOW)
     size[-1] = len(data) - (n - 1) * WINDOW
     return x.reshape(n, WINDOW), size
@@ -143,10 +138,10 @@ def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def has_letter(data: bytes) -> bool:
     """Whether a UTF-8 text has a letter of any script."""
-    x = BYTE_CLASS[np.frombuffer(data, np.uint8)]
-    if ((x >= 1) & (x <= 26)).any():
+    x = np.frombuffer(data, np.uint8)
+    if _LETTER[x].any():
         return True
-    return bool((x >= 32).any()) and any(c.isalpha() for c in data.decode("utf-8", "replace"))
+    return bool((x >= 128).any()) and any(c.isalpha() for c in data.decode("utf-8", "replace"))
 
 
 def with_letter(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -166,40 +161,26 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", docs_per_language: int = 1200, most_docs: int = 20_000, windows_per_doc: int = 4, seed: int = 0) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", docs_per_language: int = 800, most_docs: int = 20_000, most_languages: int = 256, seed: int = 0) -> Model:
     """Fit on a bounded sample of the rows of ``docs`` that have a label and are not held out.
 
-    About ``docs_per_language`` documents a language (fewer if there are so many languages that they
-    would be over ``most_docs``), chosen by a hash of the id, with ``windows_per_doc`` windows at
-    hashed places of the whole text, half of them shorter than a window, as short texts are. Without any labelled row the model knows no language.
+    ``docs_per_language`` documents a language (fewer if there are so many languages that they would
+    be over ``most_docs``) are chosen by a hash of id and text; all windows of their whole texts
+    count. Languages beyond the ``most_languages`` most frequent are not learned. Without any
+    labelled row the model knows no language.
     """
-    rows = docs.filter(F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = {r[label_col]: r["n"] for r in rows.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(counts)
+    rows = docs.filter(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(label_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("_id"))
+    counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(most_languages).collect()
+    languages = sorted(r["_lang"] for r in counts)
     if not languages:
         return Model([], {}, np.zeros(0), np.zeros((0, 0)), np.zeros(0))
     each = max(1, min(docs_per_language, most_docs // len(languages)))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, float(each) / counts[k])])[F.col(label_col)]
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-
-    def crops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, out = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = (text or "").encode()
-                rng = np.random.default_rng([seed, len(data)])
-                for _ in range(windows_per_doc if data else 0):
-                    size = WINDOW if rng.random() < 0.5 else int(rng.integers(16, WINDOW))
-                    at = int(rng.integers(0, max(1, len(data) - size + 1)))
-                    langs.append(lang)
-                    out.append(data[at : at + size])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "data"])
-
-    got = rows.filter(draw < share).select(F.col(label_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(crops, "lang string, data binary").collect()
-    got.sort(key=lambda r: (r["lang"], bytes(r["data"])))
-    x = np.concatenate([windows_of(bytes(r["data"]))[0] for r in got]) if got else np.zeros((0, WINDOW), np.uint8)
+    chosen = sample_by_hash(rows.filter(F.col("_lang").isin(languages)), "_lang", each, "_id", "_text")
+    got = sorted((r["_lang"], r["_text"].encode()) for r in chosen.filter("_text != ''").select("_lang", "_text").collect())
+    found = [windows_of(data)[0] for _, data in got]
     number = {k: i for i, k in enumerate(languages)}
-    return fit(x, np.array([number[r["lang"]] for r in got], np.int64), languages, seed=seed)
+    labels = np.repeat([number[lang] for lang, _ in got], [len(x) for x in found]).astype(np.int64)
+    return fit(np.concatenate(found) if found else np.zeros((0, WINDOW), np.uint8), labels, languages, seed=seed)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

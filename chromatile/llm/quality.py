@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import discard, materialise, sample_by_hash
+
 GOOD, BAD, NONE = 1, 0, 2
 LABELLERS = ("symbols", "capitals", "shouting", "bars", "function_words", "punctuation", "repeated_lines", "word_length", "repeated_words")
 BUCKETS = 1 << 16
@@ -67,28 +69,32 @@ def votes(text: str) -> list[int]:
     ]
 
 
-def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, false_alarms: float = 0.002) -> tuple[float, np.ndarray]:
+def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, anchor: float = 0.002, free_rounds: int = 1) -> tuple[float, np.ndarray]:
     """(share of good documents, P(vote | class) as (labeller, class, vote)) by EM, first taking any vote for bad as right.
 
     patterns: (n, labellers) of votes; counts: documents of each. Votes are independent given the
-    class, and a labeller that says nothing does not count. Labellers are taken to call bad at most
-    ``false_alarms`` of the good documents.
+    class, and a labeller that says nothing does not count. Until EM has settled, labellers are taken
+    to call bad at most ``anchor`` of the good documents, which ties the two classes to their names;
+    then ``free_rounds`` rounds estimate these rates too (one: from documents judged with the bound).
     """
     n, k = patterns.shape
     one_hot = np.eye(3)[patterns]
     post = np.where((patterns == BAD).any(axis=1), 0.05, 0.95)
-    prior, table = 0.5, np.full((k, 2, 3), 1 / 3)
-    for _ in range(rounds):
+    prior, table, left = 0.5, np.full((k, 2, 3), 1 / 3), rounds
+    free = False
+    while left:
+        left -= 1
         weight = np.stack([(1 - post) * counts, post * counts])
         prior = (weight[1].sum() + 1) / (counts.sum() + 2)
         table = np.einsum("cn,nkv->kcv", weight, one_hot) + 0.5
         table /= table[:, :, :NONE].sum(axis=2, keepdims=True)
-        table[:, 1, BAD] = np.minimum(table[:, 1, BAD], false_alarms)
-        table[:, 1, GOOD] = 1 - table[:, 1, BAD]
+        if not free:
+            table[:, 1, BAD] = np.minimum(table[:, 1, BAD], anchor)
+            table[:, 1, GOOD] = 1 - table[:, 1, BAD]
         table[:, :, NONE] = 1.0  # saying nothing tells nothing
         new = posterior(patterns, prior, table)
-        if np.abs(new - post).max() < 1e-9:
-            break
+        if not free and (not left or np.abs(new - post).max() < 1e-9):
+            free, left = True, free_rounds
         post = new
     return float(prior), table
 
@@ -162,14 +168,16 @@ def score_text(data: bytes, model: Model) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4000, sample_bytes: int = 8192, seed: int = 0) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4000, seed: int = 0) -> Model:
     """Estimate the labellers on all documents, then fit the scorer.
 
-    The scorer is fitted on at most ``sample_rows`` documents, half of them likely bad as far as there
-    are so many, chosen by a hash; of a longer text, ``sample_bytes`` bytes at a hashed place count.
+    The scorer is fitted on at most ``sample_rows`` whole documents, half of them likely bad as far as
+    there are so many, chosen by a hash of id and text.
     """
-    texts = _with_votes(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")))
-    rows = texts.groupBy(F.col("_votes").alias("votes")).agg(F.count(F.lit(1)).alias("n")).collect()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    mark = F.xxhash64("_id", "_text", F.lit(seed))
+    voted = materialise(_with_votes(texts.select(mark.alias("_mark"), "_text")), "votes")
+    rows = voted.groupBy(F.col("_votes").alias("votes")).agg(F.count(F.lit(1)).alias("n")).collect()
     k = len(LABELLERS)
     rows = sorted((r["votes"], r["n"]) for r in rows if r["votes"] != str(NONE) * k)
     if not rows:
@@ -178,37 +186,29 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     prior, table = fit_labellers(patterns, counts)
     post = posterior(patterns, prior, table)
     bad = [v for (v, _), p in zip(rows, post, strict=True) if p < 0.5]
-    n_bad = int(counts[post < 0.5].sum())
-    n_good = int(counts.sum()) - n_bad
-    shares = {True: min(1.0, sample_rows / 2 / max(1, n_bad)), False: min(1.0, sample_rows / 2 / max(1, n_good))}
     is_bad = F.col("_votes").isin(bad) if bad else F.lit(False)
-    draw = F.pmod(F.xxhash64("_id", "_text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-
-    def crop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                data = text.encode()
-                at = int(np.random.default_rng([seed, len(data)]).integers(0, max(1, len(data) - sample_bytes + 1)))
-                out.append(data[at : at + sample_bytes])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["votes", "data"])
-
-    chosen = texts.filter((F.col("_votes") != str(NONE) * k) & (draw < F.when(is_bad, shares[True]).otherwise(shares[False])))
-    got = sorted((bytes(r["data"]), r["votes"]) for r in chosen.select("_votes", "_text").mapInArrow(crop, "votes string, data binary").collect())
+    likely = voted.filter(F.col("_votes") != str(NONE) * k).withColumn("_bad", is_bad)
+    marks = sample_by_hash(likely, "_bad", sample_rows // 2, "_mark")
+    marks = materialise(marks.groupBy("_mark", "_votes").agg(F.count(F.lit(1)).alias("_times")), "sample")  # at most sample_rows
+    found = texts.withColumn("_mark", mark).join(F.broadcast(marks), "_mark").select("_text", "_votes", "_times", "_mark")
+    got = sorted((r["_text"].encode(), r["_votes"]) for r in found.dropDuplicates(["_mark"]).select("_text", "_votes", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).collect())
+    discard(voted)
     soft = dict(zip((v for v, _ in rows), post, strict=True))
     weights, bias = fit_scorer([d for d, _ in got], np.array([soft[v] for _, v in got]), seed=seed)
     return Model(prior, table, weights, bias)
 
 
 def _with_votes(texts: DataFrame) -> DataFrame:
+    """(_mark, _votes) of rows (_mark, _text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 codes = ["".join(map(str, votes(t or ""))) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codes, pa.string())], ["_id", "_text", "_votes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.string())], ["_mark", "_votes"])
 
-    return texts.mapInArrow(run, f"_id {texts.schema['_id'].dataType.simpleString()}, _text string, _votes string")
+    return texts.mapInArrow(run, "_mark long, _votes string")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -100,7 +100,7 @@ def test_ngram_join_of_hot_groups(spark, monkeypatch):
     """A family of near copies, and texts that share a passage and are not linked, in tiles of many blocks."""
     monkeypatch.setattr(ngram_join, "TILE_ROWS", 8)
     rng = np.random.default_rng(4)
-    passage, base = [f"p{i}" for i in range(24)], [f"b{i}" for i in range(60)]
+    passage, base = [f"p{i}" for i in range(24)], [f"b{i}" for i in range(140)]
     texts = [" ".join(passage + [f"o{i}x{k}" for k in range(4)]) for i in range(90)]
     for _ in range(90):
         copy = list(base)
