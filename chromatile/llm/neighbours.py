@@ -2,8 +2,9 @@
 
 A vector is the sum of one codeword from each of several codebooks, all of full dimension. Codebooks
 start as k-means of residuals and are refined together on a bounded sample; encoding is a beam search
-over the codebooks. Every row is indexed. Queries in blocks meet rows in chunks: inner products are
-read from look-up tables by the stored codes, the best are reranked on the original vectors.
+over the codebooks. Every row is indexed. Queries in blocks meet rows in chunks: scores are read
+from look-up tables by the stored codes (and, for distances, the stored norms of the decoded
+vectors), the best are reranked on the original vectors.
 """
 
 from __future__ import annotations
@@ -25,7 +26,13 @@ def usable(vector: Column) -> Column:
 
 
 def _matrix(column: pa.Array, dim: int, dtype=np.float32) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim).astype(dtype, copy=False)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim).astype(dtype or column.type.value_type.to_pandas_dtype(), copy=False)
+
+
+def _stored(vectors: DataFrame, vector_col: str) -> Column:
+    """The vector with its own components: float stays float, any other number is double."""
+    own = vectors.schema[vector_col].dataType.simpleString()
+    return F.col(vector_col).cast("array<float>" if own == "array<float>" else "array<double>")
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = 4) -> np.ndarray:
@@ -92,7 +99,7 @@ def train(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 
 def build_index(vectors: DataFrame, books: np.ndarray, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = 4) -> DataFrame:
-    """Every usable row: _id, _vector (as float), _codes, _norm (of the decoded vector)."""
+    """Every usable row: _id, _vector (float or double, as it came), _codes, _norm (squared, of the decoded vector)."""
     dim = books.shape[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,49 +107,60 @@ def build_index(vectors: DataFrame, books: np.ndarray, id_col: str = "vec_id", v
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 codes = encode(_matrix(part.column(1), dim), books, beam)
-                norms = np.linalg.norm(decode(codes, books), axis=1).astype(np.float32)
+                norms = (decode(codes, books) ** 2).sum(axis=1, dtype=np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["_id", "_vector", "_codes", "_norm"])
 
-    rows = vectors.filter(usable(F.col(vector_col))).select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<float>"))
-    return rows.mapInArrow(run, "_id long, _vector array<float>, _codes binary, _norm float")
+    rows = vectors.filter(usable(F.col(vector_col))).select(F.col(id_col).cast("long"), _stored(vectors, vector_col).alias("_v"))
+    return rows.mapInArrow(run, f"_id long, _vector {rows.schema['_v'].dataType.simpleString()}, _codes binary, _norm float")
+
+
+MEASURES = ("inner", "euclidean")
+
 
+def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 20, measure: str = "inner", rerank: int = 1024, queries_per_block: int = 16_384, rows_per_chunk: int = 32_768) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest rows of ``index``.
 
-def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 20, rerank: int = 1024, queries_per_block: int = 1024, rows_per_chunk: int = 32_768) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` rows of ``index`` with the largest inner product.
+    Nearest by ``inner`` is the largest inner product; by ``euclidean`` the smallest distance, scored
+    as its negative square (only this reads the stored norms).
 
     queries: _id, _vector. A row is no neighbour of queries with its own id. Of rows with equal
     vectors only the k + 1 with the smallest ids can be among the nearest, so the others are not
     scored. In each chunk ``rerank`` rows a query are chosen by their codes and reranked in double
-    precision. Blocks and chunks have bounded sizes; all of them meet.
+    precision. Blocks and chunks have bounded sizes; all of them meet, so the work is queries times
+    rows, and a row is shuffled once for every ``queries_per_block`` queries.
     """
-    copies = Window.partitionBy(F.xxhash64("_vector")).orderBy("_id")
+    if measure not in MEASURES:
+        raise ValueError(f"measure {measure!r} is none of {MEASURES}")
+    euclidean = measure == "euclidean"
+    copies = Window.partitionBy("_vector").orderBy("_id")
     rows = materialise(index.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).drop("_copy"), "index")
     queries = materialise(queries, "queries")
     blocks, chunks = max(1, -(-queries.count() // queries_per_block)), max(1, -(-rows.count() // rows_per_chunk))
     deal = lambda n: F.pmod(F.xxhash64("_id", "_vector"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select(deal(blocks).alias("_block"), every(chunks).alias("_chunk"), "_id", "_vector")
-    right = rows.select(every(blocks).alias("_block"), deal(chunks).alias("_chunk"), "_id", "_vector", "_codes")
+    right = rows.select(every(blocks).alias("_block"), deal(chunks).alias("_chunk"), "_id", "_vector", "_codes", "_norm")
     dim = books.shape[2]
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         out = [[], [], []]
         if asked.num_rows and held.num_rows:
             ids = held["_id"].to_numpy()
-            vectors = _matrix(held["_vector"].combine_chunks(), dim)
+            vectors, norms = _matrix(held["_vector"].combine_chunks(), dim, None), held["_norm"].to_numpy()
             codes = np.frombuffer(b"".join(held["_codes"].to_pylist()), np.uint8).reshape(len(ids), len(books)).T.copy()
-            names, points = asked["_id"].to_numpy(), _matrix(asked["_vector"].combine_chunks(), dim)
+            names, points = asked["_id"].to_numpy(), _matrix(asked["_vector"].combine_chunks(), dim, float)
             step = max(1, (1 << 22) // len(ids))
             for at in range(0, len(names), step):
                 q, own = points[at : at + step], names[at : at + step]
-                scores = np.zeros((len(q), len(ids)), np.float32)
+                scores = np.tile(-norms / 2, (len(q), 1)) if euclidean else np.zeros((len(q), len(ids)), np.float32)
                 for m, book in enumerate(books):
-                    scores += np.take(q @ book.T, codes[m], axis=1)
+                    scores += np.take(q.astype(np.float32) @ book.T, codes[m], axis=1)
                 n = min(rerank + 1, len(ids))
                 best = np.argpartition(scores, len(ids) - n, axis=1)[:, len(ids) - n :]
                 for row, (near, name) in enumerate(zip(best, own, strict=True)):
                     near = near[ids[near] != name]
-                    exact = vectors[near].astype(float) @ q[row].astype(float)
+                    own_rows = vectors[near].astype(float)
+                    exact = -((own_rows - q[row]) ** 2).sum(axis=1) if euclidean else own_rows @ q[row]
                     top = np.lexsort((ids[near], -exact))[:k]
                     out[0].append(np.full(len(top), name))
                     out[1].append(ids[near][top])
@@ -160,6 +178,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
 
     Vectors that are null, zero, not finite, or of another length than most rows have take no part;
     neither do rows without an id. Queries of one id are one query each only if their vectors differ.
+    Float vectors are held as float, others as double; scores are in double precision.
     An empty table gives an empty result.
     """
     lengths = vectors.filter(usable(F.col(vector_col))).groupBy(F.size(vector_col).alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
@@ -167,5 +186,5 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     vectors = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"), is_query.alias("_asks")).filter((F.size("embedding") == lengths[0]["dim"]) & F.col("vec_id").isNotNull())
     books = train(vectors)
-    queries = vectors.filter(F.col("_asks") & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("_id"), F.col("embedding").cast("array<float>").alias("_vector")).dropDuplicates()
+    queries = vectors.filter(F.col("_asks") & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("_id"), _stored(vectors, "embedding").alias("_vector")).dropDuplicates()
     return search(build_index(vectors, books), queries, books, k, **options)

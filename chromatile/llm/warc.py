@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path
+from ._common import discard, materialise, new_path
 
 # Fixed values of the ARC formats: field lines of version 1 and 2.
 ARC_FIELDS = {
@@ -142,8 +142,12 @@ def _page_id(head: bytes) -> int | None:
 _ARC_ROW = "row string, page_id long, url string, ip string, date string, head string, payload_bytes long, payload_digest string, head_digest string, block_digest string"
 
 
+#: Names of archives; others in a folder are left alone.
+ARCHIVES = "*.{gz,arc,warc}"
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", ARCHIVES).load(path).select("path", "content")
 
 
 def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -177,9 +181,29 @@ def _urn(row: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), _uuid(row), F.lit(">"))
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0, records_per_file: int = 2_000) -> None:
+def _in_chunks(values: DataFrame, chunk_bytes: int) -> DataFrame:
+    """The values joined by the end of a record, up to about ``chunk_bytes`` at once (a larger value is alone)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for value in _strings(batch.column(0)):
+                if parts and size + len(value) > chunk_bytes:
+                    yield pa.RecordBatch.from_arrays([_text([RECORD_END.encode().join(parts)])], ["value"])
+                    parts, size = [], 0
+                parts.append(value)
+                size += len(value)
+        if parts:
+            yield pa.RecordBatch.from_arrays([_text([RECORD_END.encode().join(parts)])], ["value"])
+
+    return values.mapInArrow(run, "value string")
+
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0, chunk_bytes: int = 32 << 20) -> None:
     """Convert the ARC archives under ``arc_path`` to gzipped WARC archives under ``warc_path``.
 
+    An archive holds about ``chunk_bytes`` bytes of records; a larger record makes a larger one.
+
     Of records with equal payloads of at least ``min_bytes`` bytes, the one with the largest page id
     (null ids first; ties by name) becomes a response, the others revisit it: they keep the HTTP
     headers and the digest of the payload, and name the response. The winners are found on slim
@@ -187,6 +211,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
     """
     slim = read_arc(spark, arc_path, with_payload=False).filter(F.col("payload_bytes") >= min_bytes)
     first = slim.groupBy("payload_digest").agg(F.max(F.struct("page_id", "row", "url", "date")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    first = materialise(first, "first")  # with an exchange of its own, so that a payload of many pages is split in the join
     rows = read_arc(spark, arc_path).join(first, "payload_digest", "left")
     iso = lambda d: F.date_format(F.to_timestamp(F.rpad(d, 14, "0"), "yyyyMMddHHmmss"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     again = (F.col("payload_bytes") >= min_bytes) & F.col("_first").isNotNull() & (F.col("row") != F.col("_first.row"))
@@ -216,7 +241,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
         F.lit("\r\n"),
     )
     values = rows.select(F.concat(header, block).alias("value"))
-    values.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(warc_path)
+    _in_chunks(values, chunk_bytes).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(warc_path)
+    discard(first)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -279,7 +305,7 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, path: str | None = None)
     path = path or new_path(spark, "archives")
     write_arc(pages, f"{path}/arc")
     convert(spark, f"{path}/arc", f"{path}/warc", min_bytes)
-    read = read_warc(spark, f"{path}/warc")
+    read = materialise(read_warc(spark, f"{path}/warc"), "records")  # slim rows; archives are parsed once
     out = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     target = read.filter("record_type = 'response'").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"))
     responses = read.filter("record_type = 'response'").select(*out, F.lit(None).cast("long").alias("refers_to"))
