@@ -11,7 +11,9 @@ Only what is connected is asked for, so not all pairs are needed. First every cl
 of its group and band, the class with the smallest key: that costs a row a membership and connects
 families of near copies. Then tiles compare what is not yet connected: the classes of the largest
 part of a group only with the others, never among themselves. A tile returns the classes that may
-have a partner, then a spanning forest of its links: never its pairs.
+have a partner, with the two closest of each; these are tried. Of what is left, a class with few
+possible partners in a tile names them all, and a pair is tried once, however many tiles name it; the
+sets of the others meet in the tile, which returns a spanning forest of their links: never its pairs.
 
 Links are exact for 64-bit hashes of shingles, and equal sets are told by 64-bit names.
 """
@@ -369,23 +371,62 @@ def _in_tiles(rows: DataFrame) -> DataFrame:
     return rows.repartition("_tile").sortWithinPartitions("_tile")
 
 
-def hopeful(dealt: DataFrame, bits: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """The rows of ``tiles`` whose signature leaves a link with another row of the tile possible."""
+#: Closest partners that a tile names for each class, first and where classes are still apart.
+CLOSEST = 2
+FEW = 32
+
+
+def hopeful(dealt: DataFrame, bits: DataFrame, percent: int = SIMILARITY, most: int = CLOSEST) -> DataFrame:
+    """The rows of ``tiles`` whose signature leaves a link with another row of the tile possible.
+
+    _near: the ``most`` closest such rows, by (differing bits, key); _more: there are others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_tile(batches):
-            _, i, j = _hopes(rows, [r[7] for r in rows], percent)
-            kept = [rows[k][:7] for k in np.unique(np.concatenate([i, j]))]
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*kept, strict=True), kinds, strict=True)], _TILE_COLUMNS)
-
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32())
+            differ, i, j = _hopes(rows, [r[7] for r in rows], percent)
+            near: dict[int, list[tuple[int, int]]] = {}
+            more: set[int] = set()
+            for k in np.argsort(differ, kind="stable"):
+                for x, y in ((int(i[k]), int(j[k])), (int(j[k]), int(i[k]))):
+                    if len(own := near.setdefault(x, [])) < most:
+                        own.append((int(differ[k]), rows[y][2]))
+                    else:
+                        more.add(x)
+            if near:
+                columns = [*zip(*(rows[x][:7] for x in near), strict=True), [[{"differ": d, "key": y} for d, y in own] for own in near.values()], [x in more for x in near]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*_TILE_COLUMNS, "_near", "_more"])
+
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.struct([("differ", pa.int64()), ("key", pa.int64())])), pa.bool_())
     rows = dealt.join(bits.select("_key", "_bits"), "_key").select(*_TILE_COLUMNS, "_bits")
-    return _in_tiles(rows).mapInArrow(run, _TILE)
+    return _in_tiles(rows).mapInArrow(run, f"{_TILE}, _near array<struct<differ: long, key: long>>, _more boolean")
+
+
+def _pairs(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("_x"), F.greatest(a, b).alias("_y")]
+
+
+def closest(rows: DataFrame) -> DataFrame:
+    """(_x, _y): each class with its ``CLOSEST`` closest partners over all its tiles."""
+    each = rows.select("_key", F.explode("_near").alias("_p")).groupBy("_key", F.col("_p.key").alias("_other")).agg(F.min("_p.differ").alias("_differ"))
+    ranked = each.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy("_differ", "_other"))).filter(F.col("_rank") <= CLOSEST)
+    return ranked.select(*_pairs("_key", "_other")).distinct()
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """(_x, _y): the partners that classes with few of them in a tile have there."""
+    return rows.filter("NOT _more").select("_key", F.explode("_near.key").alias("_other")).select(*_pairs("_key", "_other")).distinct()
+
+
+def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``hopeful`` in tiles that still hold several parts, with the parts of now."""
+    now = rows.drop("_part").join(roots, "_key", "left").withColumn("_part", F.coalesce("_root", "_key")).select(*_TILE_COLUMNS)
+    apart = now.groupBy("_tile").agg(F.min("_part").alias("_a"), F.max("_part").alias("_b")).filter("_a != _b").select("_tile")
+    return now.join(apart, "_tile", "left_semi")
 
 
 def tile_links(rows: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """(_x, _y): links that connect the parts of each tile as all its links would. sets: _key, _set."""
+    """(_x, _y): links that connect the parts of these rows in each tile as all their links would. sets: _key, _set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_tile(batches):
@@ -486,20 +527,26 @@ def _resolve(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     discard(described)
     members = materialise(groups(prefixes(docs, text_col, often, words, percent), percent), "groups")
     bits = classes.select("_key", "_n", "_bits")
-    sets_of = lambda keys: class_sets(docs, keys, classes, id_col, text_col, words)
-
-    pairs = materialise(possible(pivot_pairs(members, percent), bits, percent), "pairs")
-    sets = sets_of(pairs.select(F.explode(F.array("_x", "_y")).alias("_key")))
-    linked = materialise(links(pairs, sets, percent), "links")
-    discard(sets)
-    forest = components(linked)
-    placed = members.join(forest, "_key", "left").withColumn("_part", F.coalesce("_root", "_key")).drop("_root")
-    rest = materialise(hopeful(tiles(placed, percent), bits, percent), "hopeful")
-    sets = sets_of(rest)
-    more = materialise(tile_links(rest, sets, percent), "more")
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "pairs")
+        sets = class_sets(docs, pairs.select(F.explode(F.array("_x", "_y")).alias("_key")), classes, id_col, text_col, words)
+        found = materialise(links(pairs, sets, percent), "links")
+        discard(sets)
+        return found
+
+    edges = lambda roots: roots.select(F.col("_key").alias("_x"), F.col("_root").alias("_y"))
+    roots = components(linked(possible(pivot_pairs(members, percent), bits, percent)))
+    placed = members.join(roots, "_key", "left").withColumn("_part", F.coalesce("_root", "_key")).drop("_root")
+    left = materialise(hopeful(tiles(placed, percent), bits, percent), "hopeful")
+    roots = components(edges(roots).unionByName(linked(closest(left))))
+    left = materialise(hopeful(still_open(left, roots), bits, percent, FEW), "open")
+    few = linked(named(left))
+    many = left.filter("_more").select(*_TILE_COLUMNS)
+    sets = class_sets(docs, many, classes, id_col, text_col, words)
+    more = materialise(tile_links(many, sets, percent), "more")
     discard(sets)
-    forest = components(forest.select(F.col("_key").alias("_x"), F.col("_root").alias("_y")).unionByName(more))
-    return rows, classes, materialise(forest, "roots")
+    roots = components(edges(roots).unionByName(few).unionByName(more))
+    return rows, classes, materialise(roots, "roots")
 
 
 def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
