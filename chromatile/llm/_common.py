@@ -88,12 +88,16 @@ def power_of_two(n: float) -> int:
 def running_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str], value: Column, out: str) -> DataFrame:
     """Running sum of ``value`` along ``order`` within ``keys``, this row included.
 
-    ``bucket`` has to follow ``order`` (all rows of a smaller bucket come first), so that a key that
-    holds a large part of all rows is dealt over many tasks: sums run inside (keys, bucket), and the
-    totals of the buckets before are added. ``keys`` and ``bucket`` must not be null.
+    ``bucket`` (a whole number) has to follow ``order`` (all rows of a smaller bucket come first), so
+    that a key that holds a large part of all rows is dealt over many tasks: sums run inside (keys,
+    bucket), and the totals of the buckets before are added. Totals are summed in two levels, 1024
+    buckets at once. ``keys`` and ``bucket`` must not be null.
     """
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_total"))
-    offsets = totals.select(*keys, bucket, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    totals = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_total")).withColumn("_upper", F.floor(F.col(bucket) / 1024))
+    upper = totals.groupBy(*keys, "_upper").agg(F.sum("_total").alias("_sum"))
+    below = lambda keys, by, what: F.coalesce(F.sum(what).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upper = upper.select(*keys, "_upper", below(keys, "_upper", "_sum").alias("_lower"))
+    offsets = totals.withColumn("_before", below([*keys, "_upper"], bucket, "_total")).join(upper, [*keys, "_upper"])
+    offsets = offsets.select(*keys, bucket, (F.col("_before") + F.col("_lower")).alias("_before"))
     return df.withColumn("_inside", F.sum(value).over(inside)).join(offsets, [*keys, bucket]).withColumn(out, F.col("_inside") + F.col("_before")).drop("_inside", "_before")

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions only.
 
-Every source is shuffled (by a hash of its ids) and queued ``epochs`` times over. A copy's virtual
-finish time is the source's words up to its end divided by the source's weight. Sorted by that time
-over all sources, the mix is the prefix that fits the budget: sources advance in proportion to their
-weights, and one that is used up leaves its share to the others.
+Every source is shuffled (by a hash of ids and texts) and queued ``epochs`` times over. A copy's virtual
+finish time is the source's words up to its end divided by the source's weight. All copies are range
+sorted by that time; the mix is the prefix that fits the budget: sources advance in proportion to
+their weights, and one that is used up leaves its share to the others. Only slim rows are sorted;
+sums run inside the slices of the sort, to which the totals of the slices before are added.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"{WORD_CLASS}+")), F.lit(0)).cast("long")
 
 
-def _order(name: str, id_col: str, seed: int) -> Column:
-    """A shuffled place of a document: 60 bits of the MD5 of its id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long").alias(name)
+def _order(name: str, id_col: str, text_col: str, seed: int) -> Column:
+    """A shuffled place of a document: 60 bits of the MD5 of its id and text."""
+    identity = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))
+    return F.conv(F.substring(F.md5(identity), 1, 15), 16, 10).cast("long").alias(name)
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -52,84 +54,74 @@ def source_targets(sizes: DataFrame, share: float = 1.5, epochs: int = 2, weight
 
 
 #: Order of the copies in the queue; the finish time first.
-QUEUE = ("_time", "_none", "_source", "_place", "_key", "_epoch")
+QUEUE = ("finish_time", "_none", "_source", "_place", "_key", "_epoch")
 
 
-def _cut(queue: DataFrame, budget: float, bins: int = 4096, small: int = 20_000) -> Column:
-    """The condition that holds for the copies in the longest prefix of the queue within ``budget``.
+def queue(placed: DataFrame, epochs: int) -> DataFrame:
+    """All copies of ``placed`` in global order: rows with finish_time, and end, the words up to the copy's end."""
+    finish = (F.col("source_size") * F.col("_epoch") + F.col("_end")) / F.col("_weight")
+    copies = placed.filter("_size > 0").select("*", F.explode(F.array(*[F.lit(e) for e in range(epochs)])).alias("_epoch")).withColumn("finish_time", finish)
+    slices = materialise(copies.repartitionByRange(*QUEUE).withColumn("_slice", F.spark_partition_id()), "queue")
+    return running_sum(slices, [], "_slice", QUEUE, F.col("_size"), "end")
 
-    The place where the budget ends is narrowed by histograms of the finish time (``bins`` sums a
-    round) until the bin holds at most ``small`` copies or one finish time, which at most one copy a
-    source has; these are sorted and summed. Only sums and one copy reach the driver.
-    """
-    low, high = queue.agg(F.min("_time"), F.max("_time")).first()
-    before, rows = 0, None
-    while low is not None and (rows is None or (rows > small and low < high)):
-        width = (high - low) / bins or 1.0
-        bin_ = F.least(F.floor((F.col("_time") - low) / width), F.lit(bins - 1)).alias("_bin")
-        sums = queue.filter(F.col("_time").between(low, high)).groupBy(bin_).agg(F.sum("_size").alias("words"), F.min("_time").alias("low"), F.max("_time").alias("high"), F.count(F.lit(1)).alias("rows"))
-        for row in sorted(sums.collect(), key=lambda r: r["_bin"]):
-            if before + row["words"] > budget:
-                low, high, rows = row["low"], row["high"], row["rows"]
-                break
-            before += row["words"]
-        else:
-            return F.lit(True)
-    if low is None:
-        return F.lit(False)
-    sums = F.sum("_size").over(Window.orderBy(*QUEUE).rowsBetween(Window.unboundedPreceding, 0))
-    fits = queue.filter(F.col("_time").between(low, high)).withColumn("_sum", sums).filter(F.col("_sum") <= budget - before)
-    last = fits.agg(F.max(F.struct(*QUEUE)).alias("last")).first()["last"]
-    within = F.col("_time") < low
-    return within if last is None else within | (F.struct(*QUEUE) <= F.struct(*[F.lit(x).alias(c) for c, x in zip(QUEUE, last, strict=True)]))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, rows_per_bucket: int = 5_000) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, copies and taken (words with repeats).
-
-    A null text has size 0; a null source is a source of its own, ranked last. Documents of size 0
-    are never taken. Rows that repeat an id are separate documents; null ids are shuffled to one
-    place of their source. The mix holds whole documents, so the words of a source differ from its
-    target by about one document. Reruns give the same rows. An empty table gives an empty result.
-    """
-    slim = docs.select(F.col(id_col).alias("_key"), F.col(source_col).isNull().alias("_none"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"), word_count(F.col(text_col)).alias("_size"), _order("_place", id_col, seed))
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, share: float, epochs: int, weights: tuple[int, ...], seed: int, rows_per_bucket: int) -> DataFrame:
+    """Slim rows of the documents with _end, the words of the source up to the document's end in its shuffled order."""
+    slim = docs.select(F.col(id_col).alias("_key"), F.col(source_col).isNull().alias("_none"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"), word_count(F.col(text_col)).alias("_size"), _order("_place", id_col, text_col, seed), F.xxhash64(text_col).alias("_mark"), F.monotonically_increasing_id().alias("_row"))
     slim = materialise(slim, "sizes")
     buckets = max(1024, power_of_two(slim.count() / rows_per_bucket))
     sources = materialise(source_targets(slim, share, epochs, weights), "sources")
     slim = slim.withColumn("_bucket", F.floor(F.col("_place") / (2.0**60 / buckets)))
-    placed = running_sum(slim, ["_none", "_source"], "_bucket", ["_place", "_key", "_size"], F.col("_size"), "_end").join(sources, ["_none", "_source"])
-    placed = materialise(placed.drop("_bucket"), "queue")
-    time = lambda epoch: (F.col("source_size") * epoch + F.col("_end")) / F.col("_weight")
-    queue = placed.filter("_size > 0").select("*", F.explode(F.array(*[F.lit(e) for e in range(epochs)])).alias("_epoch")).withColumn("_time", time(F.col("_epoch")))
+    placed = running_sum(slim, ["_none", "_source"], "_bucket", ["_place", "_key", "_size", "_row"], F.col("_size"), "_end").join(sources, ["_none", "_source"])
+    return materialise(placed.drop("_bucket"), "placed")
+
+
+def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, rows_per_bucket: int = 5_000) -> DataFrame:
+    """The slim rows of the documents with copies, and the finish times of the first copy and between copies."""
+    placed = _placed(docs, id_col, text_col, source_col, share, epochs, weights, seed, rows_per_bucket)
     total = placed.agg(F.sum("_size")).first()[0] or 0
-    within = _cut(queue, total * share)
-    taken = placed.withColumn("copies", F.lit(0))
-    for e in range(epochs):
-        taken = taken.withColumns({"_epoch": F.lit(e), "_time": time(F.lit(e))}).withColumn("copies", F.col("copies") + F.when(F.coalesce(within, F.lit(False)) & (F.col("_size") > 0), 1).otherwise(0))
-    return taken.select(F.col("_key").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+    within = queue(placed, epochs).filter(F.col("end") <= total * share)
+    copies = materialise(within.groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias("copies")), "copies")
+    taken = placed.join(copies, "_row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+    return taken.withColumns({"finish_time": F.when(F.col("_size") > 0, F.col("_end") / F.col("_weight")), "_cycle": F.col("source_size") / F.col("_weight")})
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """One row per row of ``docs``: id, size, source_size, target, copies, taken (words with repeats) and finish_time.
+
+    Options: ``share`` (1.5) of all words that the mix holds, ``epochs`` (2) at most of any document,
+    ``weights`` by rank of the source, ``seed``, ``rows_per_bucket``. A null text has size 0; a null
+    source is a source of its own, ranked last. Documents of size 0 are never taken. Rows that repeat
+    an id are separate documents; null ids are ids like any other. The mix holds whole documents, so
+    the words of a source differ from its target by about one document. finish_time is that of the
+    first copy (null for size 0). Reruns give the same rows. An empty table gives an empty result.
+    """
+    return _taken(docs, id_col, text_col, source_col, **options).select(F.col("_key").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"), "finish_time")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", broadcast_rows: int = 1_000_000, ordered: bool = False, **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it is taken, 0 to ``epochs`` times.
 
-    Rows with null ids, and rows that repeat an id, are taken as often as the most taken of them.
-    The table of what is taken is broadcast up to ``broadcast_rows`` rows; beyond that the documents
-    are shuffled by id.
+    Rows that repeat an id and its text are taken as often as the most taken of them. The table of
+    what is taken is broadcast up to ``broadcast_rows`` rows; beyond that the documents are shuffled
+    by id. With ``ordered``, rows are sorted by finish time, as the queue deals them, which shuffles
+    the documents.
     """
-    copies = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0").groupBy(F.col(id_col).alias("_key")).agg(F.max("copies").alias("_copies"))
+    taken = _taken(docs, id_col, text_col, source_col, **options).filter("copies > 0")
+    copies = taken.groupBy("_key", "_mark").agg(F.max("copies").alias("_copies"), F.min("finish_time").alias("_first"), F.min("_cycle").alias("_cycle"))
     copies = materialise(copies, "copies")
     copies = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
-    names = docs.columns
-    held = docs.select(F.struct(*[docs[c] for c in names]).alias("_doc"))
-    joined = held.join(copies, F.col("_doc").getField(id_col).eqNullSafe(F.col("_key")))
-    return joined.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.xxhash64(docs[text_col]).alias("_own"))
+    joined = held.join(copies, F.col("_doc").getField(id_col).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_mark")))
+    out = joined.select("_doc", "_first", "_cycle", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_epoch"))
+    return (out.orderBy(F.col("_first") + F.col("_epoch") * F.col("_cycle")) if ordered else out).select("_doc.*")
 
 
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS source,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+         CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS place
   FROM documents
 ), g AS (SELECT none, source, sum(size) AS source_size FROM d GROUP BY ALL),
 w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY none, source) - 1) % 3 + 1] AS DOUBLE) AS weight,
@@ -144,6 +136,7 @@ q AS (SELECT *, (source_size * e + fin) / weight AS t FROM p, (VALUES (0), (1))
 r AS (SELECT *, sum(size) OVER (ORDER BY t, none, source, place, doc_id, e ROWS UNBOUNDED PRECEDING) AS total FROM q),
 k AS (SELECT doc_id, none, source, place, size, count(*) AS copies FROM r WHERE total <= budget GROUP BY ALL)
 SELECT p.doc_id, CAST(p.size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
-       CAST(coalesce(copies, 0) AS INTEGER) AS copies, CAST(coalesce(copies, 0) * p.size AS BIGINT) AS taken
+       CAST(coalesce(copies, 0) AS INTEGER) AS copies, CAST(coalesce(copies, 0) * p.size AS BIGINT) AS taken,
+       CASE WHEN p.size > 0 THEN fin / weight END AS finish_time
 FROM p LEFT JOIN k ON p.doc_id = k.doc_id
 """

@@ -46,6 +46,15 @@ def test_mixing(docs, nothing):
     rows = mixing.mix(docs).collect()
     assert len(rows) == 16 and all(r.taken in (0, r["size"], 2 * r["size"]) for r in rows)
     assert all(r.target <= 2 * r.source_size for r in rows) and sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).collect()))
+    unique = docs.filter("doc_id > 0")
+    copies, times = Counter(), {}
+    for r in mixing.mix(unique).collect():
+        copies[r.doc_id] = r.copies
+        times[r.doc_id] = r.finish_time
+    order = [r.doc_id for r in mixing.mixed(unique, ordered=True).collect()]
+    assert Counter(order) == +copies and set(copies.values()) == {0, 1, 2} and order == in_queue(unique.select("doc_id", "text", "source").collect())
+    first = list(dict.fromkeys(order))
+    assert first == sorted(first, key=times.get)
     assert mixing.mixed(docs).columns == docs.columns and mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
 
 
@@ -261,9 +270,9 @@ def test_pipeline(spark, docs, tmp_path):
     assert {r.doc_id for r in rows} <= {0, 7, 10, 12} and all(r.length <= 1024 for r in rows)
 
 
-def mixed_by_hand(rows):
-    """Copies by id of rows (id, text, source), ids unique: the queue of the mix, sorted whole."""
-    found = [(s is None, s or "", int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:15], 16), i, len(words(t))) for i, t, s in rows]
+def in_queue(rows):
+    """Ids of rows (id, text, source), ids unique, as the queue of the mix deals them, sorted whole."""
+    found = [(s is None, s or "", int(hashlib.md5(f"0:{i}:{t or ''}".encode()).hexdigest()[:15], 16), i, len(words(t))) for i, t, s in rows]
     queue, total = [], sum(d[4] for d in found)
     for rank, source in enumerate(sorted({d[:2] for d in found})):
         own = sorted(d for d in found if d[:2] == source)
@@ -273,13 +282,17 @@ def mixed_by_hand(rows):
             for d in own:
                 done += d[4]
                 queue += [(done / (5, 2, 1)[rank % 3], *d[:4], epoch, d[4])] * (d[4] > 0)
-    copies, taken = Counter(), 0
+    out, taken = [], 0
     for entry in sorted(queue):
         taken += entry[-1]
         if taken > 1.5 * total:
             break
-        copies[entry[4]] += 1
-    return copies
+        out.append(entry[4])
+    return out
+
+
+def mixed_by_hand(rows):
+    return Counter(in_queue(rows))
 
 
 def test_pipeline_against_plain_python(spark, docs, tmp_path):
