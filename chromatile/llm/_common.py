@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -58,10 +59,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def discard(table: DataFrame) -> None:
     """Delete the files of what ``materialise`` returned, once nothing that is still to run reads it."""
     spark = table.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        if folder.rsplit("/", 1)[1].startswith("chromatile-"):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    for folder in {found[0] for f in table.inputFiles() if (found := re.match(r".*/chromatile-[a-z]+-[0-9a-f]{32}(?=/)", f))}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def sample_by_hash(rows: DataFrame, stratum: str, most: int, *hashed: str) -> DataFrame:

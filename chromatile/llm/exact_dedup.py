@@ -3,15 +3,18 @@
 Pass 1 counts, for a blocked Bloom filter (blocks of 32,768 bits, two bits a row), which bits are hit
 by at least two rows; only (block, bit) pairs are shuffled for it, pre-aggregated on the map side.
 Pass 2 tests each row: a row of which not both bits are hit twice has no equal and passes straight
-through. Only the others are shuffled by their digest.
+through. Only the others are shuffled by their digest. A filter that would be too large to broadcast
+is made in rounds, each for one range of digests, so this holds at any size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CLASS, materialise, power_of_two
+from ._common import SPACE_CLASS, discard, materialise, new_path, power_of_two
 
 #: Bits in a block: what bitmap_construct_agg holds.
 BLOCK_BITS = 32_768
@@ -33,23 +36,34 @@ def _is_set(bitmap: str, position: str) -> Column:
     return F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr(f"shiftleft(1, {position} % 8)")) != 0
 
 
-def possibly_repeated(df: DataFrame, digest: str, bits_per_row: int = 16, broadcast_limit: int = 64 << 20) -> DataFrame:
-    """Add ``_maybe``: false only where no other row of ``df`` has the same ``digest`` (not null).
-
-    The filter takes ``bits_per_row`` bits a row. It is broadcast if its size, known from the number
-    of rows, is at most ``broadcast_limit`` bytes; a larger one is joined by block, which shuffles
-    what ``df`` holds, so ``df`` should be slim then.
-    """
-    blocks = power_of_two(df.count() * bits_per_row / BLOCK_BITS)
+def _flagged(df: DataFrame, digest: str, blocks: int) -> DataFrame:
     bits = _bits(df.select(digest), digest, blocks).select("_block", F.explode(F.array_distinct(F.array("_p", "_q"))).alias("_bit"))
     twice = bits.groupBy("_block", "_bit").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
     table = twice.repartition("_block").groupBy("_block").agg(F.bitmap_construct_agg(F.col("_bit")).alias("_map"))
-    if blocks * BLOCK_BITS // 8 <= broadcast_limit:
-        table = F.broadcast(table)
-    tested = _bits(df, digest, blocks).join(table, "_block", "left")
+    tested = _bits(df, digest, blocks).join(F.broadcast(table), "_block", "left")
     return tested.withColumn("_maybe", F.coalesce(_is_set("_map", "_p") & _is_set("_map", "_q"), F.lit(False))).drop("_block", "_p", "_q", "_map")
 
 
+def possibly_repeated(df: DataFrame, digest: str, bits_per_row: int = 16, broadcast_limit: int = 64 << 20) -> DataFrame:
+    """Add ``_maybe``: false only where no other row of ``df`` has the same ``digest`` (not null).
+
+    The filter takes ``bits_per_row`` bits a row and is broadcast. If its size, known from the number
+    of rows, is over ``broadcast_limit`` bytes, there are rounds: each makes and broadcasts the filter
+    of one range of digests and writes the flagged rows of that range, so ``df`` should be a slim table.
+    """
+    size = df.count() * bits_per_row / 8
+    rounds = max(1, -int(-size // broadcast_limit))
+    blocks = power_of_two(size / rounds / (BLOCK_BITS // 8))
+    if rounds == 1:
+        return _flagged(df, digest, blocks)
+    spark, path = df.sparkSession, new_path(df.sparkSession, "ranges")
+    df.withColumn("_range", F.pmod(F.xxhash64(digest, F.lit(2)), F.lit(rounds)).cast("int")).write.partitionBy("_range").parquet(path)  # a round reads its range alone
+    held = spark.read.schema(df.withColumn("_range", F.lit(0)).schema).parquet(path)
+    found = [materialise(_flagged(held.filter(F.col("_range") == k).drop("_range"), digest, blocks), "flagged") for k in range(rounds)]
+    discard(held)
+    return reduce(DataFrame.unionByName, found)
+
+
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, broadcast_limit: int = 64 << 20) -> DataFrame:
     """One row per row of ``docs``: its id, keep_id, group_size, kept, text_sha256.
 
@@ -70,21 +84,42 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rest.unionByName(repeated.join(groups, "_sha").select(*out(F.col("_first.id"), F.col("_n"), F.col("_row") == F.col("_first.row"))))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, broadcast_limit: int = 64 << 20) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, broadcast_limit: int = 64 << 20, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``docs`` with one row of each group of equal texts: the one with the smallest id, null ids last.
 
-    Rows that the filter shows to be unique are not shuffled. Of the others, the first row of each
-    group is found by an aggregate that combines on the map side, so a text that a third of all rows
-    share costs one row a task. Ties of the id are broken by a hash of the whole row.
+    Groups of two or more are found on slim rows, as in ``find_copies``. Their table is broadcast up to
+    ``broadcast_rows`` groups, and then no document is shuffled; beyond that, documents that its
+    Bloom filter (of at most ``broadcast_limit`` bytes) does not hold pass straight through, and the
+    others are joined to it. Ties of the id are broken by a hash of the whole row; of rows that repeat
+    entirely one stays.
     """
     names = docs.columns
-    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("_doc"), F.unhex(F.sha2(normalised(docs[text_col]), 256)).alias("_sha"))
-    flagged = possibly_repeated(keyed, "_sha", bits_per_row, broadcast_limit)
-    rest = flagged.filter(~F.col("_maybe")).select("_doc.*")
+    digest = F.unhex(F.sha2(normalised(docs[text_col]), 256))
+    mark = F.xxhash64(F.struct(*[docs[c] for c in names]))
+    slim = materialise(docs.select(docs[id_col].alias("_id"), digest.alias("_sha"), mark.alias("_mark")), "digests")
+    maybe = possibly_repeated(slim, "_sha", bits_per_row, broadcast_limit).filter("_maybe")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_mark").alias("mark"))
+    rows = maybe.groupBy("_sha", order.alias("_order")).agg(F.count(F.lit(1)).alias("_times"))
+    groups = rows.groupBy("_sha").agg(F.min(F.struct("_order", "_times")).alias("_first"), F.sum("_times").alias("_n")).filter("_n > 1")
+    groups = materialise(groups.select(F.col("_sha").alias("_group"), F.col("_first._order").alias("_kept"), F.col("_first._times").alias("_times")), "groups")
+    discard(slim)
+    held = docs.select(F.struct(*[docs[c] for c in names]).alias("_doc"), digest.alias("_sha"))
+    n, straight = groups.count(), []
+    if n > broadcast_rows:
+        blocks = power_of_two(min(broadcast_limit, n * bits_per_row / 8) / (BLOCK_BITS // 8))
+        bits = _bits(groups.select("_group"), "_group", blocks).select("_block", F.explode(F.array("_p", "_q")).alias("_bit"))
+        table = bits.repartition("_block").groupBy("_block").agg(F.bitmap_construct_agg(F.col("_bit")).alias("_map"))
+        held = _bits(held, "_sha", blocks).join(F.broadcast(table), "_block", "left").withColumn("_in", F.coalesce(_is_set("_map", "_p") & _is_set("_map", "_q"), F.lit(False)))
+        straight, held = [held.filter("NOT _in").select("_doc.*")], held.filter("_in").select("_doc", "_sha")
+    found = held.join(groups if n > broadcast_rows else F.broadcast(groups), F.col("_sha") == F.col("_group"), "left")
     identity = F.col("_doc").getField(id_col)
-    order = F.struct(identity.isNull(), identity, F.xxhash64("_doc"))
-    first = flagged.filter("_maybe").groupBy("_sha").agg(F.min_by("_doc", order).alias("_doc")).select("_doc.*")
-    return rest.unionByName(first)
+    own = F.struct(identity.isNull().alias("none"), identity.alias("id"), F.xxhash64("_doc").alias("mark"))
+    kept = found.filter(F.col("_group").isNull() | (own.eqNullSafe(F.col("_kept")) & (F.col("_times") == 1))).select("_doc.*")
+    out = [*straight, kept]
+    if groups.filter("_times > 1").take(1):
+        again = found.filter(own.eqNullSafe(F.col("_kept")) & (F.col("_times") > 1))
+        out.append(again.groupBy("_sha").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc")).select("_doc.*"))
+    return reduce(DataFrame.unionByName, out)
 
 
 OP1_SQL = r"""

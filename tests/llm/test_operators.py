@@ -39,6 +39,11 @@ def test_exact_dedup(docs, nothing):
     assert len(rows) == 16 and sum(r.kept for r in rows) == len({r.text_sha256 for r in rows})
     assert {r.group_size for r in rows if r.keep_id == 0} == {4} and {r.group_size for r in rows if r.keep_id == 4} == {3}
     assert exact_dedup.drop_copies(docs).count() == sum(r.kept for r in rows) and exact_dedup.drop_copies(docs).columns == docs.columns
+    for limit in (1, 8, 64 << 20):  # rounds over ranges of digests
+        assert sorted(map(str, exact_dedup.find_copies(docs, broadcast_limit=limit).collect())) == sorted(map(str, rows))
+        for few in (0, 1_000_000):
+            stay = exact_dedup.drop_copies(docs, broadcast_limit=limit, broadcast_rows=few)
+            assert sorted(str(r.doc_id) for r in stay.collect()) == sorted(str(r.doc_id) for r in rows if r.kept)
     assert exact_dedup.find_copies(nothing).count() == 0 and exact_dedup.drop_copies(nothing).count() == 0
 
 
@@ -197,19 +202,54 @@ def test_secrets(docs, nothing):
     found = {r.doc_id: r for r in secrets.digests(secrets.find_secrets(docs)).collect()}
     assert found[12].n_assign == 1 and found[12].n_guess == 1 and found[12].spans.startswith("assign:0:") and found[5].spans == ""
     assert secrets.guess_cost("password1234") < 6 < 12 < secrets.guess_cost("zQ9!kf83Lm2x")
-    assert secrets.scan("AKIA" + "A" * 12)[0] == ("access", 0, 16) and secrets.scan("0" * 31) == [] and secrets.scan("") == []
+    assert secrets.scan("AKIA" + "A" * 12)[0][:3] == ("access", 0, 16) and secrets.scan("0" * 31) == [] and secrets.scan("") == []
     assert "hunter2" not in secrets.redacted(docs).filter("doc_id = 12").first().text
     assert secrets.find_secrets(nothing).count() == 0
 
 
 def test_secrets_that_base_spans_touch_in_part(spark):
     text = "x secret: hunter22hunter!@#tail y"
-    assert secrets.scan(text) == [("assign", 2, 24), ("guess", 10, 31)]
+    assert [s[:3] for s in secrets.scan(text)] == [("assign", 2, 24), ("guess", 10, 31)]
     assert secrets.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == "x [secret] y"
-    assert [k for k, _, _ in secrets.scan("password = 'zQ9kf83Lm2x7'")] == ["assign"]  # covered wholly
+    ((kind, _, _, cost),) = secrets.scan("password = 'zQ9kf83Lm2x7'")
+    assert kind == "assign" and cost == secrets.guess_cost("zQ9kf83Lm2x7")  # covered wholly
     for user in ("", "u" * 65):
         at = len(f"redis://{user}:")
-        assert secrets.scan(f"redis://{user}:zQ9!kf83Lm2x@host") == [("guess", at, at + 12)]
+        assert [s[:3] for s in secrets.scan(f"redis://{user}:zQ9!kf83Lm2x@host")] == [("guess", at, at + 12)]
+
+
+def test_guess_costs_against_all_segmentations():
+    rng = np.random.default_rng(6)
+    parts = ["password", "P4ssw0rd", "qwer", "abc", "2024", "19991231", "aaaa", "xyxy", "!", "Zk", "7", "river"]
+    ranks = {**secrets.RANK, "river": 500}
+
+    def cheapest(found, end):
+        return min((cheapest(found, start) + cost for _, start, cost in found[end - 1]), default=0.0) if end else 0.0
+
+    for _ in range(60):
+        value = "".join(rng.choice(parts, rng.integers(1, 4)))[:14]
+        assert secrets.guess_cost(value, ranks) == pytest.approx(cheapest(secrets.pieces(value, ranks), len(value)))
+        own = secrets.segments(value, ranks)
+        assert [s[1] for s in own] == [0, *(s[2] for s in own[:-1])] and own[-1][2] == len(value)
+
+
+def test_base_secrets_against_plain_patterns(spark, nothing):
+    rng = np.random.default_rng(7)
+    bits = ["password", "Token", "api_key", "apikey", "=", ": ", " ", "'", '"', "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "hunter22", "é", "\n", "deadbeef" * 4, "x"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 40))) for _ in range(300)] + [None, ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.digests(secrets.find_secrets(table)).collect():
+        text = texts[r.doc_id] or ""
+        base = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+        base += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        base += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        line = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(base))
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, _, k, _ in base) for kind in ("assign", "access", "hex"))
+        assert ",".join(x for x in r.spans.split(",") if not x.startswith("guess")) == line
+    words = spark.createDataFrame([(0, "Lantern lantern LANTERN meadow meadow once"), (1, None)], "doc_id long, text string")
+    assert {w: k for w, k in secrets.word_ranks(words, least=2).items() if w not in secrets.RANK} == {"lantern": len(secrets.RANK) + 1, "meadow": len(secrets.RANK) + 2}
+    assert secrets.word_ranks(nothing) == secrets.RANK
 
 
 def test_language_id(spark, docs, nothing):
