@@ -3,7 +3,8 @@
 The base kinds are found by their patterns. The method adds the kind ``guess``: a value after a
 credential word, in the user part of a URL or after an authorisation scheme, whose guess cost is high.
 The cost is that of the cheapest segmentation into words, dates, repeats, keyboard walks and
-brute-force spans, found by dynamic programming over the value.
+brute-force spans, found by dynamic programming over the value. Words are common password words and
+the most frequent words of the scanned corpus. Values of the base kind ``assign`` get a cost too.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ winter spring autumn test user guest root default changeme example token pass ke
 data base cloud access public private service system company house money world computer internet
 january february march april june july august september october november december monday friday""".split()
 RANK = {word: k + 1 for k, word in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
+#: Letters of a word of the corpus.
+SHORTEST_WORD, LONGEST_WORD = 4, 16
 
 #: Rows of a keyboard; a walk is a run of neighbours along a row, in either direction.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -52,16 +54,16 @@ def _cardinality(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
 
-def segments(value: str) -> list[tuple[str, int, int, float]]:
-    """The cheapest segmentation of ``value``: (kind, start, end, log10 of the guesses)."""
+def pieces(value: str, ranks: dict[str, int] = RANK) -> list[list[tuple[str, int, float]]]:
+    """For each end 1 to len(value) the segments that can end there: (kind, start, log10 of the guesses)."""
     n, lower = len(value), value.lower()
     plain = lower.translate(_LEET) if len(lower) == n else lower
-    best: list[tuple[float, int, str, float]] = [(0.0, 0, "", 0.0)] + [(math.inf, 0, "", 0.0)] * n
+    out: list[list[tuple[str, int, float]]] = []
     walk = repeat = 0  # where the walk and the repeat that end here begin
     for end in range(1, n + 1):
         found = [("brute", end - 1, math.log10(_cardinality(value[end - 1])))]
         for start in range(max(0, end - LONGEST_WORD), end - 2):
-            rank = RANK.get(lower[start:end]) or RANK.get(plain[start:end])
+            rank = ranks.get(lower[start:end]) or ranks.get(plain[start:end])
             if rank:
                 changed = (value[start:end] != lower[start:end]) + (plain[start:end] != lower[start:end])
                 found.append(("word", start, math.log10(rank * 2**changed) + 0.5))
@@ -83,86 +85,111 @@ def segments(value: str) -> list[tuple[str, int, int, float]]:
         for width in range(4, min(10, end) + 1):
             if value[end - width].isdigit() and value[end - 1].isdigit() and _DATE.fullmatch(value, end - width, end):
                 found.append(("date", end - width, math.log10(365 * 100 if width > 4 else 100)))
-        for kind, start, cost in found:
-            total = best[start][0] + cost
-            if total < best[end][0]:
-                best[end] = (total, start, kind, cost)
-    out, end = [], n
+        out.append(found)
+    return out
+
+
+def segments(value: str, ranks: dict[str, int] = RANK) -> list[tuple[str, int, int, float]]:
+    """The cheapest segmentation of ``value``: (kind, start, end, log10 of the guesses)."""
+    best: list[tuple[float, int, str, float]] = [(0.0, 0, "", 0.0)]
+    for found in pieces(value, ranks):
+        best.append(min((best[start][0] + cost, start, kind, cost) for kind, start, cost in found))
+    out, end = [], len(value)
     while end:
-        total, start, kind, cost = best[end]
+        _, start, kind, cost = best[end]
         out.append((kind, start, end, cost))
         end = start
     return out[::-1]
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     """log10 of the guesses that the cheapest segmentation takes."""
-    return sum(s[3] for s in segments(value))
+    return sum(s[3] for s in segments(value, ranks))
 
 
-def scan(text: str, threshold: float = 10.0) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of every secret in a text, by start, then kind; places are code points.
+def word_ranks(docs: DataFrame, text_col: str = "text", most: int = 20_000, least: int = 20) -> dict[str, int]:
+    """Ranks of words: the common password words first, then words of letters a-z by how often the whole corpus has them.
 
-    The base kinds come from their patterns alone. A value in a credential context is of the kind
-    ``guess`` if its cost is at least ``threshold`` and no base span covers the whole of it.
+    At most ``most`` words come from the corpus, and none that it has fewer than ``least`` times, so
+    that a password does not become a word by being there once. Counts combine on the map side.
     """
-    spans = [("hex", *m.span()) for m in HEX.finditer(text)]
+    words = F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(rf"(?<![a-z])[a-z]{{{SHORTEST_WORD},{LONGEST_WORD}}}(?![a-z])"), F.lit(0))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    found = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return RANK | {word: k + 1 + len(RANK) for k, word in enumerate(w for w in found if w not in RANK)}
+
+
+def scan(text: str, threshold: float = 10.0, ranks: dict[str, int] = RANK) -> list[tuple[str, int, int, float | None]]:
+    """(kind, start, end, cost) of every secret in a text, by start, then kind; places are code points.
+
+    The base kinds come from their patterns alone; cost is that of the value, for ``assign`` and
+    ``guess``. A value in a credential context is of the kind ``guess`` if its cost is at least
+    ``threshold`` and no base span covers the whole of it.
+    """
+    spans: list[tuple[str, int, int, float | None]] = [("hex", *m.span(), None) for m in HEX.finditer(text)]
     if _TRIGGERS.search(text):
-        spans += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-        spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
+        spans += [("assign", *m.span(), guess_cost(m[2], ranks)) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        spans += [("access", *m.span(), None) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
         base = list(spans)
         values = {m.span(1) for pattern in CONTEXTS for m in pattern.finditer(text)}
-        spans += [("guess", a, b) for a, b in values if not any(s <= a and b <= e for _, s, e in base) and guess_cost(text[a:b]) >= threshold]
+        open_ = [(a, b) for a, b in values if not any(s <= a and b <= e for _, s, e, _ in base)]
+        spans += [("guess", a, b, cost) for a, b in open_ if (cost := guess_cost(text[a:b], ranks)) >= threshold]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 10.0) -> DataFrame:
-    """One row per row of ``docs``: its id and ``secrets``, array of (kind, start, end, value).
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 10.0, ranks: dict[str, int] | None = None) -> DataFrame:
+    """One row per row of ``docs``: its id and ``secrets``, array of (kind, start, end, value, cost).
 
-    Whole texts are scanned; a null text is empty and has none. Ids may be null or repeat.
+    Whole texts are scanned; a null text is empty and has none. Ids may be null or repeat. ``ranks``
+    (see ``word_ranks``) are counted on ``docs`` if not given.
     """
+    ranks = word_ranks(docs, text_col) if ranks is None else ranks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("cost", pa.float64())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [[{"kind": k, "start": s, "end": e, "value": t[s:e]} for k, s, e in scan(t, threshold)] if t else [] for t in part.column(1).to_pylist()]
+                found = [[{"kind": k, "start": s, "end": e, "value": t[s:e], "cost": c} for k, s, e, c in scan(t, threshold, ranks)] if t else [] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], ["key", "secrets"])
 
-    schema = f"key {docs.schema[id_col].dataType.simpleString()}, secrets array<struct<kind: string, start: long, end: long, value: string>>"
+    schema = f"key {docs.schema[id_col].dataType.simpleString()}, secrets array<struct<kind: string, start: long, end: long, value: string, cost: double>>"
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema).withColumnRenamed("key", id_col)
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 10.0, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every secret's value replaced by ``mask``; all columns stay."""
+def redacted(docs: DataFrame, text_col: str = "text", threshold: float = 10.0, mask: str = "[secret]", ranks: dict[str, int] | None = None) -> DataFrame:
+    """``docs`` with the span of every secret (of an assignment: its key too) replaced by ``mask``; all columns stay."""
+    ranks = word_ranks(docs, text_col) if ranks is None else ranks
+    at = docs.columns.index(text_col)
 
-    def clean(texts):
-        def one(text):
-            if text is None:
-                return None
-            for _, start, end in reversed(_merged(scan(text, threshold))):
-                text = text[:start] + mask + text[end:]
-            return text
+    def clean(text: str | None) -> str | None:
+        for start, end in reversed(_merged(scan(text, threshold, ranks))) if text else ():
+            text = text[:start] + mask + text[end:]
+        return text
 
-        return texts.map(one)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = pa.array([clean(t) for t in columns[at].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.withColumn(text_col, F.pandas_udf(clean, "string", F.PandasUDFType.SCALAR)(F.col(text_col).cast("string")))
+    flat = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    return flat.mapInArrow(run, flat.schema)
 
 
-def _merged(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    out: list[tuple[str, int, int]] = []
-    for kind, start, end in spans:
-        if out and start < out[-1][2]:
-            out[-1] = (out[-1][0], out[-1][1], max(end, out[-1][2]))
+def _merged(spans: list[tuple]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for _, start, end, _ in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
-            out.append((kind, start, end))
+            out.append((start, end))
     return out
 
 
-def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """From ``find_secrets``: counts by base kind, base_sha256 and spans as text."""
+def digests(found: DataFrame, id_col: str = "doc_id", threshold: float = 10.0) -> DataFrame:
+    """From ``find_secrets``: counts by kind, n_weak (assigned values that cost less than ``threshold``), base_sha256 and spans as text."""
     base = F.filter("secrets", lambda s: s["kind"] != "guess")
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(id_col, *[count(k) for k in KINDS], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"))
+    return found.select(id_col, *[count(k) for k in KINDS], F.size(F.filter("secrets", lambda s: (s["kind"] == "assign") & (s["cost"] < threshold))).cast("long").alias("n_weak"), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"))

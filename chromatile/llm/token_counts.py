@@ -189,7 +189,8 @@ def with_edits(trees: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> Da
 
 
 def pattern_edits(docs: DataFrame, pattern: str, replacement: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``edits``: every match of a regular expression replaced."""
+    """``docs`` with ``edits``: every match of a regular expression replaced. A column ``edits`` that is there gives way."""
+    docs = docs.drop("edits")
     compiled = re.compile(pattern)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("replacement", pa.string())]))
     at = docs.columns.index(text_col)
