@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # sRGB (D65) to XYZ and back, white point, and the two Lab constants.
@@ -40,6 +40,24 @@ def lab_to_rgb(L: Column, a: Column, b: Column) -> list[Column]:
     return out
 
 
+def refined_hex(L: Column, a: Column, b: Column) -> Column:
+    """#rrggbb of a refined palette colour.
+
+    Against ``lab_to_hex`` the threshold is on the root, just below that of the cube, and channels are
+    clamped after rounding; null for null or NaN.
+    """
+    y = (L + 16.0) / 116.0
+    roots = (y + a / 500.0, y, y - b / 200.0)
+    xyz = [F.when(u > 0.206897, u * u * u).otherwise((u - 4.0 / 29.0) / KAPPA) * w for u, w in zip(roots, WHITE, strict=True)]
+    channels = []
+    for row in FROM_XYZ:
+        c = sum(m * v for m, v in zip(row, xyz, strict=True))
+        v = F.when(c <= 0.0031308, c * 12.92).otherwise(1.055 * F.pow(F.greatest(c, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
+        channels.append(F.greatest(F.lit(0), F.least(F.lit(255), half_up(v * 255.0))).cast("int"))
+    bad = F.isnan(L + a + b) | (L + a + b).isNull()
+    return F.when(~bad, hex_of(*channels))
+
+
 def cie76(p: list[Column], q: list[Column]) -> Column:
     """Euclidean distance in Lab."""
     return F.sqrt(sum((u - v) * (u - v) for u, v in zip(p, q, strict=True)))
@@ -75,6 +93,43 @@ def ciede2000(p: list[Column], q: list[Column]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), dl * dl + dc * dc + dd * dd + rotation * dc * dd))
 
 
+def with_ciede2000(df: DataFrame, p: list[str], q: list[str], out: str = "de") -> DataFrame:
+    """``df`` with the difference of the colours in columns ``p`` and ``q``.
+
+    Its stages are columns of their own, so that none is computed twice: written as one expression
+    they are repeated within each other many times.
+    """
+    (l1, a1, b1), (l2, a2, b2) = ([F.col(c) for c in cs] for cs in (p, q))
+    col, big = F.col, 25.0**7
+    seventh = lambda c: F.pow(c, F.lit(7.0))
+    hue = lambda x, y: F.when((x == 0) & (y == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(y, x)) + 360.0, F.lit(360.0)))
+    cos = lambda k, off: F.cos(F.radians(k * col("_mid") + off))
+    stages = [
+        {"_m7": seventh((F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2)},
+        {"_g": 1.5 - 0.5 * F.sqrt(col("_m7") / (col("_m7") + big))},
+        {"_x1": col("_g") * a1, "_x2": col("_g") * a2},
+        {"_c1": F.sqrt(col("_x1") * col("_x1") + b1 * b1), "_c2": F.sqrt(col("_x2") * col("_x2") + b2 * b2), "_h1": hue(col("_x1"), b1), "_h2": hue(col("_x2"), b2)},
+        {"_grey": col("_c1") * col("_c2") == 0, "_turn": col("_h2") - col("_h1"), "_both": col("_h1") + col("_h2"), "_chroma": (col("_c1") + col("_c2")) / 2, "_light": (l1 + l2) / 2 - 50},
+        {
+            "_dh": F.when(col("_grey"), 0.0).when(F.abs("_turn") <= 180, col("_turn")).otherwise(col("_turn") - 360 * F.signum("_turn")),
+            "_mid": F.when(col("_grey"), col("_both")).when(F.abs("_turn") <= 180, col("_both") / 2).otherwise((col("_both") + F.when(col("_both") < 360, 360).otherwise(-360)) / 2),
+            "_c7": seventh(col("_chroma")),
+        },
+        {
+            "_t": 1 - 0.17 * cos(1, -30) + 0.24 * cos(2, 0) + 0.32 * cos(3, 6) - 0.2 * cos(4, -63),
+            "_rot": -F.sin(F.radians(60 * F.exp(-((col("_mid") - 275) / 25) * ((col("_mid") - 275) / 25)))) * 2 * F.sqrt(col("_c7") / (col("_c7") + big)),
+            "_dl": (l2 - l1) / (1 + 0.015 * col("_light") * col("_light") / F.sqrt(20 + col("_light") * col("_light"))),
+            "_dc": (col("_c2") - col("_c1")) / (1 + 0.045 * col("_chroma")),
+        },
+        {"_dd": 2 * F.sqrt(col("_c1") * col("_c2")) * F.sin(F.radians(col("_dh") / 2)) / (1 + 0.015 * col("_chroma") * col("_t"))},
+    ]
+    work = df
+    for stage in stages:
+        work = work.withColumns(stage)
+    square = col("_dl") * col("_dl") + col("_dc") * col("_dc") + col("_dd") * col("_dd") + col("_rot") * col("_dc") * col("_dd")
+    return work.withColumn(out, F.sqrt(F.greatest(F.lit(0.0), square))).drop(*[name for stage in stages for name in stage])
+
+
 def hex_of(r: Column, g: Column, b: Column) -> Column:
     """#rrggbb in lower case."""
     return F.concat(F.lit("#"), *[F.lpad(F.lower(F.hex(c.cast("int"))), 2, "0") for c in (r, g, b)])
@@ -133,12 +188,29 @@ def to_canvas(sx: Column, sy: Column, scale: Column, tx: Column, ty: Column) ->
     return [(sx - tx) / scale, (sy - ty) / scale]
 
 
+def _within(scale: Column) -> Column:
+    return F.least(F.lit(12.0), F.greatest(F.lit(0.05), scale))
+
+
 def fit_to(width: Column, height: Column, view_width: float, view_height: float, padding: float = 24.0) -> list[Column]:
-    """Scale (0.05 to 12) and offsets that show the whole canvas in the middle of the view."""
-    scale = F.least(F.lit(12.0), F.greatest(F.lit(0.05), F.least((view_width - 2 * padding) / width, (view_height - 2 * padding) / height)))
+    """Scale (0.05 to 12) and offsets that show the whole canvas in the middle of the view, ``padding`` left free of each of its sides."""
+    scale = _within(F.least((view_width - padding) / width, (view_height - padding) / height))
     return [scale, (view_width - width * scale) / 2, (view_height - height * scale) / 2]
 
 
+def zoom_at(sx: Column, sy: Column, factor: Column, scale: Column, tx: Column, ty: Column) -> list[Column]:
+    """Scale and offsets after a zoom that keeps the canvas point under (sx, sy) where it is."""
+    new = _within(scale * factor)
+    x, y = to_canvas(sx, sy, scale, tx, ty)
+    return [new, sx - x * new, sy - y * new]
+
+
+def pinch(start_scale: Column, start_distance: Column, canvas_x: Column, canvas_y: Column, distance: Column, sx: Column, sy: Column) -> list[Column]:
+    """Scale and offsets of a two-finger gesture: the canvas point of its start follows the midpoint (sx, sy)."""
+    new = _within(start_scale * distance / F.greatest(F.lit(1.0), start_distance))
+    return [new, sx - canvas_x * new, sy - canvas_y * new]
+
+
 def translate(own: Column, english: Column, key: Column, args: dict[str, Column]) -> Column:
     """The text of a key, in English or as the key itself where missing, with {name} replaced."""
     out = F.coalesce(own, english, key)

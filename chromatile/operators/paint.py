@@ -2,32 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.color import to_canvas
+
+POINTS = "array<struct<x: double, y: double, pressure: double>>"
+
 
 def dedupe_points(points: Column, near: float = 0.01) -> Column:
-    """Points (x, y, ...) without those as near as ``near`` in both axes to the last one kept."""
+    """Points (x, y, pressure) of a stroke without those as near as ``near`` in both axes to the last one kept.
+
+    What is kept depends on what was kept before, so this is one pass over each stroke, in Arrow batches.
+    """
 
-    def step(kept: Column, p: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        same = (F.abs(last["x"] - p["x"]) < near) & (F.abs(last["y"] - p["y"]) < near)
-        return F.when(F.coalesce(same, F.lit(False)), kept).otherwise(F.concat(kept, F.array(p)))
+    def run(strokes: pd.Series) -> pd.Series:
+        out = []
+        for points in strokes:
+            kept: list[dict] = []
+            for p in () if points is None else points:
+                if not kept or abs(kept[-1]["x"] - p["x"]) >= near or abs(kept[-1]["y"] - p["y"]) >= near:
+                    kept.append(p)
+            out.append(None if points is None else kept)
+        return pd.Series(out)
 
-    return F.aggregate(points, F.filter(points, lambda p: F.lit(False)), step)
+    return F.pandas_udf(run, POINTS)(points.cast(POINTS))
+
+
+def pointer_points(events: DataFrame, scale: str = "scale", tx: str = "tx", ty: str = "ty") -> DataFrame:
+    """events(stroke_id, seq, x, y, pressure, coalesced, ...) as points in canvas places, in order: seq, part.
+
+    Where an event has coalesced samples (array of x, y, pressure), they stand for it; else it is one
+    point itself. A pressure that is not above 0 is 0.5.
+    """
+    own = F.array(F.struct(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "pressure")]))
+    several = F.col("coalesced").cast(POINTS)
+    samples = F.when(F.coalesce(F.size(several), F.lit(0)) > 0, several).otherwise(own)
+    flat = events.select("stroke_id", "seq", F.posexplode(samples).alias("part", "_p"), scale, tx, ty)
+    x, y = to_canvas(F.col("_p.x"), F.col("_p.y"), F.col(scale), F.col(tx), F.col(ty))
+    return flat.select("stroke_id", "seq", "part", x.alias("x"), y.alias("y"), pressure_or_half(F.col("_p.pressure")).alias("pressure"))
+
+
+def strokes(points: DataFrame, ends: DataFrame) -> DataFrame:
+    """(stroke_id, points) of finished strokes: those that ``ends`` (stroke_id, kind) commits and does not abort.
+
+    points: stroke_id, seq, part, x, y, pressure; near repeats are left out. A stroke is one gesture.
+    """
+    ended = ends.groupBy("stroke_id").agg(F.bool_or(F.col("kind") == "commit").alias("_done"), F.bool_or(F.col("kind") == "abort").alias("_gone")).filter("_done AND NOT _gone").select("stroke_id")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", "x", "y", "pressure"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["pressure"].alias("pressure")))
+    return points.join(ended, "stroke_id", "left_semi").groupBy("stroke_id").agg(ordered.alias("points")).select("stroke_id", dedupe_points(F.col("points")).alias("points"))
+
+
+def finish(log: DataFrame, key: str = "project_id", order: str = "seq", kind: str = "tool") -> DataFrame:
+    """``log`` with a ``fill-all`` after the last action of every project; other columns of it are null."""
+    last = log.groupBy(key).agg((F.max(order) + 1).alias(order)).withColumn(kind, F.lit("fill-all"))
+    return log.unionByName(last, allowMissingColumns=True)
 
 
 def pressure_or_half(pressure: Column) -> Column:
-    return F.when(pressure <= 0, 0.5).otherwise(pressure)
+    """The pressure where it is above 0, else 0.5."""
+    return F.when(pressure > 0, pressure).otherwise(0.5)
 
 
 def segments(points: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """Quadratic pieces of a stroke: from the middle of the last two points to the middle of the next two."""
+    """Quadratic pieces of a stroke: from the middle of the last two points to the middle of the next two.
+
+    Where points have a ``pressure``, pieces have that of the point between the middles (via_pressure)
+    and of their ends.
+    """
+    axes = [c for c in ("x", "y", "pressure") if c in points.columns]
     w = Window.partitionBy(*keys).orderBy(order)
-    back = points.withColumns({f"{c}{k}": F.lag(c, k).over(w) for c in ("x", "y") for k in (1, 2)})
+    back = points.withColumns({f"{c}{k}": F.lag(c, k).over(w) for c in axes for k in (1, 2)})
     middle = lambda a, b: (F.col(a) + F.col(b)) / 2
-    start = {c: F.coalesce(middle(f"{c}2", f"{c}1"), F.col(f"{c}1")) for c in ("x", "y")}
-    return back.filter("x1 IS NOT NULL").select(*keys, order, start["x"].alias("from_x"), start["y"].alias("from_y"), F.col("x1").alias("via_x"), F.col("y1").alias("via_y"), middle("x1", "x").alias("to_x"), middle("y1", "y").alias("to_y"))
+    start = {c: F.coalesce(middle(f"{c}2", f"{c}1"), F.col(f"{c}1")) for c in axes}
+    ends = [e for c in axes for e in (start[c].alias(f"from_{c}"), F.col(f"{c}1").alias(f"via_{c}"), middle(f"{c}1", c).alias(f"to_{c}"))]
+    return back.filter("x1 IS NOT NULL").select(*keys, order, *ends)
 
 
 def last_actions(log: DataFrame, key: str = "project_id", order: str = "seq", most: int = 50) -> DataFrame:
@@ -39,29 +92,44 @@ def last_actions(log: DataFrame, key: str = "project_id", order: str = "seq", mo
 def undo_redo(log: DataFrame, key: str = "project_id", order: str = "seq", kind: str = "tool", most: int = 50) -> DataFrame:
     """(key, done, redo) after folding a log in which ``undo`` and ``redo`` move the last action.
 
-    A new action clears what could be redone and drops the oldest beyond ``most``; both stacks are
-    bounded by that, and the fold is one ordered pass over a project's events.
+    A new action clears what could be redone and drops the oldest beyond ``most``. The log is sorted by
+    project and order, and the fold streams over it: it holds two stacks of at most ``most`` actions,
+    whatever the length of a project's log.
     """
-    events = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("seq"), F.col(kind).alias("kind")))).alias("events"))
-    none = F.array().cast("array<long>")
-    start = F.struct(none.alias("done"), none.alias("redo"))
-
-    def but_last(a: Column) -> Column:
-        return F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
-
-    def last(a: Column) -> Column:
-        return F.slice(a, F.greatest(F.size(a), F.lit(1)), 1)
-
-    def step(s: Column, e: Column) -> Column:
-        grown = F.concat(s["done"], F.array(e["seq"].cast("long")))
-        kept = F.slice(grown, F.greatest(F.size(grown) - most + 1, F.lit(1)), most)
-        return (
-            F.when(e["kind"] == "undo", F.struct(but_last(s["done"]).alias("done"), F.concat(s["redo"], last(s["done"])).alias("redo")))
-            .when(e["kind"] == "redo", F.struct(F.concat(s["done"], last(s["redo"])).alias("done"), but_last(s["redo"]).alias("redo")))
-            .otherwise(F.struct(kept.alias("done"), none.alias("redo")))
-        )
-
-    return events.select(key, F.aggregate("events", start, step).alias("s")).select(key, "s.done", "s.redo")
+    rows = log.select(F.col(key), F.col(order).cast("long").alias("_seq"), F.col(kind).alias("_kind"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, stacks = [], []  # finished projects of a batch; the last one is still open
+        done: list[int] = []
+        redo: list[int] = []
+        at, begun = None, False
+
+        def out() -> pa.RecordBatch:
+            arrays = [pa.array(names, type_), *(pa.array([s[k] for s in stacks], pa.list_(pa.int64())) for k in (0, 1))]
+            return pa.RecordBatch.from_arrays(arrays, [key, "done", "redo"])
+
+        type_ = None
+        for batch in batches:
+            type_ = batch.column(0).type
+            for name, seq, what in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or name != at:
+                    if begun:
+                        names.append(at)
+                        stacks.append((done, redo))
+                    at, begun, done, redo = name, True, [], []
+                if what == "undo":
+                    redo += [done.pop()] if done else []
+                elif what == "redo":
+                    done += [redo.pop()] if redo else []
+                else:
+                    done, redo = [*done, seq][-most:], []
+            yield out()
+            names, stacks = [], []
+        if begun:
+            names, stacks = [at], [(done, redo)]
+            yield out()
+
+    return rows.repartition(key).sortWithinPartitions(key, "_seq").mapInArrow(run, f"`{key}` {log.schema[key].dataType.simpleString()}, done array<long>, redo array<long>")
 
 
 def replay(marks: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:

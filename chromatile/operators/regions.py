@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.color import font_size, half_up
-from .palette import delta
+from ..functions.color import font_size, half_up, symbol_for, with_ciede2000
+from .palette import deltas
 from .settling import settle
-from .stencil import border, neighbours4
+from .stencil import border, column_window, neighbours4
 
 CONTRAST = 12.0
+#: More than any picture is wide: names of runs of pixels rise in raster order.
+ROW = 1 << 24
 
 
 def _shrink(edges: DataFrame) -> DataFrame:
@@ -32,31 +35,38 @@ def _shrink(edges: DataFrame) -> DataFrame:
 
 
 def closure(pairs: DataFrame) -> DataFrame:
-    """(id, final) of pairs (id, into): where chains of absorption end, by pointer jumping."""
-    now = settle(pairs.select("id", F.col("into").alias("final")), "closure")
-    while True:
+    """(id, final) of pairs (id, into): where chains of absorption end, by pointer jumping.
+
+    An id that is absorbed by itself ends there. A chain that never ends is a fault of the pairs:
+    jumps double in length, so ids that still move after 64 rounds raise ValueError.
+    """
+    pairs = pairs.select("id", F.col("into").alias("final"))
+    still = pairs.filter("id = final")
+    now = settle(pairs.filter("id != final"), "closure")
+    for _ in range(64):
         step = now.select(F.col("id").alias("final"), F.col("final").alias("further"))
         moved = settle(now.join(step, "final", "left").select("id", F.coalesce("further", "final").alias("final"), F.col("further").isNotNull().alias("_moved")), "closure")
         now = moved.drop("_moved")
         if not moved.filter("_moved").take(1):
-            return now
+            return now.unionByName(still)
+    raise ValueError("pairs hold a cycle")
 
 
-def components(pixels: DataFrame, width: int, column: str = "label") -> DataFrame:
+def components(pixels: DataFrame, column: str = "label") -> DataFrame:
     """pixels(image_id, x, y, label) with region_id: 4-connected components, numbered by first pixel.
 
-    Rows are cut into runs of one label; only runs are joined with the runs of the next row that they
-    overlap. Runs of neighbouring rows meet on equi-keys (row, label) with a residual on x.
+    Rows are cut into runs of one label. Edges between runs are seen by their pixels, each of which
+    looks at the one below: no join, and linear in the pixels however short the runs are.
     """
     row = Window.partitionBy("image_id", "y").orderBy("x")
     starts = pixels.withColumn("_new", F.coalesce(F.lag(column).over(row) != F.col(column), F.lit(True)))
     marked = starts.withColumn("_x0", F.last(F.when(F.col("_new"), F.col("x")), True).over(row.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    marked = marked.withColumn("_run", F.col("y").cast("long") * width + F.col("_x0"))
-    runs = settle(marked.groupBy("image_id", "y", "_run", F.col(column).alias("_l")).agg(F.min("x").alias("x0"), F.max("x").alias("x1")), "runs")
-    below = runs.select("image_id", (F.col("y") - 1).alias("y"), "_l", F.col("_run").alias("w"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    edges = runs.join(below, ["image_id", "y", "_l"]).filter("x0 <= b1 AND b0 <= x1").select("image_id", F.col("_run").alias("v"), "w")
-    alone = runs.select("image_id", F.col("_run").alias("v"), F.col("_run").alias("w"))
-    roots = _shrink(edges.unionByName(alone))
+    marked = marked.withColumn("_run", F.col("y").cast("long") * ROW + F.col("_x0"))
+    down = column_window()
+    same = (F.lead("y").over(down) == F.col("y") + 1) & (F.lead(column).over(down) == F.col(column))
+    edges = marked.select("image_id", F.col("_run").alias("v"), F.coalesce(F.when(same, F.lead("_run").over(down)), F.col("_run")).alias("w")).distinct()
+    alone = edges.select("image_id", "v", F.col("v").alias("w")).distinct()
+    roots = _shrink(edges.filter("v != w").unionByName(alone))
     order = Window.partitionBy("image_id").orderBy("root")
     ids = roots.select("image_id", "root").distinct().withColumn("region_id", F.row_number().over(order) - 1)
     named = roots.join(ids, ["image_id", "root"]).select("image_id", F.col("v").alias("_run"), "region_id")
@@ -74,26 +84,70 @@ def adjacency(labelled: DataFrame) -> DataFrame:
     return near.unionByName(near.select("image_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def ids_by_color(regions: DataFrame, color: str = "color_idx") -> DataFrame:
+    """(image_id, color, region_ids): the regions of each colour, by rising id."""
+    return regions.groupBy("image_id", color).agg(F.sort_array(F.collect_list("region_id")).alias("region_ids"))
+
+
+def paths_of_color(regions: DataFrame, paths: DataFrame, chosen: DataFrame, color: str = "color_idx") -> DataFrame:
+    """(image_id, color, region_id, path): outlines of the regions of the ``chosen`` colour (image_id, color) of each image.
+
+    A colour without regions, and regions without an outline, give no row.
+    """
+    return regions.select("image_id", color, "region_id").join(chosen, ["image_id", color], "left_semi").join(paths, ["image_id", "region_id"])
+
+
+def numbers(regions: DataFrame, color: str = "color_idx") -> DataFrame:
+    """What is written where on the regions: symbol, x, y, font size."""
+    return regions.select("image_id", "region_id", symbol_for(F.col(color)).alias("symbol"), F.col("label_x").alias("x"), F.col("label_y").alias("y"), "font_size")
+
+
 def small_regions(regions: DataFrame, pixels: int, least: int | None = None) -> DataFrame:
     """Regions below the least area: by default 350 pixels or a 4000th of the picture."""
     least = max(350, int(pixels / 4000 + 0.5)) if least is None else least
     return regions.filter(F.col("area") < least)
 
 
-def merge(regions: DataFrame, edges: DataFrame, least: int, contrast: float = CONTRAST, every: bool = False) -> DataFrame:
+def absorbers(regions: DataFrame, edges: DataFrame, least: int, contrast: float = CONTRAST) -> DataFrame:
+    """One step of ``merge`` as joins: for each small region the neighbour of least difference, and whether it may go there.
+
+    (image_id, region_id, into_id, de, contrast, absorbed); ties go to the lower id. A region that stands
+    out by ``contrast`` against any neighbour stays.
+    """
+    colors = [F.col(c).alias(f"_{c}") for c in ("L", "a", "b")]
+    small = regions.filter(F.col("area") < least).select("image_id", "region_id", "L", "a", "b")
+    met = small.join(edges.select("image_id", F.col("src").alias("region_id"), F.col("dst").alias("_other")), ["image_id", "region_id"])
+    met = met.join(regions.select("image_id", F.col("region_id").alias("_other"), *colors), ["image_id", "_other"])
+    apart = with_ciede2000(met, ["L", "a", "b"], ["_L", "_a", "_b"], "_de").withColumn("_de", F.round("_de", 6))
+    each = apart.groupBy("image_id", "region_id").agg(F.min(F.struct("_de", "_other")).alias("_s"), F.max("_de").alias("contrast"))
+    return each.select("image_id", "region_id", F.col("_s._other").alias("into_id"), F.col("_s._de").alias("de"), "contrast", (F.col("contrast") < contrast).alias("absorbed"))
+
+
+def merge(regions: DataFrame, edges: DataFrame, least: int | None, contrast: float = CONTRAST, every: bool = False) -> DataFrame:
     """(image_id, region_id, into): which region finally holds each, as small regions are absorbed.
 
-    regions: image_id, region_id, area, L, a, b. In the order of ids, and again when still small, a
+    regions: image_id, region_id, area, L, a, b, and ``least`` where it differs by image (then the
+    argument is None). In the order of ids, and again when still small, a
     region below ``least`` goes to its nearest neighbour by colour, unless it stands out by
     ``contrast`` against any neighbour (``every``: against all). Images are independent; one needs
-    its region graph only, never its pixels.
+    its region graph only, never its pixels; images without a small region are not grouped at all.
+    Colours are those of the palette, so differences are a table made once for an image.
     """
 
     def run(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("region_id")
         ids = nodes["region_id"].tolist()
+        least = int(nodes["least"].iloc[0])
+        colors, code = np.unique(nodes[["L", "a", "b"]].to_numpy(float), axis=0, return_inverse=True)
+        code = dict(zip(ids, code.ravel(), strict=True))
+        apart: dict[int, np.ndarray] = {}
+
+        def difference(i: int, j: int) -> float:
+            if code[i] not in apart:
+                apart[code[i]] = deltas(colors[code[i]], colors)
+            return float(apart[code[i]][code[j]])
+
         area = dict(zip(ids, nodes["area"], strict=True))
-        lab = dict(zip(ids, nodes[["L", "a", "b"]].to_numpy(float), strict=True))
         near: dict[int, dict[int, None]] = {i: {} for i in ids}  # dicts keep the order in which neighbours came
         for s, d in links.sort_values(["src", "dst"])[["src", "dst"]].itertuples(index=False):
             near[s][d] = None
@@ -103,7 +157,7 @@ def merge(regions: DataFrame, edges: DataFrame, least: int, contrast: float = CO
             i = queue.popleft()
             if into[i] != i or area[i] >= least or not near[i]:
                 continue
-            far = {j: delta(lab[i], lab[j]) for j in near[i]}
+            far = {j: difference(i, j) for j in near[i]}
             if (min if every else max)(far.values()) >= contrast:
                 continue
             j = min(far, key=far.get)
@@ -125,9 +179,13 @@ def merge(regions: DataFrame, edges: DataFrame, least: int, contrast: float = CO
 
         return pd.DataFrame({"image_id": key[0], "region_id": ids, "into": [end(i) for i in ids]})
 
+    regions = regions if least is None else regions.withColumn("least", F.lit(least))
+    small = settle(regions.filter("area < least").select("image_id").distinct(), "small")
+    rest = regions.join(small, "image_id", "left_anti").select("image_id", "region_id", F.col("region_id").alias("into"))
     # New names for both sides: they often come from one table.
-    regions, edges = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (regions, edges))
-    return regions.groupBy("image_id").cogroup(edges.groupBy("image_id")).applyInPandas(run, "image_id string, region_id long, into long")
+    nodes, links = (df.select(*[F.col(c).alias(c) for c in df.columns]).join(small, "image_id", "left_semi") for df in (regions, edges))
+    schema = ", ".join(f"{name} {regions.schema[of].dataType.simpleString()}" for name, of in (("image_id", "image_id"), ("region_id", "region_id"), ("into", "region_id")))
+    return rest.unionByName(nodes.groupBy("image_id").cogroup(links.groupBy("image_id")).applyInPandas(run, schema))
 
 
 def compact(labelled: DataFrame, merged: DataFrame, column: str = "label") -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,48 +55,68 @@ def trace_loops(edges: DataFrame) -> DataFrame:
     return flat.groupBy("image_id", "region_id").applyInPandas(lambda pdf: run(pdf.sort_values("seq")), "image_id string, region_id long, loop_id int, points array<struct<x: double, y: double>>")
 
 
-def simplify(points: list[tuple[float, float]], epsilon: float) -> list[tuple[float, float]]:
-    """Closed Douglas-Peucker between the leftmost and the rightmost vertex; below five vertices as it is."""
+def simplify(points: np.ndarray, epsilon: float) -> np.ndarray:
+    """Which vertices (n, 2) of a closed line stay: Douglas-Peucker on both ways between its leftmost and rightmost vertex.
+
+    All spans that are still open are split at once: their largest offsets come from one pass over the
+    vertices. Below five vertices all stay.
+    """
     n = len(points)
-    if n < 5:
-        return points
-    left, right = min(range(n), key=lambda i: (points[i][0], i)), max(range(n), key=lambda i: (points[i][0], -i))
-    if left == right:
-        return points
-    kept = {left, right}
-    for first, last in ((left, right), (right, left)):
-        chain = [(first + k) % n for k in range((last - first) % n + 1)]
-        todo = [(0, len(chain) - 1)]
-        while todo:
-            lo, hi = todo.pop()
-            if hi - lo < 2:
-                continue
-            (ax, ay), (bx, by) = points[chain[lo]], points[chain[hi]]
-            length = math.hypot(bx - ax, by - ay) or 1.0
-            off = [abs((points[chain[k]][0] - ax) * (by - ay) - (points[chain[k]][1] - ay) * (bx - ax)) / length for k in range(lo + 1, hi)]
-            most = max(off)
-            if most > epsilon:
-                at = lo + 1 + off.index(most)
-                kept.add(chain[at])
-                todo += [(lo, at), (at, hi)]
-    return [p for i, p in enumerate(points) if i in kept]
+    left, right = points[:, 0].argmin(), points[:, 0].argmax()
+    if n < 5 or left == right:
+        return np.ones(n, bool)
+    ring = np.roll(np.arange(n), -left)  # from the leftmost vertex round to it again
+    line = np.vstack([points[ring], points[left]])
+    ends = np.array([0, (right - left) % n, n])
+    open_ = np.ones(2, bool)  # spans between neighbouring ends
+    while open_.any():
+        starts, stops = ends[:-1][open_], ends[1:][open_]
+        span = np.repeat(np.arange(len(starts)), np.maximum(stops - starts - 1, 0))
+        first = np.cumsum(np.maximum(stops - starts - 1, 0)) - np.maximum(stops - starts - 1, 0)
+        inner = starts[span] + 1 + np.arange(len(span)) - first[span]
+        side = line[stops] - line[starts]
+        length = np.hypot(side[:, 0], side[:, 1])
+        length[length == 0] = 1.0
+        off = line[inner] - line[starts][span]
+        far = np.abs(off[:, 0] * side[span, 1] - off[:, 1] * side[span, 0]) / length[span]
+        top = np.zeros(len(starts))
+        np.maximum.at(top, span, far)
+        splits = np.flatnonzero(top > epsilon)
+        hit = np.full(len(starts), len(line))
+        best = far == top[span]
+        np.minimum.at(hit, span[best], inner[best])  # the first of equally far vertices
+        new = hit[splits]
+        known = np.flatnonzero(open_)[splits]
+        fresh = np.zeros(len(ends) - 1, bool)
+        fresh[known] = True
+        ends, open_ = np.insert(ends, known + 1, new), np.repeat(fresh, np.where(fresh, 2, 1))
+    kept = np.zeros(n, bool)
+    kept[ring[ends[:-1]]] = True
+    return kept
 
 
 def simplified(loops: DataFrame, epsilon: float = 1.2) -> DataFrame:
     """Loops with their points simplified; those of fewer than three vertices go."""
 
     def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda ps: [{"x": x, "y": y} for x, y in simplify([(p["x"], p["y"]) for p in ps], epsilon)])
+        def one(points: np.ndarray) -> list[dict]:
+            kept = simplify(np.array([(p["x"], p["y"]) for p in points], float).reshape(-1, 2), epsilon) if len(points) else []
+            return [p for p, stays in zip(points, kept, strict=True) if stays]
+
+        return column.map(one)
 
     out = F.pandas_udf(run, "array<struct<x: double, y: double>>")
     return loops.withColumn("points", out("points")).filter(F.size("points") >= 3)
 
 
-def chaikin(points: Column, rounds: int = 2) -> Column:
-    """Corner cutting of a closed line (array of x, y): two vertices at 1/4 and 3/4 of every side."""
+def chaikin(lines: DataFrame, rounds: int = 2, column: str = "points") -> DataFrame:
+    """Corner cutting of closed lines (array of x, y): two vertices at 1/4 and 3/4 of every side.
+
+    Each round is a column of its own, which the next one reads by place: linear in the vertices.
+    """
     for _ in range(rounds):
-        points = _cut(points)
-    return points
+        lines = lines.withColumn(column, _cut(F.col(column)))
+    return lines
 
 
 def _cut(points: Column) -> Column:

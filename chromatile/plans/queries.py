@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import color as C
 from ..operators import paint, raster, regions, stencil, superpixel, vector
 from ..operators import palette as pal
-from ..sources import projects
+from ..sources import catalog, projects
 from . import convert as template
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 WIDTH = 20
 REFINED = 48
+FITTED = 200
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,12 +94,18 @@ def catalog_palette(spark: SparkSession) -> DataFrame:
     return rows.select("idx", "hex", *[c.alias(k) for c, k in zip(lab, ("L", "a", "b"), strict=True)])
 
 
+def literal_palette(spark: SparkSession) -> list[tuple[int, float, float, float]]:
+    """The catalog palette as values: a fixed handful of colours."""
+    return [tuple(r) for r in catalog_palette(spark).select("idx", "L", "a", "b").orderBy("idx").collect()]
+
+
 def _channel(at: int) -> str:
     return f"CAST('0x' || substr(hex, {at}, 2) AS INTEGER)"
 
 
 PALETTE = "pal AS (SELECT idx, hex, {} AS \"L\", {} AS a, {} AS b FROM (VALUES {}) v(idx, hex))".format(*sql_lab(_channel(2), _channel(4), _channel(6)), ", ".join(f"({i}, '{h}')" for i, h in enumerate(CATALOG_COLORS)))
 
+_FONT_OF = "CAST(least(48, greatest(10, floor(sqrt(area) / 3 + .5))) AS INTEGER)"
 SYMBOL = "CASE WHEN idx BETWEEN 0 AND 8 THEN CAST(idx + 1 AS VARCHAR) WHEN idx = 9 THEN '0' WHEN idx BETWEEN 10 AND 35 THEN chr(CAST(55 + idx AS INTEGER)) ELSE '?' END"
 
 
@@ -128,7 +135,7 @@ reg AS (SELECT s.*, dense_rank() OVER (ORDER BY root) - 1 AS region_id FROM scen
 
 
 def scene_regions(spark: SparkSession) -> DataFrame:
-    return regions.components(scene_labels(spark), 48)
+    return regions.components(scene_labels(spark))
 
 
 # ---- colour ----
@@ -140,8 +147,7 @@ def scene_regions(spark: SparkSession) -> DataFrame:
 SELECT idx, {SYMBOL} AS symbol, hex, CASE WHEN 0.299 * {_channel(2)} + 0.587 * {_channel(4)} + 0.114 * {_channel(6)} >= 128 THEN '#1c1917' ELSE '#ffffff' END AS digit,
   count(*) AS pixel_count, row_number() OVER (ORDER BY count(*) DESC, idx) - 1 AS rank FROM near GROUP BY idx, hex""")
 def palette_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    keyed = lab_pixels(spark, sf).withColumn("k", F.lit(0))
-    counted = pal.nearest_color(keyed, catalog_palette(spark).withColumn("k", F.lit(0)), ["k"]).groupBy("idx").agg(F.count(F.lit(1)).alias("pixel_count"))
+    counted = pal.nearest_of(lab_pixels(spark, sf), literal_palette(spark)).groupBy("idx").agg(F.count(F.lit(1)).alias("pixel_count"))
     named = counted.join(F.broadcast(catalog_palette(spark).select("idx", "hex")), "idx").withColumn("image_id", F.lit(0))
     return template.ranked(named).select("idx", C.symbol_for(F.col("idx")).alias("symbol"), "hex", C.digit_color(F.col("hex")).alias("digit"), "pixel_count", F.col("rank").cast("long").alias("rank"))
 
@@ -174,15 +180,13 @@ s7 AS (SELECT *, 2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015 * cm * t)
 def ciede2000_pairs(spark: SparkSession, sf: str) -> DataFrame:
     c = colors(spark, sf)
     q = c.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("q_id"), *[F.col(k).alias(f"q_{k}") for k in ("L", "a", "b")])
-    de = C.ciede2000([F.col(k) for k in ("L", "a", "b")], [F.col(f"q_{k}") for k in ("L", "a", "b")])
-    return rounded(c.join(q, "vec_id").select(F.col("vec_id").alias("p_id"), "q_id", de.alias("de")))
+    return rounded(C.with_ciede2000(c.join(q, "vec_id"), ["L", "a", "b"], ["q_L", "q_a", "q_b"]).select(F.col("vec_id").alias("p_id"), "q_id", "de"))
 
 
 @query(f"""WITH {COLORS}, {PALETTE} SELECT vec_id, arg_min(idx, struct_pack(d, idx)) AS idx, round(min(d), 6) AS d FROM (
   SELECT c.vec_id, p.idx, round(sqrt((c."L" - p."L") ** 2 + (c.a - p.a) ** 2 + (c.b - p.b) ** 2), 9) AS d FROM colors c, pal p) GROUP BY vec_id""")
 def cie76_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    palette = catalog_palette(spark).withColumn("k", F.lit(0))
-    near = pal.nearest_color(colors(spark, sf).withColumn("k", F.lit(0)), palette, ["k"])
+    near = pal.nearest_of(colors(spark, sf), literal_palette(spark))
     return rounded(near.select("vec_id", "idx", F.sqrt("d").alias("d")))
 
 
@@ -213,7 +217,7 @@ def symbol_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, round(s, 6) AS scale, round((1000 - w * s) / 2, 6) AS tx, round((700 - h * s) / 2, 6) AS ty, round((100 - (1000 - w * s) / 2) / s, 6) AS cx FROM (
-  SELECT *, least(12.0::DOUBLE, greatest(0.05::DOUBLE, least(952.0::DOUBLE / w, 652.0::DOUBLE / h))) AS s FROM (SELECT o_orderkey, 1 + o_orderkey % 977 AS w, 1 + o_custkey % 613 AS h FROM orders))""")
+  SELECT *, least(12.0::DOUBLE, greatest(0.05::DOUBLE, least(976.0::DOUBLE / w, 676.0::DOUBLE / h))) AS s FROM (SELECT o_orderkey, 1 + o_orderkey % 977 AS w, 1 + o_custkey % 613 AS h FROM orders))""")
 def view_fit(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 977).alias("w"), (1 + F.col("o_custkey") % 613).alias("h"))
     s, tx, ty = C.fit_to(F.col("w"), F.col("h"), 1000.0, 700.0)
@@ -228,7 +232,7 @@ f AS (SELECT x, y, CAST(greatest(0, floor(sx)) AS INTEGER) AS x0, CAST(greatest(
 w AS (SELECT x, y, least(47, x0 + dx) AS ax, least(47, y0 + dy) AS ay, (CASE dx WHEN 1 THEN fx ELSE 1 - fx END) * (CASE dy WHEN 1 THEN fy ELSE 1 - fy END) AS k FROM f, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy)),
 """ + SCENE + """ SELECT 'scene' AS image_id, CAST(w.x AS INTEGER) AS x, CAST(w.y AS INTEGER) AS y, round(sum(CAST([110, 245, 100, 200, 110][label + 1] AS DOUBLE) * k), 6) AS r FROM w JOIN scene s ON s.x = w.ax AND s.y = w.ay GROUP BY w.x, w.y""")
 def downscale_bilinear(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(raster.downscale(raster.scene(spark, 48), 48, 48, 32, ("r",)))
+    return rounded(raster.downscale(raster.scene(spark, 48), 32, ("r",)))
 
 
 @query(f"WITH {PX} SELECT image_id, p, round(CASE WHEN g < 250 THEN r * g / 255.0::DOUBLE + 255 * (1 - g / 255.0::DOUBLE) ELSE r END, 6) AS r FROM px")
@@ -333,7 +337,8 @@ def _scene_lab(spark: SparkSession) -> DataFrame:
 
 def _assigned(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     points = superpixel.centers(spark, 48, 48, 100).withColumn("image_id", F.lit("scene"))
-    return superpixel.assign(_scene_lab(spark), points, superpixel.interval(48, 48, 100)), points
+    points = points.withColumn("step", F.lit(superpixel.interval(48, 48, 100)))
+    return superpixel.assign(_scene_lab(spark), points), points
 
 
 @query(f"WITH {_SLIC} SELECT p, sp FROM sp")
@@ -380,8 +385,9 @@ def sse_by_label(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def palette_fit(spark: SparkSession, sf: str) -> DataFrame:
-    points = colors(spark, sf).select((F.col("label") % 4).cast("string").alias("image_id"), F.col("vec_id").alias("i"), "L", "a", "b")
-    return rounded(pal.fit_palettes(points, [10, 12], 1))
+    """All embeddings, as images of ``FITTED`` superpixels, with every k of the conversion."""
+    points = colors(spark, sf).select(F.floor(F.col("vec_id") / FITTED).cast("string").alias("image_id"), F.col("vec_id").alias("i"), "L", "a", "b")
+    return rounded(pal.fit_palettes(points, list(range(pal.K_MIN, pal.K_MAX + 1)), 1))
 
 
 @query()
@@ -417,11 +423,27 @@ def small_region_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def region_merge(spark: SparkSession, sf: str) -> DataFrame:
-    found = regions.settle(regions.components(labels(spark, sf), WIDTH), "found")
+    found = regions.settle(regions.components(labels(spark, sf)), "found")
     nodes = regions.stats(found).withColumns({"L": F.lit(50.0) + F.col("label") * 6, "a": F.lit(0.0), "b": F.lit(0.0)})
     return regions.compact(found, regions.merge(nodes.select("image_id", "region_id", "area", "L", "a", "b"), regions.adjacency(found), 9)).select("image_id", "p", "label", "region_id")
 
 
+_GRAPH = """n AS (SELECT p_partkey // 50 AS image_id, p_partkey AS region_id, p_size AS area, 20 + (p_partkey * 37 % 61)::DOUBLE AS l FROM part),
+e AS (SELECT a.image_id, a.region_id AS src, b.region_id AS dst FROM n a JOIN n b ON a.image_id = b.image_id AND abs(a.region_id - b.region_id) IN (1, 7))"""
+
+
+@query(f"""WITH {_GRAPH}, d AS (SELECT s.image_id, s.region_id, t.region_id AS other, round(abs(s.l - t.l) / (1 + .015 * ((s.l + t.l) / 2 - 50) ** 2 / sqrt(20 + ((s.l + t.l) / 2 - 50) ** 2)), 6) AS de
+  FROM n s JOIN e ON e.src = s.region_id JOIN n t ON t.region_id = e.dst WHERE s.area < 12)
+SELECT image_id, region_id, arg_min(other, struct_pack(de, other)) AS into_id, min(de) AS de, max(de) AS contrast, max(de) < 12 AS absorbed FROM d GROUP BY ALL""")
+def merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """One step of the merge: where small regions would go, and which ones the contrast guard holds back."""
+    at = F.col("p_partkey")
+    nodes = table(spark, sf, "part").select(F.expr("p_partkey div 50").alias("image_id"), at.alias("region_id"), F.col("p_size").alias("area"), (20.0 + (at * 37) % 61).alias("L"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    near = nodes.select("image_id", F.col("region_id").alias("src"), F.explode(F.array(*[F.col("region_id") + k for k in (-7, -1, 1, 7)])).alias("dst"))
+    edges = near.join(nodes.select("image_id", F.col("region_id").alias("dst")), ["image_id", "dst"])
+    return regions.absorbers(nodes, edges, 12)
+
+
 @query("""WITH RECURSIVE t(id, into_) AS (SELECT o_orderkey, o_orderkey // 2 FROM orders WHERE o_orderkey > 1), r(id, top) AS (SELECT id, into_ FROM t UNION ALL SELECT r.id, t.into_ FROM r JOIN t ON t.id = r.top)
 SELECT id, min(top) AS final FROM r GROUP BY id""")
 def absorber_closure(spark: SparkSession, sf: str) -> DataFrame:
@@ -429,9 +451,14 @@ def absorber_closure(spark: SparkSession, sf: str) -> DataFrame:
     return regions.closure(pairs)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCENE}, {REGION}, bo AS (SELECT r.*, (SELECT count(*) FROM reg n WHERE n.region_id = r.region_id AND ((n.y = r.y AND abs(n.x - r.x) = 1) OR (n.x = r.x AND abs(n.y - r.y) = 1))) < 4 AS edge FROM reg r),
+bfs(p, region_id, x, y, d) AS (SELECT p, region_id, x, y, 0 FROM bo WHERE edge UNION SELECT n.p, n.region_id, n.x, n.y, b.d + 1 FROM bfs b JOIN reg n ON n.region_id = b.region_id AND ((n.y = b.y AND abs(n.x - b.x) = 1) OR (n.x = b.x AND abs(n.y - b.y) = 1)) WHERE b.d < 24),
+far AS (SELECT p, region_id, x, y, min(d) AS d FROM bfs GROUP BY ALL), best AS (SELECT region_id, arg_max(struct_pack(x, y), struct_pack(d, q := -p)) AS s, max(d) AS d FROM far GROUP BY region_id),
+st AS (SELECT region_id, label, count(*) AS area, floor(avg(x) + .5) AS mx, floor(avg(y) + .5) AS my FROM reg GROUP BY ALL)
+SELECT region_id, label, area, CAST(CASE WHEN d > 0 THEN s.x ELSE mx END + .5 AS DOUBLE) AS label_x, CAST(CASE WHEN d > 0 THEN s.y ELSE my END + .5 AS DOUBLE) AS label_y, {_FONT_OF} AS font_size FROM st JOIN best USING (region_id)""")
 def label_points(spark: SparkSession, sf: str) -> DataFrame:
-    return regions.label_points(scene_regions(spark)).drop("image_id")
+    found = regions.label_points(scene_regions(spark)).drop("image_id")
+    return found.withColumns({"region_id": F.col("region_id").cast("long"), "label_x": F.col("label_x").cast("double"), "label_y": F.col("label_y").cast("double")})
 
 
 @query(f"""WITH RECURSIVE {SCENE}, {REGION}, g AS (SELECT * , {_NEAR.format('region_id')} FROM reg {_HV}), e AS (
@@ -452,17 +479,18 @@ def trace_loops(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def region_paths(spark: SparkSession, sf: str) -> DataFrame:
-    loops = vector.simplified(_scene_loops(spark))
-    return vector.paths(loops.withColumn("points", vector.chaikin(F.col("points")))).drop("image_id")
+    return vector.paths(vector.chaikin(vector.simplified(_scene_loops(spark)))).drop("image_id")
 
 
 @query("""WITH q AS (SELECT o_custkey, o_orderkey, o_totalprice AS x, o_orderkey % 97 AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+c1 AS (SELECT a.o_custkey, a.i * 2 + k AS i, a.n * 2 AS n, CASE k WHEN 0 THEN a.x * .75 + b.x * .25 ELSE a.x * .25 + b.x * .75 END AS x, CASE k WHEN 0 THEN a.y * .75 + b.y * .25 ELSE a.y * .25 + b.y * .75 END AS y
+  FROM q a JOIN q b ON a.o_custkey = b.o_custkey AND b.i = (a.i + 1) % a.n, (VALUES (0), (1)) v(k)),
 c AS (SELECT a.o_custkey, a.i * 2 + k AS i, CASE k WHEN 0 THEN a.x * .75 + b.x * .25 ELSE a.x * .25 + b.x * .75 END AS x, CASE k WHEN 0 THEN a.y * .75 + b.y * .25 ELSE a.y * .25 + b.y * .75 END AS y
-  FROM q a JOIN q b ON a.o_custkey = b.o_custkey AND b.i = (a.i + 1) % a.n, (VALUES (0), (1)) v(k)) SELECT o_custkey, CAST(i AS INTEGER) AS i, round(x, 6) AS x, round(CAST(y AS DOUBLE), 6) AS y FROM c""")
+  FROM c1 a JOIN c1 b ON a.o_custkey = b.o_custkey AND b.i = (a.i + 1) % a.n, (VALUES (0), (1)) v(k)) SELECT o_custkey, CAST(i AS INTEGER) AS i, round(x, 6) AS x, round(CAST(y AS DOUBLE), 6) AS y FROM c""")
 def chaikin(spark: SparkSession, sf: str) -> DataFrame:
     points = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("o_totalprice").alias("x"), (F.col("o_orderkey") % 97).cast("double").alias("y")))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
     lines = table(spark, sf, "orders").groupBy("o_custkey").agg(points.alias("ps"))
-    return rounded(lines.select("o_custkey", F.posexplode(vector.chaikin(F.col("ps"), 1)).alias("i", "q")).select("o_custkey", "i", "q.x", "q.y"))
+    return rounded(vector.chaikin(lines, 2, "ps").select("o_custkey", F.posexplode("ps").alias("i", "q")).select("o_custkey", "i", "q.x", "q.y"))
 
 
 # ---- paint log and projects ----
@@ -480,7 +508,12 @@ def stroke_segments(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(paint.segments(points, ["project_id"]))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOG}, f(project_id, seq, done, redo) AS (SELECT DISTINCT project_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM log
+UNION ALL SELECT l.project_id, l.seq,
+  CASE l.tool WHEN 'undo' THEN f.done[:-2] WHEN 'redo' THEN CASE WHEN len(f.redo) > 0 THEN f.done || f.redo[-1:] ELSE f.done END ELSE (f.done || [l.seq])[-50:] END,
+  CASE l.tool WHEN 'undo' THEN CASE WHEN len(f.done) > 0 THEN f.redo || f.done[-1:] ELSE f.redo END WHEN 'redo' THEN f.redo[:-2] ELSE []::BIGINT[] END
+  FROM f JOIN log l ON l.project_id = f.project_id AND l.seq = f.seq + 1)
+SELECT project_id, CAST(len(done) AS INTEGER) AS done, CAST(len(redo) AS INTEGER) AS redo, array_to_string(done, ',') AS actions FROM f QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY seq DESC) = 1""")
 def undo_redo_state(spark: SparkSession, sf: str) -> DataFrame:
     return paint.undo_redo(log(spark, sf)).select("project_id", F.size("done").alias("done"), F.size("redo").alias("redo"), F.array_join(F.transform("done", lambda s: s.cast("string")), ",").alias("actions"))
 
@@ -495,9 +528,11 @@ def pixel_last_writer(spark: SparkSession, sf: str) -> DataFrame:
     return paint.replay(marks, ["project_id", "cell"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOG}, o AS (SELECT project_id, seq, round(size, 1) AS x FROM log),
+s(project_id, seq, x, kept) AS (SELECT project_id, seq, x, 1 FROM o WHERE seq = 1 UNION ALL SELECT o.project_id, o.seq, CASE WHEN abs(o.x - s.x) < .01 THEN s.x ELSE o.x END, s.kept + CASE WHEN abs(o.x - s.x) < .01 THEN 0 ELSE 1 END FROM s JOIN o ON o.project_id = s.project_id AND o.seq = s.seq + 1)
+SELECT project_id, CAST(max(seq) AS INTEGER) AS before, CAST(max(kept) AS INTEGER) AS after FROM s GROUP BY project_id""")
 def stroke_points(spark: SparkSession, sf: str) -> DataFrame:
-    points = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.round("size", 1).alias("x")))), lambda s: F.struct(s["x"].alias("x"), F.lit(0.0).alias("y")))
+    points = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.round("size", 1).alias("x")))), lambda s: F.struct(s["x"].alias("x"), F.lit(0.0).alias("y"), F.lit(0.5).alias("pressure")))
     return log(spark, sf).groupBy("project_id").agg(points.alias("ps")).select("project_id", F.size("ps").alias("before"), F.size(paint.dedupe_points(F.col("ps"))).alias("after"))
 
 
@@ -554,5 +589,187 @@ def custom_colors(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def photo_to_template(spark: SparkSession, sf: str) -> DataFrame:
     """The whole conversion of the drawn scene: its palette and areas."""
-    made = template.convert(raster.scene(spark, 96), 96, 96)
+    made = template.convert(raster.scene(spark, 96))
     return rounded(made.palette.drop("image_id"))
+
+
+@query()
+def photos_to_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole conversion of all images of the table, of many sizes: their palettes."""
+    return rounded(template.convert(pixels(spark, sf).select("image_id", "x", "y", "r", "g", "b"), least_area=9).palette)
+
+
+# ---- layers of a template: the label grid, whose regions are named by image, label and colour ----
+
+_RG = "rg AS (SELECT image_id, CAST(label AS BIGINT) AS region_id, CAST((label + CAST(image_id AS INTEGER)) % 7 AS INTEGER) AS color_idx, count(*) AS area, min(x) + .5 AS label_x, max(y) + .5 AS label_y FROM lb GROUP BY ALL)"
+_FONT = _FONT_OF
+
+
+def _grid(spark: SparkSession, sf: str) -> DataFrame:
+    return labels(spark, sf).withColumn("region_id", F.col("label").cast("long"))
+
+
+def _grid_regions(spark: SparkSession, sf: str) -> DataFrame:
+    color = ((F.col("region_id") + F.col("image_id").cast("int")) % 7).cast("int").alias("color_idx")
+    found = _grid(spark, sf).groupBy("image_id", "region_id", color).agg(F.count(F.lit(1)).alias("area"), (F.min("x") + 0.5).alias("label_x"), (F.max("y") + 0.5).alias("label_y"))
+    return found.withColumn("font_size", C.font_size(F.col("area")))
+
+
+def _chosen(regions_: DataFrame) -> DataFrame:
+    """The active colour of each image."""
+    return regions_.select("image_id", (F.col("image_id").cast("int") % 5).alias("color_idx")).distinct()
+
+
+@query(f"WITH {PX}, {_LABEL}, {_RG} SELECT image_id, color_idx, array_to_string(list(region_id ORDER BY region_id), ',') AS ids FROM rg GROUP BY ALL")
+def region_ids_by_color(spark: SparkSession, sf: str) -> DataFrame:
+    found = regions.ids_by_color(_grid_regions(spark, sf))
+    return found.select("image_id", "color_idx", F.array_join(F.transform("region_ids", lambda v: v.cast("string")), ",").alias("ids"))
+
+
+@query(f"WITH {PX}, {_LABEL}, {_RG} SELECT image_id, color_idx, region_id, 'M' || image_id || ' ' || region_id || 'Z' AS path FROM rg WHERE color_idx = CAST(image_id AS INTEGER) % 5 AND region_id = CAST(image_id AS INTEGER) % 2")
+def highlight_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of the active colour; one region of each image has an outline here."""
+    found = _grid_regions(spark, sf)
+    outlines = found.filter("region_id = CAST(image_id AS INT) % 2").select("image_id", "region_id", F.concat(F.lit("M"), "image_id", F.lit(" "), F.col("region_id").cast("string"), F.lit("Z")).alias("path"))
+    return regions.paths_of_color(found, outlines, _chosen(found)).select("image_id", "color_idx", "region_id", "path")
+
+
+@query(f"WITH {PX}, {_LABEL}, {_RG}, i AS (SELECT *, color_idx AS idx FROM rg) SELECT image_id, region_id, {SYMBOL} AS symbol, label_x AS x, label_y AS y, {_FONT} AS font_size FROM i")
+def label_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return regions.numbers(_grid_regions(spark, sf)).select("image_id", "region_id", "symbol", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "font_size")
+
+
+_MASK = f"q AS (SELECT image_id, x, y, label, {_NEAR.format('label')} FROM lb {_HV}), mask AS (SELECT DISTINCT image_id, x + dx AS x, y + dy AS y FROM (SELECT * FROM q WHERE l != label OR r_ != label OR u != label OR d != label), (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))"
+
+
+def _mask(spark: SparkSession, sf: str) -> DataFrame:
+    return stencil.dilate2(stencil.contour_mask(labels(spark, sf)))
+
+
+@query(f"""WITH {PX}, {_LABEL}, {_MASK} SELECT p.image_id, p.x, p.y, {', '.join(f"CASE WHEN m.x IS NOT NULL THEN 0 ELSE CAST(floor({c} * (p.n * 255 // 7) / 255.0::DOUBLE + 255 * (1 - (p.n * 255 // 7) / 255.0::DOUBLE) + .5) AS INTEGER) END AS {c}" for c in 'rgb')}, 255 AS a
+FROM px p LEFT JOIN mask m ON m.image_id = p.image_id AND m.x = p.x AND m.y = p.y""")
+def compose_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The pixels as translucent paint over white, with the contours of the label grid."""
+    painted = pixels(spark, sf).select("image_id", "x", "y", "r", "g", "b", F.expr("CAST(n * 255 div 7 AS INT)").alias("a"))
+    return raster.compose(painted, _mask(spark, sf))
+
+
+@query(f"WITH {PX}, {_LABEL}, {_RG}, {PALETTE} SELECT b.image_id, b.x, b.y, {_channel(2)} AS r, {_channel(4)} AS g, {_channel(6)} AS b, 89 AS a FROM lb b JOIN rg ON rg.image_id = b.image_id AND rg.region_id = b.label JOIN pal ON idx = color_idx WHERE color_idx = CAST(b.image_id AS INTEGER) % 5")
+def highlight_color(spark: SparkSession, sf: str) -> DataFrame:
+    found = _grid_regions(spark, sf)
+    palette = catalog_palette(spark).select(F.col("idx").alias("color_idx"), "hex")
+    return raster.highlight(_grid(spark, sf), found, palette, _chosen(found))
+
+
+@query(f"""WITH {PX}, {_LABEL}, {_RG}, {PALETTE}, {_MASK} SELECT b.image_id, b.x, b.y, {', '.join(f"CASE WHEN m.x IS NOT NULL THEN 0 ELSE {_channel(at)} END AS {c}" for c, at in zip('rgb', (2, 4, 6)))}, 255 AS a
+FROM lb b JOIN rg ON rg.image_id = b.image_id AND rg.region_id = b.label JOIN pal ON idx = color_idx LEFT JOIN mask m ON m.image_id = b.image_id AND m.x = b.x AND m.y = b.y""")
+def fill_preview(spark: SparkSession, sf: str) -> DataFrame:
+    colored = _grid(spark, sf).join(_grid_regions(spark, sf).select("image_id", "region_id", "color_idx"), ["image_id", "region_id"]).join(catalog_palette(spark).select(F.col("idx").alias("color_idx"), "hex"), "color_idx", "left")
+    r, g, b = C.fill_hex(F.col("hex"))
+    return raster.preview(colored.select("image_id", "x", "y", r.alias("r"), g.alias("g"), b.alias("b"), F.lit(255).alias("a")), _mask(spark, sf))
+
+
+# ---- palettes by label ----
+
+_CP = "cp AS (SELECT vec_id // 24 AS g, CAST(vec_id % 24 AS INTEGER) AS idx, * EXCLUDE (label) FROM colors)"
+
+
+def _palettes(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings, as palettes of 24 colours."""
+    return colors(spark, sf).select(F.expr("vec_id div 24").alias("g"), (F.col("vec_id") % 24).cast("int").alias("idx"), "vec_id", "L", "a", "b")
+
+
+_DE_CP = _DE.replace("FROM colors p JOIN colors q ON q.vec_id = p.vec_id + 1", "FROM cp p JOIN cp q ON q.g = p.g AND p.idx < q.idx")
+
+
+@query(f"WITH {COLORS}, {_CP}, {_DE_CP}, e AS (SELECT p_id // 24 AS g, CAST(p_id % 24 AS INTEGER) AS i, CAST(q_id % 24 AS INTEGER) AS j, round(sqrt(greatest(0.0, dl * dl + dc * dc + dd * dd + rt * dc * dd)), 6) AS d FROM s7) SELECT g, arg_min(i, struct_pack(d, i, j)) AS i, arg_min(j, struct_pack(d, i, j)) AS j, min(d) AS d FROM e GROUP BY g")
+def closest_pair(spark: SparkSession, sf: str) -> DataFrame:
+    return pal.closest_pair(_palettes(spark, sf), ["g"])
+
+
+@query(f"""WITH {COLORS}, {PALETTE}, {_NEAREST}, pairs AS (SELECT c.label AS p_id, c.vec_id AS q_id, c."L" AS l1, c.a AS a1, c.b AS b1, p."L" AS l2, p.a AS a2, p.b AS b2 FROM colors c JOIN near USING (vec_id) JOIN pal p USING (idx)),
+{_DE.split('),', 1)[1].lstrip()} SELECT p_id AS label, round(avg(CAST(sqrt(greatest(0.0, dl * dl + dc * dc + dd * dd + rt * dc * dd)) <= 10 AS DOUBLE)), 6) AS share FROM s7 GROUP BY p_id""")
+def coverage_share(spark: SparkSession, sf: str) -> DataFrame:
+    """What part of the colours of each label is within a difference of 10 of its palette colour."""
+    coded, palette = _coded(spark, sf)
+    each = palette.drop("k", "n").join(coded.select("label").distinct())
+    return rounded(pal.coverage(coded.select("label", "vec_id", "idx", "L", "a", "b"), each, ["label"]))
+
+
+@query("""WITH s AS (SELECT CAST(l_suppkey AS VARCHAR) AS image_id, l_linenumber + 9 AS k, avg(CAST(l_quantity > 5 AS DOUBLE)) AS share FROM lineitem GROUP BY ALL)
+SELECT image_id, CAST(coalesce(min(CASE WHEN share >= .9 THEN k END), 36) AS INTEGER) AS k FROM s GROUP BY image_id""")
+def coverage_floor(spark: SparkSession, sf: str) -> DataFrame:
+    shares = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("image_id"), (F.col("l_linenumber") + 9).cast("int").alias("k")).agg(F.avg((F.col("l_quantity") > 5).cast("double")).alias("share"))
+    return pal.least_covering(shares)
+
+
+@query(f"WITH {PX}, s AS (SELECT *, greatest(1, ceil(count(*) OVER (PARTITION BY image_id) / 50.0)) AS stride FROM px) SELECT image_id, p FROM s WHERE p % stride = 0")
+def stride_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return pal.stride_sample(pixels(spark, sf).select("image_id", F.col("p").cast("long").alias("i")), ["image_id"], 50).select("image_id", F.col("i").alias("p"))
+
+
+_F = "CASE WHEN {0} > 0.206897 THEN ({0}) ** 3 ELSE (({0}) - 4.0::DOUBLE / 29) / 7.787::DOUBLE END"
+_XYZ = ", ".join(f"{_F.format(u)} * {w}::DOUBLE AS {n}" for n, u, w in zip("xyz", ("fy + a / 500", "fy", "fy - b / 200"), C.WHITE, strict=True))
+_RGB = ", ".join("{} AS {}".format(" + ".join(f"({m}::DOUBLE * {n})" for m, n in zip(row, "xyz", strict=True)), c) for row, c in zip(C.FROM_XYZ, "rgb", strict=True))
+_BYTE = "CAST(greatest(0, least(255, floor((CASE WHEN {0} <= 0.0031308 THEN {0} * 12.92 ELSE 1.055 * greatest({0}, 0) ** (1 / 2.4::DOUBLE) - 0.055 END) * 255 + .5))) AS INTEGER)"
+
+
+@query(f'WITH {COLORS}, f AS (SELECT vec_id, ("L" + 16) / 116 AS fy, a, b FROM colors), t AS (SELECT vec_id, {_XYZ} FROM f), u AS (SELECT vec_id, {_RGB} FROM t) SELECT vec_id, \'#\' || printf(\'%02x%02x%02x\', {_BYTE.format("r")}, {_BYTE.format("g")}, {_BYTE.format("b")}) AS hex FROM u')
+def refined_hex(spark: SparkSession, sf: str) -> DataFrame:
+    return colors(spark, sf).select("vec_id", C.refined_hex(F.col("L"), F.col("a"), F.col("b")).alias("hex"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, 0.05 + (o_orderkey % 240) / 20.0::DOUBLE AS s, (o_custkey % 300)::DOUBLE AS tx, (o_orderkey % 170)::DOUBLE AS ty, 0.25 + (o_custkey % 16) / 4.0::DOUBLE AS f FROM orders),
+z AS (SELECT *, least(12.0::DOUBLE, greatest(0.05::DOUBLE, s * f)) AS z, least(12.0::DOUBLE, greatest(0.05::DOUBLE, s * (40 * f) / greatest(1.0, tx))) AS w FROM v)
+SELECT o_orderkey, round(z, 6) AS zoom_scale, round(100 - (100 - tx) / s * z, 6) + 0.0 AS zoom_tx, round(50 - (50 - ty) / s * z, 6) + 0.0 AS zoom_ty, round(w, 6) AS pinch_scale, round(10 - tx * w, 6) + 0.0 AS pinch_tx, round(20 - ty * w, 6) + 0.0 AS pinch_ty FROM z""")
+def view_gestures(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", (0.05 + (F.col("o_orderkey") % 240) / 20.0).alias("s"), (F.col("o_custkey") % 300).cast("double").alias("tx"), (F.col("o_orderkey") % 170).cast("double").alias("ty"), (0.25 + (F.col("o_custkey") % 16) / 4.0).alias("f"))
+    s, tx, ty, f = (F.col(c) for c in ("s", "tx", "ty", "f"))
+    zoom = C.zoom_at(F.lit(100.0), F.lit(50.0), f, s, tx, ty)
+    pinch = C.pinch(s, tx, tx, ty, f * 40, F.lit(10.0), F.lit(20.0))
+    return rounded(o.select("o_orderkey", *[c.alias(f"{k}_{n}") for k, cs in (("zoom", zoom), ("pinch", pinch)) for n, c in zip(("scale", "tx", "ty"), cs, strict=True)]))
+
+
+# ---- pointers and sessions ----
+
+_EVENT = "e AS (SELECT event_id, user_id AS stroke_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, value AS x, (event_id % 53)::DOUBLE AS y, CASE event_id % 4 WHEN 0 THEN 0.0 ELSE (event_id % 4) / 4.0::DOUBLE END AS pressure, event_id % 3 AS n FROM events)"
+
+
+def _pointer_events(spark: SparkSession, sf: str) -> DataFrame:
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("stroke_id"), seq.alias("seq"), F.col("value").alias("x"), (F.col("event_id") % 53).cast("double").alias("y"), ((F.col("event_id") % 4) / 4.0).alias("pressure"), (F.col("event_id") % 3).alias("n"))
+    sample = lambda k: F.struct((F.col("x") + k).alias("x"), F.col("y"), F.col("pressure"))
+    several = F.when(F.col("n") == 2, F.array(sample(0), sample(1))).when(F.col("n") == 1, F.array(sample(0)).cast(paint.POINTS)).otherwise(F.lit(None))
+    return e.withColumns({"coalesced": several, "scale": F.lit(2.0), "tx": F.lit(10.0), "ty": F.lit(-4.0)})
+
+
+_POINTS = f"{_EVENT}, pts AS (SELECT stroke_id, seq, k AS part, (x + k - 10) / 2 AS x, (y + 4) / 2 AS y, CASE WHEN pressure > 0 THEN pressure ELSE .5::DOUBLE END AS pressure FROM e, (VALUES (0), (1)) v(k) WHERE k = 0 OR n = 2)"
+
+
+@query(f"WITH {_POINTS} SELECT stroke_id, seq, part, round(x, 6) AS x, round(y, 6) AS y, pressure FROM pts")
+def pointer_points(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(paint.pointer_points(_pointer_events(spark, sf)))
+
+
+@query(f"""WITH RECURSIVE {_POINTS}, o AS (SELECT *, row_number() OVER (PARTITION BY stroke_id ORDER BY seq, part) AS i FROM pts),
+s(stroke_id, i, x, y, kept) AS (SELECT stroke_id, i, x, y, 1 FROM o WHERE i = 1
+  UNION ALL SELECT o.stroke_id, o.i, CASE WHEN abs(o.x - s.x) < .01 AND abs(o.y - s.y) < .01 THEN s.x ELSE o.x END, CASE WHEN abs(o.x - s.x) < .01 AND abs(o.y - s.y) < .01 THEN s.y ELSE o.y END, s.kept + CASE WHEN abs(o.x - s.x) < .01 AND abs(o.y - s.y) < .01 THEN 0 ELSE 1 END
+  FROM s JOIN o ON o.stroke_id = s.stroke_id AND o.i = s.i + 1)
+SELECT stroke_id, CAST(max(kept) AS INTEGER) AS points FROM s WHERE stroke_id % 3 = 0 AND stroke_id % 7 != 0 GROUP BY stroke_id""")
+def stroke_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Strokes that are committed and not aborted, with their points."""
+    events = _pointer_events(spark, sf)
+    kind = F.when(F.col("stroke_id") % 7 == 0, "abort").when(F.col("stroke_id") % 3 == 0, "commit").otherwise("extend")
+    committed = events.select("stroke_id", F.lit("commit").alias("kind")).filter("stroke_id % 3 = 0").distinct()
+    ends = events.select("stroke_id", kind.alias("kind")).unionByName(committed)
+    return paint.strokes(paint.pointer_points(events), ends).select("stroke_id", F.size("points").alias("points"))
+
+
+@query(f"WITH {LOG} SELECT project_id, seq, tool FROM log UNION ALL SELECT project_id, max(seq) + 1, 'fill-all' FROM log GROUP BY project_id")
+def finish_for_me(spark: SparkSession, sf: str) -> DataFrame:
+    return paint.finish(log(spark, sf).select("project_id", "seq", "tool"))
+
+
+@query("SELECT * FROM (VALUES {}) v(place, id, title, category, difficulty, minutes)".format(", ".join(f"({k}, '{i}', '{t}', '{c}', '{d}', {m})" for k, (i, t, c, d, m) in enumerate(catalog.ROWS))))
+def catalog_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.artworks(spark)

@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.color import half_up
+from ..operators import raster
+
 _PIXELS = "image_id string, p long, x int, y int, r int, g int, b int, a int"
 
 
@@ -75,14 +78,32 @@ def png(width: int, height: int, rgba: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
-def to_png(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """(image_id, png) of pixels(image_id, p, r, g, b, a); null for an image that lacks pixels."""
-    cells = F.array_sort(F.collect_list(F.struct("p", "r", "g", "b", "a")))
+def to_png(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(image_id, png) of pixels(image_id, x, y, r, g, b, a) with sizes(image_id, width, height).
+
+    Null for an image that lacks pixels or channels; an image is one row, at most 1400 pixels a side.
+    """
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b", "a")))
     whole = pixels.groupBy("image_id").agg(F.flatten(F.transform(cells, lambda s: F.array(s["r"], s["g"], s["b"], s["a"]))).alias("rgba"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = [png(width, height, bytes(v)) if len(v) == width * height * 4 else None for v in batch.column(1).to_pylist()]
+            files = []
+            for w, h, v in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                whole = w and h and v and len(v) == w * h * 4 and None not in v
+                files.append(png(w, h, bytes(v)) if whole else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["image_id", "png"])
 
-    return whole.mapInArrow(encode, "image_id string, png binary")
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    return sizes.join(whole, "image_id", "left").select("image_id", "width", "height", "rgba").mapInArrow(encode, f"image_id {kind}, png binary")
+
+
+THUMBNAIL = 96
+
+
+def thumbnails(pixels: DataFrame, most: int = THUMBNAIL) -> DataFrame:
+    """(image_id, png) of every image, at most ``most`` pixels a side; null where it has no whole pixels."""
+    images = raster.scaled_sizes(raster.sizes(pixels), most)
+    small = raster.downscale(pixels, most, ("r", "g", "b", "a"), images.select("image_id", "width", "height"))
+    small = small.select("image_id", "x", "y", *[half_up(F.col(c)).cast("int").alias(c) for c in ("r", "g", "b", "a")])
+    return to_png(small, images.select("image_id", F.col("new_width").alias("width"), F.col("new_height").alias("height")))

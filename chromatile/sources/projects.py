@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def upsert(store: DataFrame, changes: DataFrame, key: str = "id", created: str = "created_at", updated: str = "updated_at") -> DataFrame:
-    """The store after saving ``changes`` (rows as in the store): creation times stay, update times are those of the changes."""
+    """The store after saving ``changes`` (rows as in the store): creation times stay, update times are those of the changes.
+
+    Of several changes of one id the one with the latest update time counts (ties by a hash of the
+    row). A ``color_count`` is the size of the ``palette``, where the store has both.
+    """
+    latest = Window.partitionBy(key).orderBy(F.col(updated).desc(), F.xxhash64(*changes.columns))
+    changes = changes.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1").drop("_rank")
+    if {"palette", "color_count"} <= set(store.columns):
+        changes = changes.withColumn("color_count", F.size("palette"))
     old = store.select(F.col(key), F.col(created).alias("_old"))
     saved = changes.join(old, key, "left").withColumn(created, F.coalesce("_old", F.coalesce(created, updated))).select(*store.columns)
     return store.join(changes.select(key), key, "left_anti").select(*store.columns).unionByName(saved)
 
 
+def with_ids(rows: DataFrame, key: str = "id") -> DataFrame:
+    """New random ids (version 4) where there are none; write the result before it is used twice."""
+    return rows.withColumn(key, F.coalesce(F.col(key), F.uuid()))
+
+
 def delete(store: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return store.join(ids.select(key), key, "left_anti")
 
