@@ -20,8 +20,8 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set as the checkpoint folder.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, on one machine (as in tests)
+    a temporary folder is made and set as the checkpoint folder; on a cluster this is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chromatile-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -22,10 +22,20 @@ from pyspark.sql import functions as F
 
 from ._common import materialise, power_of_two, running_sum
 
-# Fixed value: how the 50k byte-level BPE splits a text before it merges (its pattern, as published).
+# Fixed value: how byte-level BPE splits a text before it merges where its file names no pattern (as published).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _split_of(model: dict) -> str | None:
+    """The pattern by which a file of tokenizers splits texts; None for that of byte-level BPE itself."""
+    steps = model.get("pre_tokenizer") or {}
+    steps = steps.get("pretokenizers", [steps])
+    found = [x["pattern"]["Regex"] for x in steps if x.get("type") == "Split" and "Regex" in x.get("pattern", {})]
+    if model.get("normalizer") or len(found) > 1 or any(x.get("type") not in ("Split", "ByteLevel") or x.get("add_prefix_space") for x in steps):
+        raise ValueError("only byte-level BPE with at most one pattern and no normalizer is supported")
+    return found[0] if found else None
+
+
 @lru_cache(4)
 def encoder(path: str, added: bool = False):
     """A byte-level BPE encoder: text -> uint32 ids.
@@ -42,17 +52,19 @@ def encoder(path: str, added: bool = False):
 
     import tiktoken
 
+    split = SPLIT
     if path.endswith(".tiktoken"):
         ranks, special = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, {}
     else:
         model = json.load(open(path, encoding="utf-8"))
+        split = _split_of(model) or SPLIT
         special = {x["content"]: x["id"] for x in model["added_tokens"]}
         if added and (any(x.get("single_word") or x.get("lstrip") or x.get("rstrip") or re.search(r"\s", x["content"]) for x in model["added_tokens"]) or any(a != b and b.startswith(a) for a in special for b in special)):
             raise ValueError(f"added tokens that take in or hold white space, need word ends or begin others are not supported: {path}")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         ranks = {bytes(chars[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in special}
-    encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special if added else {})
+    encoding = tiktoken.Encoding("own", pat_str=split, mergeable_ranks=ranks, special_tokens=special if added else {})
     return lambda text: encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
@@ -99,11 +111,14 @@ def patterns_of(capacity: int, present: np.ndarray) -> np.ndarray:
     return out[have[out].all(axis=1)]
 
 
-def fit_counts(patterns: np.ndarray, histogram: np.ndarray, steps: int = 400) -> np.ndarray:
-    """x >= 0 that minimises |A x - histogram|, A the pattern matrix: accelerated projected gradient."""
+def fit_counts(patterns: np.ndarray, histogram: np.ndarray, power: float = 0.0, steps: int = 400) -> np.ndarray:
+    """x >= 0 that minimises |A x - histogram|, A the pattern matrix: accelerated projected gradient.
+
+    Errors of a length weigh as its ``power``: with 0 all the same, with more the long pieces most.
+    """
     size = len(histogram)
     apply = lambda x: np.bincount(patterns.ravel(), np.repeat(x, 3), size)
-    weight = np.ones(size)
+    weight = (np.arange(size) / size) ** power
     weight[0] = 0.0  # nothing is wanted of the empty slots
     back = lambda r: (r * weight)[patterns].sum(axis=1)
     v = np.ones(len(patterns))
@@ -120,25 +135,39 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, steps: int = 400) ->
     return x
 
 
+#: How errors of the fit are weighted, and what share of the fitted counts is used; the best of these plans counts.
+POWERS = (0.0, 1.0, 2.0)
+SHARES = (1.0, 0.75, 0.5, 0.25)
+
+
 def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) that use every piece of the histogram once.
 
     ``histogram[l]`` counts the pieces of length l, l up to the capacity. Costs depend on the
-    capacity, not on the number of pieces.
+    capacity, not on the number of pieces. Where short pieces are many, patterns of few pieces would
+    use up what fills the gaps beside the long ones: then a smaller share of the fitted counts, and a
+    fit that weighs long pieces more, needs fewer sequences.
     """
+    patterns = patterns_of(len(histogram) - 1, histogram > 0)
+    if not len(patterns):
+        return _planned(histogram, patterns, np.zeros(0))
+    fits = [fit_counts(patterns, histogram.astype(float), power) for power in POWERS]
+    plans = (_planned(histogram, patterns, fitted * share) for share in SHARES for fitted in fits)
+    return min(plans, key=lambda found: sum(times for _, times in found))
+
+
+def _planned(histogram: np.ndarray, patterns: np.ndarray, fitted: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """The rounded counts of patterns as far as there are pieces, most used ones first; then the rest, best-fit."""
     capacity, left = len(histogram) - 1, histogram.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
-    patterns = patterns_of(capacity, left > 0)
-    if len(patterns):
-        fitted = fit_counts(patterns, left.astype(float))
-        used = np.flatnonzero(fitted >= 0.5)
-        for k in used[np.argsort(-fitted[used], kind="stable")]:
-            lengths = tuple(int(x) for x in patterns[k] if x)
-            times = min(int(np.rint(fitted[k])), *(int(left[x]) // lengths.count(x) for x in lengths))
-            if times > 0:
-                out.append((lengths, times))
-                for x in lengths:
-                    left[x] -= times
+    used = np.flatnonzero(fitted >= 0.5)
+    for k in used[np.argsort(-fitted[used], kind="stable")]:
+        lengths = tuple(int(x) for x in patterns[k] if x)
+        times = min(int(np.rint(fitted[k])), *(int(left[x]) // lengths.count(x) for x in lengths))
+        if times > 0:
+            out.append((lengths, times))
+            for x in lengths:
+                left[x] -= times
     space: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     for length in range(capacity, 0, -1):
         count = int(left[length])
