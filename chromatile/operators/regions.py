@@ -6,6 +6,7 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,19 +20,16 @@ CONTRAST = 12.0
 ROW = 1 << 24
 
 
-def _shrink(edges: DataFrame) -> DataFrame:
-    """(image_id, v, root) for edges (image_id, v, w): least v of each component, by hooking and pointer jumping."""
-    both = settle(edges.unionByName(edges.select("image_id", F.col("w").alias("v"), F.col("v").alias("w"))).distinct(), "edges")
-    roots = settle(both.groupBy("image_id", "v").agg(F.least(F.first("v"), F.min("w")).alias("root")), "roots")
+def least_of_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least vertex of the component of each of the vertices 0 to n - 1 under edges (a, b): hooking and pointer jumping."""
+    root = np.arange(n)
     while True:
-        w = roots.select("image_id", F.col("v").alias("w"), F.col("root").alias("of_w"))
-        least = both.join(w, ["image_id", "w"]).groupBy("image_id", "v").agg(F.min("of_w").alias("near"))
-        hooked = roots.join(least, ["image_id", "v"]).select("image_id", "v", "root", F.least("root", "near").alias("new"))
-        jump = roots.select("image_id", F.col("v").alias("new"), F.col("root").alias("further"))
-        moved = settle(hooked.join(jump, ["image_id", "new"], "left").select("image_id", "v", F.least("new", F.coalesce("further", "new")).alias("root"), (F.least("new", F.coalesce("further", "new")) != F.col("root")).alias("_moved")), "roots")
-        roots = moved.drop("_moved")
-        if not moved.filter("_moved").take(1):
-            return roots
+        p, q = root[a], root[b]
+        if (p == q).all():
+            return root
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root != root[root]).any():
+            root = root[root]
 
 
 def closure(pairs: DataFrame) -> DataFrame:
@@ -56,7 +54,8 @@ def components(pixels: DataFrame, column: str = "label") -> DataFrame:
     """pixels(image_id, x, y, label) with region_id: 4-connected components, numbered by first pixel.
 
     Rows are cut into runs of one label. Edges between runs are seen by their pixels, each of which
-    looks at the one below: no join, and linear in the pixels however short the runs are.
+    looks at the one below: no join, and linear in the pixels however short the runs are. The edges of
+    an image, whose size bounds them, meet in one kernel, which numbers the components.
     """
     row = Window.partitionBy("image_id", "y").orderBy("x")
     starts = pixels.withColumn("_new", F.coalesce(F.lag(column).over(row) != F.col(column), F.lit(True)))
@@ -65,11 +64,15 @@ def components(pixels: DataFrame, column: str = "label") -> DataFrame:
     down = column_window()
     same = (F.lead("y").over(down) == F.col("y") + 1) & (F.lead(column).over(down) == F.col(column))
     edges = marked.select("image_id", F.col("_run").alias("v"), F.coalesce(F.when(same, F.lead("_run").over(down)), F.col("_run")).alias("w")).distinct()
-    alone = edges.select("image_id", "v", F.col("v").alias("w")).distinct()
-    roots = _shrink(edges.filter("v != w").unionByName(alone))
-    order = Window.partitionBy("image_id").orderBy("root")
-    ids = roots.select("image_id", "root").distinct().withColumn("region_id", F.row_number().over(order) - 1)
-    named = roots.join(ids, ["image_id", "root"]).select("image_id", F.col("v").alias("_run"), "region_id")
+
+    def number(edges: pa.Table) -> pa.Table:
+        runs, ends = np.unique(np.concatenate([edges["v"].to_numpy(), edges["w"].to_numpy()]), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        ids = np.unique(least_of_components(a, b, len(runs)), return_inverse=True)[1]
+        return pa.table({"image_id": edges["image_id"].combine_chunks().take(pa.array(np.zeros(len(runs), np.int64))), "_run": runs, "region_id": ids.astype(np.int64)})
+
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    named = edges.groupBy("image_id").applyInArrow(number, f"image_id {kind}, _run long, region_id long")
     return marked.join(named, ["image_id", "_run"]).drop("_run", "_x0")
 
 
