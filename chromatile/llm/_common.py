@@ -70,15 +70,25 @@ def sample_by_hash(rows: DataFrame, stratum: str, most: int, *hashed: str) -> Da
     """The ``most`` rows of each stratum (few values, not null) with the smallest hashes of the columns ``hashed``.
 
     Exactly ``most`` rows, or all if there are fewer: also where rows repeat, as ties count one by
-    one. The limits are found on hashes alone, which each task cuts to ``most`` before they are shuffled.
+    one. The limits are found on hashes alone: first on those low enough that about four times
+    ``most`` rows of a stratum are left, and on all of them where rows repeat so much that this is
+    not enough.
     """
     h = F.xxhash64(*hashed)
     by = Window.partitionBy("_stratum").orderBy("_h")
-    slim = rows.select(F.col(stratum).alias("_stratum"), h.alias("_h")).withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= most)
-    limits = [F.lit(x) for r in slim.groupBy("_stratum").agg(F.max("_h").alias("_h")).collect() for x in r]
-    if not limits:
+    counts = {r[0]: r[1] for r in rows.groupBy(stratum).agg(F.count(F.lit(1))).collect()}
+    if not counts:
         return rows.limit(0)
-    near = rows.withColumns({"_stratum": F.col(stratum), "_h": h}).filter(F.col("_h") <= F.create_map(*limits)[F.col("_stratum")])
+    table = lambda of: F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, of(n))])[F.col("_stratum")]
+    low = table(lambda n: min((1 << 63) - 1, (4 * most << 64) // n - (1 << 63)))
+    slim = rows.select(F.col(stratum).alias("_stratum"), h.alias("_h"))
+    for tried in (slim.filter(F.col("_h") <= low), slim):
+        least = tried.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= most)
+        limits = {r[0]: (r[1], r[2]) for r in least.groupBy("_stratum").agg(F.max("_h"), F.count(F.lit(1))).collect()}
+        if all(limits.get(k, (0, 0))[1] == min(most, n) for k, n in counts.items()):
+            break
+    limit = F.create_map(*[F.lit(x) for k, (top, _) in limits.items() for x in (k, top)])[F.col("_stratum")]
+    near = rows.withColumns({"_stratum": F.col(stratum), "_h": h}).filter(F.col("_h") <= limit)
     return near.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= most).drop("_stratum", "_h", "_rank")
 
 
