@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import discard, materialise
+
 KINDS = ("assign", "access", "hex", "guess")
 
 # The base patterns.
@@ -111,12 +113,22 @@ def word_ranks(docs: DataFrame, text_col: str = "text", most: int = 20_000, leas
     """Ranks of words: the common password words first, then words of letters a-z by how often the whole corpus has them.
 
     At most ``most`` words come from the corpus, and none that it has fewer than ``least`` times, so
-    that a password does not become a word by being there once. Counts combine on the map side.
+    that a password does not become a word by being there once. Counts combine on the map side; the
+    driver sees how many words each level of counts has (16 levels a doubling), and then the words of
+    the highest levels that together have at most ``most``.
     """
     words = F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(rf"(?<![a-z])[a-z]{{{SHORTEST_WORD},{LONGEST_WORD}}}(?![a-z])"), F.lit(0))
     counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    found = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
-    return RANK | {word: k + 1 + len(RANK) for k, word in enumerate(w for w in found if w not in RANK)}
+    counts = materialise(counts.withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "words")
+    room, lowest = most, None
+    for row in sorted(counts.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        room -= row["k"]
+        if room < 0:
+            break
+        lowest = row["level"]
+    found = [] if lowest is None else sorted((-r["n"], r["word"]) for r in counts.filter(F.col("level") >= lowest).select("n", "word").collect())
+    discard(counts)
+    return RANK | {word: k + 1 + len(RANK) for k, word in enumerate(w for _, w in found if w not in RANK)}
 
 
 def scan(text: str, threshold: float = 10.0, ranks: dict[str, int] = RANK) -> list[tuple[str, int, int, float | None]]:

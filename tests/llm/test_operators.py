@@ -249,6 +249,7 @@ def test_base_secrets_against_plain_patterns(spark, nothing):
         assert ",".join(x for x in r.spans.split(",") if not x.startswith("guess")) == line
     words = spark.createDataFrame([(0, "Lantern lantern LANTERN meadow meadow once"), (1, None)], "doc_id long, text string")
     assert {w: k for w, k in secrets.word_ranks(words, least=2).items() if w not in secrets.RANK} == {"lantern": len(secrets.RANK) + 1, "meadow": len(secrets.RANK) + 2}
+    assert {w for w in secrets.word_ranks(words, most=1, least=2) if w not in secrets.RANK} == {"lantern"}
     assert secrets.word_ranks(nothing) == secrets.RANK
 
 
