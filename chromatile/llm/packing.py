@@ -36,6 +36,29 @@ def _split_of(model: dict) -> str | None:
     return found[0] if found else None
 
 
+def _vocabulary(path: str) -> tuple[dict[bytes, int], list[dict], str]:
+    """Ranks by token, added tokens and the splitting pattern of a file."""
+    import json
+
+    if path.endswith(".tiktoken"):
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, [], SPLIT
+    model = json.load(open(path, encoding="utf-8"))
+    added = {x["content"] for x in model["added_tokens"]}
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    chars = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    return {bytes(chars[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in added}, model["added_tokens"], _split_of(model) or SPLIT
+
+
+@lru_cache(4)
+def token_bytes(path: str) -> list[bytes]:
+    """By id the bytes of each token; added tokens and free ids have none."""
+    ranks = _vocabulary(path)[0]
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, k in ranks.items():
+        out[k] = token
+    return out
+
+
 @lru_cache(4)
 def encoder(path: str, added: bool = False):
     """A byte-level BPE encoder: text -> uint32 ids.
@@ -48,22 +71,12 @@ def encoder(path: str, added: bool = False):
     by default (``add_special_tokens=False`` only keeps it from adding any); the operators use this.
     Without, added tokens in a text are ordinary text. Ranks have no added tokens.
     """
-    import json
-
     import tiktoken
 
-    split = SPLIT
-    if path.endswith(".tiktoken"):
-        ranks, special = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, {}
-    else:
-        model = json.load(open(path, encoding="utf-8"))
-        split = _split_of(model) or SPLIT
-        special = {x["content"]: x["id"] for x in model["added_tokens"]}
-        if added and (any(x.get("single_word") or x.get("lstrip") or x.get("rstrip") or re.search(r"\s", x["content"]) for x in model["added_tokens"]) or any(a != b and b.startswith(a) for a in special for b in special)):
-            raise ValueError(f"added tokens that take in or hold white space, need word ends or begin others are not supported: {path}")
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        chars = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {bytes(chars[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in special}
+    ranks, tokens, split = _vocabulary(path)
+    special = {x["content"]: x["id"] for x in tokens}
+    if added and (any(x.get("single_word") or x.get("lstrip") or x.get("rstrip") or re.search(r"\s", x["content"]) for x in tokens) or any(a != b and b.startswith(a) for a in special for b in special)):
+        raise ValueError(f"added tokens that take in or hold white space, need word ends or begin others are not supported: {path}")
     encoding = tiktoken.Encoding("own", pat_str=split, mergeable_ranks=ranks, special_tokens=special if added else {})
     return lambda text: encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, neighbours, ngram_join, packing, quality, secrets, token_counts, warc
+from . import alignment, ball_kmeans, decontamination, exact_dedup, language_id, mixing, neighbours, ngram_join, packing, quality, secrets, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,9 +78,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11 over all documents."""
+    import public_tokenizers
+
+    return alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12 over all embeddings."""
+    return ball_kmeans.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: all documents against all benchmark items."""
+    return decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op4_token_counts, op5_packing, op6_secrets, op7_language_id, op8_nearest_neighbours, op9_quality, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op4_token_counts, op5_packing, op6_secrets, op7_language_id, op8_nearest_neighbours, op9_quality, op10_warc, op11_alignment, op12_ball_kmeans, op13_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_ngram_join": ngram_join.OP3_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_ngram_join": ngram_join.OP3_SQL, "op12_ball_kmeans": ball_kmeans.OP12_SQL, "op13_decontamination": decontamination.OP13_SQL}
