@@ -51,7 +51,8 @@ def _piece_bytes(piece: str) -> bytes:
 
 def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ends that both have, in order, and how many tokens of each side end there or before."""
-    cuts = np.intersect1d(ends_a, ends_b)
+    rising = all((np.diff(ends) > 0).all() for ends in (ends_a, ends_b))  # no token without bytes: spares two passes for unique ends
+    cuts = np.intersect1d(ends_a, ends_b, assume_unique=rising)
     return cuts, np.searchsorted(ends_a, cuts, "right"), np.searchsorted(ends_b, cuts, "right")
 
 
