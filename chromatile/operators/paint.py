@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.color import to_canvas
+from ..functions.color import half_up, to_canvas
 
 POINTS = "array<struct<x: double, y: double, pressure: double>>"
 
@@ -142,3 +142,67 @@ def replay(marks: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     clear = marks.join(last, keys, "left").filter((F.col("tool") == "fill-all") & bare)
     filled = clear.groupBy(*keys).agg(F.min_by("color", order).alias("under"))
     return marks.select(*keys).distinct().join(last, keys, "left").join(filled, keys, "left").select(*keys, F.coalesce("top", "under").alias("color"))
+
+
+#: How many marks of one pixel, and how many maps, are folded in one row at most.
+FOLD = 256
+
+
+def _as_map(tool: Column, color: list[Column], opacity: Column) -> Column:
+    """What a mark does to a premultiplied pixel: alpha becomes keep_a * alpha + add_a, a channel keep * channel + of_a * alpha + add.
+
+    A brush lies over (source-over), an eraser takes away (destination-out), a ``fill-all`` goes under (destination-over).
+    """
+    eraser, under = tool == "eraser", tool == "fill-all"
+    by = lambda over, out, below: F.when(eraser, out).when(under, below).otherwise(over)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    parts = [by(1 - opacity, 1 - opacity, 1 - opacity).alias("keep_a"), by(opacity, zero, opacity).alias("add_a"), by(1 - opacity, 1 - opacity, one).alias("keep")]
+    for c, value in zip("rgb", color, strict=True):
+        parts += [by(zero, zero, -opacity * value).alias(f"of_a_{c}"), by(opacity * value, zero, opacity * value).alias(f"add_{c}")]
+    return F.struct(*parts)
+
+
+def _then(first: Column, second: Column) -> Column:
+    """The map that does ``first`` and then ``second``. This is associative."""
+    one, two = (lambda c: first[c]), (lambda c: second[c])
+    parts = [(two("keep_a") * one("keep_a")).alias("keep_a"), (two("keep_a") * one("add_a") + two("add_a")).alias("add_a"), (two("keep") * one("keep")).alias("keep")]
+    for c in "rgb":
+        parts += [(two("keep") * one(f"of_a_{c}") + two(f"of_a_{c}") * one("keep_a")).alias(f"of_a_{c}"), (two("keep") * one(f"add_{c}") + two(f"of_a_{c}") * one("add_a") + two(f"add_{c}")).alias(f"add_{c}")]
+    return F.struct(*parts)
+
+
+def composite(marks: DataFrame, keys: list[str], fold: int = FOLD) -> DataFrame:
+    """Colour and opacity of each painted pixel: keys, r, g, b, a (0 to 255), after all its marks in order.
+
+    marks: keys, seq, part (whole numbers from 0: the action and its piece), tool, r, g, b (0 to 255) and opacity (0 to 1).
+    Each mark is an affine map of (colour, alpha). Maps are composed in bounded ordered pieces: ``fold`` parts of an action at
+    once, then ``fold`` pieces, until one is left, so that a pixel under all strokes is no single row or task. How many rounds
+    there are follows from the largest seq and part. A null opacity is 1, a null colour makes a brush mark leave no trace. What
+    stays fully transparent is given with a = 0 and colour 0. Values are rounded once, at the end.
+    """
+    color = [F.col(c).cast("double") for c in "rgb"]
+    known = marks.filter("tool = 'eraser' OR (r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL)")
+    pixels = marks.select(*keys).distinct()
+    maps = known.select(*keys, F.col("seq").cast("long").alias("_s"), F.col("part").cast("long").alias("_p"), _as_map(F.coalesce("tool", F.lit("brush")), color, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("opacity").cast("double"), F.lit(1.0))))).alias("_m"))
+    top = maps.agg(F.max("_s"), F.max("_p")).first()
+
+    def folded(df: DataFrame, group: list[Column], order: list[str]) -> DataFrame:
+        run = F.array_sort(F.collect_list(F.struct(*order, "_m")))
+        rest = F.slice(run, 2, F.greatest(F.size(run) - 1, F.lit(0)))
+        whole = df.groupBy(*keys, *group).agg(F.struct(run[0]["_m"].alias("head"), rest.alias("rest")).alias("_r"))
+        return whole.withColumn("_m", F.aggregate(F.col("_r.rest"), F.col("_r.head"), lambda a, b: _then(a, b["_m"]))).drop("_r")
+
+    parts, actions = (top[1] or 0), (top[0] or 0)
+    maps = folded(maps, [F.col("_s"), F.floor(F.col("_p") / fold).alias("_p")], ["_p"])
+    parts //= fold
+    while parts:
+        maps = folded(maps, [F.col("_s"), F.floor(F.col("_p") / fold).alias("_p")], ["_p"])
+        parts //= fold
+    maps = maps.drop("_p")
+    while actions:
+        maps = folded(maps, [F.floor(F.col("_s") / fold).alias("_s")], ["_s"])
+        actions //= fold
+    alpha = F.col("_m.add_a")  # on a pixel that was transparent
+    channel = lambda c: F.coalesce(F.when(alpha > 0, half_up(F.least(F.lit(255.0), F.col(f"_m.add_{c}") / alpha))), F.lit(0)).cast("int").alias(c)
+    done = maps.select(*keys, *[channel(c) for c in "rgb"], half_up(255 * alpha).cast("int").alias("a"))
+    return pixels.join(done, keys, "left").na.fill(0, ["r", "g", "b", "a"])

@@ -208,16 +208,57 @@ def _city_distance(df: DataFrame, keys: list[str], along: str, start: str, out:
     return df.withColumn(out, F.least(up, down))
 
 
-def label_points(labelled: DataFrame, column: str = "label") -> DataFrame:
+def _first_popped(pixels: DataFrame) -> DataFrame:
+    """(image_id, region_id, y, x): the pixel that a queue fed with the border in raster order pops first of the most distant ones.
+
+    pixels(image_id, region_id, x, y, border). The frontier of a region is held in the order of the queue: its
+    neighbours by parent and then by direction (left, right, up, down), each at its first place. A group is one region.
+    """
+
+    def run(key: tuple, held: pa.Table) -> pa.Table:
+        x, y = held["x"].to_numpy().astype(np.int64), held["y"].to_numpy().astype(np.int64)
+        left, top, wide = x.min() - 1, y.min() - 1, int(x.max() - x.min()) + 3
+        places = (y - top) * wide + x - left
+        free = np.zeros(wide * (int(y.max() - y.min()) + 3), bool)
+        free[places] = True
+        frontier = np.sort(places[held["border"].to_numpy() == 1])
+        free[frontier] = False
+        first = frontier[0]
+        while len(frontier):
+            first = frontier[0]
+            near = (frontier[:, None] + np.array([-1, 1, -wide, wide])).ravel()
+            near = near[free[near]]
+            frontier = near[np.sort(np.unique(near, return_index=True)[1])]
+            free[frontier] = False
+        return pa.table({"image_id": pa.array([key[0].as_py()], held.schema.field("image_id").type), "region_id": pa.array([key[1].as_py()], held.schema.field("region_id").type), "y": pa.array([first // wide + top], pa.int32()), "x": pa.array([first % wide + left], pa.int32())})
+
+    kinds = [pixels.schema[c].dataType.simpleString() for c in ("image_id", "region_id")]
+    return pixels.select("image_id", "region_id", "x", "y", "border").groupBy("image_id", "region_id").applyInArrow(run, f"image_id {kinds[0]}, region_id {kinds[1]}, y int, x int")
+
+
+def label_points(labelled: DataFrame, column: str = "label", tie: str = "raster") -> DataFrame:
     """Where the number of each region goes: its pixel furthest from the border, else its centroid.
 
     The distance within a region is the city-block distance along runs of its rows, then of its
-    columns; ties go to the first pixel in raster order. Points are centres of pixels.
+    columns. Of equally distant pixels the first in raster order is taken; with ``tie="reference"`` the one a
+    breadth-first search from the border reaches first. Only regions with such ties are searched. Points are centres of pixels.
     """
+    if tie not in ("raster", "reference"):
+        raise ValueError(f"tie {tie!r} is neither raster nor reference")
     marked = border(labelled).withColumn("_d0", F.when(F.col("border") == 1, F.lit(0)).otherwise(F.lit(1 << 20)))
     runs = lambda df, axis, other, name: df.withColumn(name, F.col(axis) - F.row_number().over(Window.partitionBy("image_id", "region_id", other).orderBy(axis)))
     rows = _city_distance(runs(marked, "x", "y", "_rx"), ["image_id", "region_id", "y", "_rx"], "x", "_d0", "_d1")
     both = _city_distance(runs(rows, "y", "x", "_ry"), ["image_id", "region_id", "x", "_ry"], "y", "_d1", "_d")
+    if tie == "reference":
+        both = settle(both.select("image_id", "region_id", column, "x", "y", "border", "_d"), "distances")
     best = both.groupBy("image_id", "region_id").agg(F.first(column).alias(column), F.count(F.lit(1)).alias("area"), F.min(F.struct((-F.col("_d")).alias("far"), "y", "x")).alias("s"), half_up(F.avg("x")).alias("mx"), half_up(F.avg("y")).alias("my"))
     inside = F.col("s.far") < 0
-    return best.select("image_id", "region_id", column, "area", (F.when(inside, F.col("s.x")).otherwise(F.col("mx")) + 0.5).alias("label_x"), (F.when(inside, F.col("s.y")).otherwise(F.col("my")) + 0.5).alias("label_y"), font_size(F.col("area")).alias("font_size"))
+    at = {c: F.col(f"s.{c}") for c in ("x", "y")}
+    if tie == "reference":
+        best = settle(best, "furthest")
+        furthest = both.join(best.filter(inside).select("image_id", "region_id", F.col("s.far").alias("_far")), ["image_id", "region_id"]).filter(F.col("_d") == -F.col("_far"))
+        tied = furthest.groupBy("image_id", "region_id").count().filter("count > 1").select("image_id", "region_id")
+        first = _first_popped(both.join(tied, ["image_id", "region_id"], "left_semi")).withColumnsRenamed({"x": "_tx", "y": "_ty"})
+        best = best.join(first, ["image_id", "region_id"], "left")
+        at = {c: F.coalesce(f"_t{c}", f"s.{c}") for c in ("x", "y")}
+    return best.select("image_id", "region_id", column, "area", (F.when(inside, at["x"]).otherwise(F.col("mx")) + 0.5).alias("label_x"), (F.when(inside, at["y"]).otherwise(F.col("my")) + 0.5).alias("label_y"), font_size(F.col("area")).alias("font_size"))

@@ -119,23 +119,15 @@ LOG = """log AS (SELECT user_id AS project_id, row_number() OVER (PARTITION BY u
   CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'brush' END AS tool, value AS size, props FROM events)"""
 
 
-def scene_labels(spark: SparkSession, side: int = 48) -> DataFrame:
-    return raster.scene(spark, side).select("image_id", "p", "x", "y", F.col("part").alias("label"))
+_NEAR4 = """nb AS (SELECT a.image_id, a.p, b.p AS q, a.label = b.label AS same FROM lb a JOIN (VALUES (1), (-1), (20), (-20)) d(k) ON true JOIN lb b ON b.image_id = a.image_id AND b.p = a.p + d.k AND (abs(d.k) = 20 OR a.y = b.y))"""
+_REGION = f"""{_NEAR4}, reach(image_id, p, root) AS (SELECT image_id, p, p FROM lb WHERE NOT EXISTS (SELECT 1 FROM nb WHERE nb.image_id = lb.image_id AND nb.p = lb.p AND same AND q < lb.p)
+  UNION SELECT nb.image_id, nb.q, reach.root FROM reach JOIN nb ON nb.image_id = reach.image_id AND nb.p = reach.p AND same),
+reg AS (SELECT s.*, dense_rank() OVER (PARTITION BY image_id ORDER BY root) - 1 AS region_id FROM lb s JOIN (SELECT image_id, p, min(root) AS root FROM reach GROUP BY ALL) r USING (image_id, p))"""
 
 
-SCENE = """scene AS (SELECT 'scene' AS image_id, p, CAST(p % 48 AS INTEGER) AS x, CAST(p // 48 AS INTEGER) AS y, CASE
-   WHEN sy >= 130 AND sy < 190 AND abs(sx - 210) <= (190 - sy) * 100 / 60 THEN 4
-   WHEN sx BETWEEN 120 AND 300 AND sy BETWEEN 190 AND 330 THEN 3 WHEN sy >= 330 THEN 2
-   WHEN (sx - 380) * (sx - 380) + (sy - 80) * (sy - 80) <= 2025 THEN 1 ELSE 0 END AS label
-  FROM (SELECT range AS p, (range % 48) * 10.0::DOUBLE AS sx, (range // 48) * 10.0::DOUBLE AS sy FROM range(2304)))"""
-REGION = """nb AS (SELECT a.p, b.p AS q FROM scene a JOIN scene b ON a.label = b.label AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1))),
-reach(p, root) AS (SELECT p, p FROM scene WHERE NOT EXISTS (SELECT 1 FROM scene l WHERE l.p = scene.p - 1 AND scene.x > 0 AND l.label = scene.label)
-  AND NOT EXISTS (SELECT 1 FROM scene u WHERE u.p = scene.p - 48 AND u.label = scene.label) UNION SELECT nb.q, reach.root FROM reach JOIN nb ON nb.p = reach.p),
-reg AS (SELECT s.*, dense_rank() OVER (ORDER BY root) - 1 AS region_id FROM scene s JOIN (SELECT p, min(root) AS root FROM reach GROUP BY p) r USING (p))"""
-
-
-def scene_regions(spark: SparkSession) -> DataFrame:
-    return regions.components(scene_labels(spark))
+def found_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """The regions of the label grids of all images."""
+    return regions.components(labels(spark, sf)).withColumn("region_id", F.col("region_id").cast("long"))
 
 
 # ---- colour ----
@@ -227,12 +219,14 @@ def view_fit(spark: SparkSession, sf: str) -> DataFrame:
 # ---- rasters and stencils ----
 
 
-@query("""WITH t AS (SELECT range % 32 AS x, range // 32 AS y FROM range(1024)), s AS (SELECT x, y, least(47.0, (x + .5) * 1.5 - .5) AS sx, least(47.0, (y + .5) * 1.5 - .5) AS sy FROM t),
-f AS (SELECT x, y, CAST(greatest(0, floor(sx)) AS INTEGER) AS x0, CAST(greatest(0, floor(sy)) AS INTEGER) AS y0, greatest(0.0, sx - greatest(0, floor(sx))) AS fx, greatest(0.0, sy - greatest(0, floor(sy))) AS fy FROM s),
-w AS (SELECT x, y, least(47, x0 + dx) AS ax, least(47, y0 + dy) AS ay, (CASE dx WHEN 1 THEN fx ELSE 1 - fx END) * (CASE dy WHEN 1 THEN fy ELSE 1 - fy END) AS k FROM f, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy)),
-""" + SCENE + """ SELECT 'scene' AS image_id, CAST(w.x AS INTEGER) AS x, CAST(w.y AS INTEGER) AS y, round(sum(CAST([110, 245, 100, 200, 110][label + 1] AS DOUBLE) * k), 6) AS r FROM w JOIN scene s ON s.x = w.ax AND s.y = w.ay GROUP BY w.x, w.y""")
+@query(f"""WITH {PX}, sz AS (SELECT image_id, w, h, CAST(greatest(1, floor(w * k + .5)) AS BIGINT) AS nw, CAST(greatest(1, floor(h * k + .5)) AS BIGINT) AS nh FROM (SELECT *, least(1.0::DOUBLE, 16 / greatest(w, h)::DOUBLE) AS k FROM (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY image_id))),
+t AS (SELECT *, unnest(range(nh)) AS y FROM (SELECT *, unnest(range(nw)) AS x FROM sz)), s AS (SELECT *, least(w - 1.0::DOUBLE, (x + .5::DOUBLE) * (w / nw::DOUBLE) - .5::DOUBLE) AS sx, least(h - 1.0::DOUBLE, (y + .5::DOUBLE) * (h / nh::DOUBLE) - .5::DOUBLE) AS sy FROM t),
+f AS (SELECT *, CAST(greatest(0, floor(sx)) AS INTEGER) AS x0, CAST(greatest(0, floor(sy)) AS INTEGER) AS y0, greatest(0.0, sx - greatest(0, floor(sx))) AS fx, greatest(0.0, sy - greatest(0, floor(sy))) AS fy FROM s),
+k AS (SELECT image_id, x, y, least(w - 1, x0 + dx) AS ax, least(h - 1, y0 + dy) AS ay, (CASE dx WHEN 1 THEN fx ELSE 1 - fx END) * (CASE dy WHEN 1 THEN fy ELSE 1 - fy END) AS k FROM f, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))
+SELECT k.image_id, CAST(k.x AS INTEGER) AS x, CAST(k.y AS INTEGER) AS y, round(sum(px.r * k), 6) AS r FROM k JOIN px ON px.image_id = k.image_id AND px.x = ax AND px.y = ay GROUP BY ALL""")
 def downscale_bilinear(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(raster.downscale(raster.scene(spark, 48), 32, ("r",)))
+    """All images reduced to 16 pixels at most; where an image lacks the end of its last row, the taps that are there are summed."""
+    return rounded(raster.downscale(pixels(spark, sf), 16, ("r",)))
 
 
 @query(f"WITH {PX} SELECT image_id, p, round(CASE WHEN g < 250 THEN r * g / 255.0::DOUBLE + 255 * (1 - g / 255.0::DOUBLE) ELSE r END, 6) AS r FROM px")
@@ -300,55 +294,75 @@ def contour_dilate(spark: SparkSession, sf: str) -> DataFrame:
     return stencil.dilate2(stencil.contour_mask(labels(spark, sf)))
 
 
-@query("""SELECT range AS region_id, CAST((gx * 3 + gy * 5) % 7 AS INTEGER) AS color_idx, 900 AS area, gx * 30 + 15.0 AS label_x, gy * 30 + 15.0 AS label_y, 13 AS font_size FROM (SELECT range, range % 12 AS gx, range // 12 AS gy FROM range(96))""")
+@query("""WITH c AS (SELECT s_suppkey, range AS k, range % 12 AS gx, range // 12 AS gy, 120 + 12 * (s_suppkey % 31) AS w, 80 + 7 * (s_suppkey % 23) AS h, 3 + s_suppkey % 5 AS n, s_suppkey % 11 AS seed FROM supplier, range(96)),
+e AS (SELECT *, gx * w // 12 AS x0, (gx + 1) * w // 12 AS x1, gy * h // 8 AS y0, (gy + 1) * h // 8 AS y1 FROM c)
+SELECT s_suppkey AS image_id, k AS region_id, CAST((gx * 3 + gy * 5 + seed) % n AS INTEGER) AS color_idx, (x1 - x0) * (y1 - y0) AS area, (x0 + x1) / 2.0::DOUBLE AS label_x, (y0 + y1) / 2.0::DOUBLE AS label_y, 13 AS font_size FROM e""")
 def catalog_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return raster.catalog_grid(spark)
+    """Drawings of cells in the sizes, colours and seeds of the suppliers."""
+    s = F.col("s_suppkey")
+    images = table(spark, sf, "supplier").select(s.alias("image_id"), (120 + 12 * (s % 31)).alias("width"), (80 + 7 * (s % 23)).alias("height"), (3 + s % 5).alias("colors"), (s % 11).alias("seed"))
+    return raster.catalog_grid(images)
 
 
-@query(f"WITH {SCENE}, {PALETTE} SELECT p, coalesce({_channel(2)}, 255) AS r, coalesce({_channel(4)}, 255) AS g, coalesce({_channel(6)}, 255) AS b, 255 AS a FROM scene LEFT JOIN pal ON idx = label + 3")
+@query(f"WITH {PX}, {_LABEL}, {PALETTE} SELECT image_id, p, coalesce({_channel(2)}, 255) AS r, coalesce({_channel(4)}, 255) AS g, coalesce({_channel(6)}, 255) AS b, 255 AS a FROM lb LEFT JOIN pal ON label > 0 AND idx = (label + CAST(image_id AS INTEGER)) % 9")
 def fill_pixels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.range(4).select(F.col("id").alias("region_id"), (F.col("id") + 3).cast("int").alias("color_idx"))
-    return raster.fill_pixels(scene_labels(spark).select("p", F.col("label").alias("region_id")), rows, catalog_palette(spark))
+    """Label grids painted; regions without a row and colours without a palette entry are white."""
+    found = labels(spark, sf).withColumn("region_id", F.col("label").cast("long"))
+    color = ((F.col("region_id") + F.col("image_id").cast("int")) % 9).cast("int")
+    known = found.filter("label > 0").select("image_id", "region_id", color.alias("color_idx")).distinct()
+    return raster.fill_pixels(found, known, catalog_palette(spark)).select("image_id", "p", "r", "g", "b", "a")
 
 
-@query(f"WITH {PALETTE} SELECT idx, hex, 50 AS cell, CAST(idx % 7 AS BIGINT) AS col, CAST(idx // 7 AS BIGINT) AS row, (idx % 7 + .5) * 50.0::DOUBLE AS x, (idx // 7 + .5) * 50.0::DOUBLE AS y, CAST(20 AS BIGINT) AS font FROM pal")
-def legend_layout(spark: SparkSession, sf: str) -> DataFrame:
-    return raster.legend(catalog_palette(spark), 600)
+# ---- superpixels and palettes ----
 
 
-# ---- superpixels and palettes ----
+SUPERPIXELS = 12
+_CENTERS = f"""im AS (SELECT *, sqrt(w * h / {SUPERPIXELS}.0::DOUBLE) AS step FROM (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM lab GROUP BY image_id)),
+gd AS (SELECT *, CAST(greatest(1, floor(w / step + .5)) AS BIGINT) AS nc, CAST(greatest(1, floor(h / step + .5)) AS BIGINT) AS nr FROM im), ck AS (SELECT *, unnest(range(nc * nr)) AS k FROM gd),
+ce AS (SELECT image_id, w, h, step, CAST(k AS INTEGER) AS c, CAST(least(w - 1, floor((k % nc + .5) * (w / nc::DOUBLE) + .5)) AS INTEGER) AS cx, CAST(least(h - 1, floor((k // nc + .5) * (h / nr::DOUBLE) + .5)) AS INTEGER) AS cy FROM ck)"""
 
 
-@query("""SELECT CAST(range AS INTEGER) AS c, CAST(least(47, floor((range % 10 + .5) * 4.8 + .5)) AS INTEGER) AS cx, CAST(least(47, floor((range // 10 + .5) * 4.8 + .5)) AS INTEGER) AS cy FROM range(100)""")
+def _centers(spark: SparkSession, sf: str) -> DataFrame:
+    """Centres of the superpixels of all images."""
+    return superpixel.centers_of(raster.sizes(pixels(spark, sf)).withColumn("count", F.lit(SUPERPIXELS)))
+
+
+@query(f"WITH {LAB}, {_CENTERS} SELECT image_id, c, cx, cy FROM ce")
 def slic_centers(spark: SparkSession, sf: str) -> DataFrame:
-    return superpixel.centers(spark, 48, 48, 100)
+    return _centers(spark, sf).select("image_id", "c", "cx", "cy")
 
 
-_SCENE_LAB = "sl AS (SELECT p, x, y, {} AS \"L\", {} AS a, {} AS b FROM (SELECT *, [110, 245, 100, 200, 110][label + 1] AS cr, [160, 200, 165, 90, 60][label + 1] AS cg, [235, 60, 90, 80, 50][label + 1] AS cb FROM scene))".format(*sql_lab("cr", "cg", "cb"))
-_SLIC = f"""{SCENE}, {_SCENE_LAB}, ce AS ({SQL['slic_centers']}), ch AS (SELECT c, cx, cy, "L" AS cl, a AS ca, b AS cb FROM ce JOIN sl ON x = cx AND y = cy),
-sp AS (SELECT p, coalesce(arg_min(c, struct_pack(d, c)), 0) AS sp FROM (SELECT p, c, round((sl."L" - cl) ** 2 + (a - ca) ** 2 + (b - ch.cb) ** 2 + 0.01 * ((x - cx) ** 2 + (y - cy) ** 2), 9) AS d
-  FROM sl JOIN ch ON x BETWEEN floor(cx - 4.8) AND ceil(cx + 4.8) AND y BETWEEN floor(cy - 4.8) AND ceil(cy + 4.8)) GROUP BY p)"""
+_GRAD = f"""gq AS (SELECT image_id, x, y, lag("L") OVER h AS l, lead("L") OVER h AS r_, lag("L") OVER v AS u, lead("L") OVER v AS d FROM lab {_HV}), gr AS (SELECT image_id, x, y, coalesce((r_ - l) * (r_ - l) + (d - u) * (d - u), 0) AS g FROM gq)"""
 
 
-def _scene_lab(spark: SparkSession) -> DataFrame:
-    lab = C.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
-    return raster.scene(spark, 48).select("image_id", "p", "x", "y", *[c.alias(k) for c, k in zip(lab, ("L", "a", "b"), strict=True)])
+@query(f"""WITH RECURSIVE {LAB}, {_CENTERS}, {_GRAD}, wk(image_id, c, w, h, k, x, y, g) AS (SELECT image_id, c, w, h, 0, cx, cy, CAST('inf' AS DOUBLE) FROM ce UNION ALL
+  SELECT a.image_id, a.c, a.w, a.h, a.k + 1, CASE WHEN gr.g < a.g THEN gr.x ELSE a.x END, CASE WHEN gr.g < a.g THEN gr.y ELSE a.y END, CASE WHEN gr.g < a.g THEN gr.g ELSE a.g END
+  FROM wk a LEFT JOIN gr ON gr.image_id = a.image_id AND gr.x = CAST(least(a.w - 1, greatest(0, a.x + a.k % 3 - 1)) AS INTEGER) AND gr.y = CAST(least(a.h - 1, greatest(0, a.y + a.k // 3 - 1)) AS INTEGER) WHERE a.k < 9)
+SELECT image_id, c, x AS cx, y AS cy FROM wk WHERE k = 9""")
+def slic_nudge(spark: SparkSession, sf: str) -> DataFrame:
+    """Centres walked towards low gradients."""
+    return superpixel.nudge(_centers(spark, sf), stencil.gradient(lab_pixels(spark, sf))).select("image_id", "c", "cx", "cy")
+
 
+_SLIC = f"""{LAB}, {_CENTERS}, ch AS (SELECT e.*, "L" AS cl, a AS ca, bb AS cb FROM ce e JOIN lab l ON l.image_id = e.image_id AND l.x = cx AND l.y = cy),
+s0 AS (SELECT l.image_id, l.p, arg_min(c, struct_pack(d, c)) AS sp FROM (SELECT l.image_id, l.p, c, round((l."L" - cl) ** 2 + (l.a - ca) ** 2 + (l.bb - cb) ** 2 + 0.01 * ((l.x - cx) ** 2 + (l.y - cy) ** 2), 9) AS d
+  FROM lab l JOIN ch ON ch.image_id = l.image_id AND l.x BETWEEN floor(cx - step) AND ceil(cx + step) AND l.y BETWEEN floor(cy - step) AND ceil(cy + step)) l GROUP BY ALL),
+sp AS (SELECT image_id, p, coalesce(last_value(sp IGNORE NULLS) OVER (PARTITION BY image_id ORDER BY p), 0) AS sp FROM lab LEFT JOIN s0 USING (image_id, p))"""
 
-def _assigned(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    points = superpixel.centers(spark, 48, 48, 100).withColumn("image_id", F.lit("scene"))
-    points = points.withColumn("step", F.lit(superpixel.interval(48, 48, 100)))
-    return superpixel.assign(_scene_lab(spark), points), points
 
+def _assigned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    points = _centers(spark, sf)
+    return superpixel.assign(lab_pixels(spark, sf), points), points
 
-@query(f"WITH {_SLIC} SELECT p, sp FROM sp")
+
+@query(f"WITH {_SLIC} SELECT image_id, p, sp FROM sp")
 def slic_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return _assigned(spark)[0].select("p", "sp")
+    return _assigned(spark, sf)[0].select("image_id", F.col("p").cast("long").alias("p"), "sp")
 
 
-@query(f'WITH {_SLIC} SELECT c, coalesce(round(avg("L"), 6), 0) AS "L", coalesce(round(avg(a), 6), 0) AS a, coalesce(round(avg(b), 6), 0) AS b, count(p) AS size FROM ce LEFT JOIN (SELECT * FROM sp JOIN sl USING (p)) ON sp = c GROUP BY c')
+@query(f'WITH {_SLIC} SELECT ce.image_id, ce.c, coalesce(round(avg("L"), 6), 0) AS "L", coalesce(round(avg(a), 6), 0) AS a, coalesce(round(avg(bb), 6), 0) AS b, count(p) AS size FROM ce LEFT JOIN (SELECT * FROM sp JOIN lab USING (image_id, p)) m ON m.sp = ce.c AND m.image_id = ce.image_id GROUP BY ALL')
 def superpixel_means(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(superpixel.means(*_assigned(spark)).drop("image_id"))
+    return rounded(superpixel.means(*_assigned(spark, sf)))
 
 
 _NEAREST = f"""near AS (SELECT vec_id, arg_min(idx, struct_pack(d, idx)) AS idx, min(d) AS d FROM (SELECT c.vec_id, p.idx, round((c."L" - p."L") ** 2 + (c.a - p.a) ** 2 + (c.b - p.b) ** 2, 9) AS d FROM colors c, pal p) GROUP BY vec_id)"""
@@ -401,24 +415,27 @@ def palette_refine(spark: SparkSession, sf: str) -> DataFrame:
 # ---- regions and outlines ----
 
 
-@query(f"WITH RECURSIVE {SCENE}, {REGION} SELECT p, label, region_id FROM reg")
+_REG = f"{PX}, {_LABEL}, {_REGION}"
+
+
+@query(f"WITH RECURSIVE {_REG} SELECT image_id, p, label, region_id FROM reg")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return scene_regions(spark).select("p", "label", F.col("region_id").cast("long").alias("region_id"))
+    return found_regions(spark, sf).select("image_id", "p", "label", "region_id")
 
 
-@query(f"WITH RECURSIVE {SCENE}, {REGION} SELECT region_id, label, count(*) AS area, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM reg GROUP BY region_id, label")
+@query(f"WITH RECURSIVE {_REG} SELECT image_id, region_id, label, count(*) AS area, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM reg GROUP BY ALL")
 def region_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return regions.stats(scene_regions(spark)).drop("image_id").withColumn("region_id", F.col("region_id").cast("long"))
+    return regions.stats(found_regions(spark, sf))
 
 
-@query(f"WITH RECURSIVE {SCENE}, {REGION} SELECT DISTINCT a.region_id AS src, b.region_id AS dst FROM reg a JOIN reg b ON a.region_id != b.region_id AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1))")
+@query(f"WITH RECURSIVE {_REG} SELECT DISTINCT nb.image_id, a.region_id AS src, b.region_id AS dst FROM nb JOIN reg a ON a.image_id = nb.image_id AND a.p = nb.p JOIN reg b ON b.image_id = nb.image_id AND b.p = nb.q WHERE NOT same")
 def adjacency(spark: SparkSession, sf: str) -> DataFrame:
-    return regions.adjacency(scene_regions(spark)).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    return regions.adjacency(found_regions(spark, sf))
 
 
-@query(f"WITH RECURSIVE {SCENE}, {REGION} SELECT region_id, count(*) AS area FROM reg GROUP BY region_id HAVING count(*) < 350")
+@query(f"WITH RECURSIVE {_REG} SELECT image_id, region_id, count(*) AS area FROM reg GROUP BY ALL HAVING count(*) < 9")
 def small_region_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return regions.small_regions(regions.stats(scene_regions(spark)), 48 * 48).select(F.col("region_id").cast("long").alias("region_id"), "area")
+    return regions.small_regions(regions.stats(found_regions(spark, sf)), 0, least=9).select("image_id", "region_id", "area")
 
 
 @query()
@@ -451,35 +468,45 @@ def absorber_closure(spark: SparkSession, sf: str) -> DataFrame:
     return regions.closure(pairs)
 
 
-@query(f"""WITH RECURSIVE {SCENE}, {REGION}, bo AS (SELECT r.*, (SELECT count(*) FROM reg n WHERE n.region_id = r.region_id AND ((n.y = r.y AND abs(n.x - r.x) = 1) OR (n.x = r.x AND abs(n.y - r.y) = 1))) < 4 AS edge FROM reg r),
-bfs(p, region_id, x, y, d) AS (SELECT p, region_id, x, y, 0 FROM bo WHERE edge UNION SELECT n.p, n.region_id, n.x, n.y, b.d + 1 FROM bfs b JOIN reg n ON n.region_id = b.region_id AND ((n.y = b.y AND abs(n.x - b.x) = 1) OR (n.x = b.x AND abs(n.y - b.y) = 1)) WHERE b.d < 24),
-far AS (SELECT p, region_id, x, y, min(d) AS d FROM bfs GROUP BY ALL), best AS (SELECT region_id, arg_max(struct_pack(x, y), struct_pack(d, q := -p)) AS s, max(d) AS d FROM far GROUP BY region_id),
-st AS (SELECT region_id, label, count(*) AS area, floor(avg(x) + .5) AS mx, floor(avg(y) + .5) AS my FROM reg GROUP BY ALL)
-SELECT region_id, label, area, CAST(CASE WHEN d > 0 THEN s.x ELSE mx END + .5 AS DOUBLE) AS label_x, CAST(CASE WHEN d > 0 THEN s.y ELSE my END + .5 AS DOUBLE) AS label_y, {_FONT_OF} AS font_size FROM st JOIN best USING (region_id)""")
+_FAR = """bo AS (SELECT r.*, (SELECT count(*) FROM nb WHERE nb.image_id = r.image_id AND nb.p = r.p AND same) < 4 AS edge FROM reg r),
+bfs(image_id, p, d) AS (SELECT image_id, p, 0 FROM bo WHERE edge UNION SELECT nb.image_id, nb.q, b.d + 1 FROM bfs b JOIN nb ON nb.image_id = b.image_id AND nb.p = b.p AND same WHERE b.d < 12),
+far AS (SELECT image_id, p, min(d) AS d FROM bfs GROUP BY ALL),
+best AS (SELECT image_id, region_id, arg_max(struct_pack(x, y), struct_pack(d, q := -p)) AS s, max(d) AS d FROM far JOIN reg USING (image_id, p) GROUP BY ALL),
+st AS (SELECT image_id, region_id, label, count(*) AS area, floor(avg(x) + .5) AS mx, floor(avg(y) + .5) AS my FROM reg GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_REG}, {_FAR}
+SELECT image_id, region_id, label, area, CAST(CASE WHEN d > 0 THEN s.x ELSE mx END + .5 AS DOUBLE) AS label_x, CAST(CASE WHEN d > 0 THEN s.y ELSE my END + .5 AS DOUBLE) AS label_y, {_FONT_OF} AS font_size FROM st JOIN best USING (image_id, region_id)""")
 def label_points(spark: SparkSession, sf: str) -> DataFrame:
-    found = regions.label_points(scene_regions(spark)).drop("image_id")
-    return found.withColumns({"region_id": F.col("region_id").cast("long"), "label_x": F.col("label_x").cast("double"), "label_y": F.col("label_y").cast("double")})
+    found = regions.label_points(found_regions(spark, sf))
+    return found.withColumns({"label_x": F.col("label_x").cast("double"), "label_y": F.col("label_y").cast("double")})
+
 
+_EDGES = f"""g AS (SELECT *, {_NEAR.format('region_id')} FROM reg {_HV}), e AS (
+SELECT image_id, region_id, p * 4 AS seq, x + 1 AS x1, y + 1 AS y1, x + 1 AS x2, y AS y2 FROM g WHERE coalesce(r_ != region_id, true) UNION ALL SELECT image_id, region_id, p * 4 + 1, x, y, x, y + 1 FROM g WHERE coalesce(l != region_id, true)
+UNION ALL SELECT image_id, region_id, p * 4 + 2, x, y + 1, x + 1, y + 1 FROM g WHERE coalesce(d != region_id, true) UNION ALL SELECT image_id, region_id, p * 4 + 3, x + 1, y, x, y FROM g WHERE coalesce(u != region_id, true))"""
 
-@query(f"""WITH RECURSIVE {SCENE}, {REGION}, g AS (SELECT * , {_NEAR.format('region_id')} FROM reg {_HV}), e AS (
-SELECT region_id, x + 1 AS x1, y + 1 AS y1, x + 1 AS x2, y AS y2 FROM g WHERE coalesce(r_ != region_id, true) UNION ALL SELECT region_id, x, y, x, y + 1 FROM g WHERE coalesce(l != region_id, true)
-UNION ALL SELECT region_id, x, y + 1, x + 1, y + 1 FROM g WHERE coalesce(d != region_id, true) UNION ALL SELECT region_id, x + 1, y, x, y FROM g WHERE coalesce(u != region_id, true)) SELECT region_id, x1, y1, x2, y2 FROM e""")
+
+@query(f"WITH RECURSIVE {_REG}, {_EDGES} SELECT image_id, region_id, x1, y1, x2, y2 FROM e")
 def boundary_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return vector.boundary_edges(scene_regions(spark)).select(F.col("region_id").cast("long").alias("region_id"), "x1", "y1", "x2", "y2")
+    return vector.boundary_edges(found_regions(spark, sf)).select("image_id", "region_id", "x1", "y1", "x2", "y2")
 
 
-def _scene_loops(spark: SparkSession) -> DataFrame:
-    return vector.trace_loops(vector.boundary_edges(regions.settle(scene_regions(spark), "scene")))
+def _loops(spark: SparkSession, sf: str) -> DataFrame:
+    return vector.trace_loops(vector.boundary_edges(regions.settle(found_regions(spark, sf), "regions")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_REG}, {_EDGES} SELECT image_id, region_id, count(*) AS edges, CAST(sum(x1 * y2 - x2 * y1) AS DOUBLE) / 2 AS area, min(x1) AS min_x, max(y1) AS max_y FROM e GROUP BY ALL""")
 def trace_loops(spark: SparkSession, sf: str) -> DataFrame:
-    return _scene_loops(spark).select("region_id", "loop_id", F.size("points").alias("n"))
+    """What the loops of each region enclose: they use each of its edges once, and their area, by the shoelace sum, is its pixels."""
+    side = _loops(spark, sf).select("image_id", "region_id", F.explode(F.arrays_zip(F.expr("slice(points, 1, size(points) - 1)").alias("p"), F.expr("slice(points, 2, size(points) - 1)").alias("q"))).alias("s"))
+    cross = F.col("s.p.x") * F.col("s.q.y") - F.col("s.q.x") * F.col("s.p.y")
+    return side.groupBy("image_id", "region_id").agg(F.count(F.lit(1)).alias("edges"), (F.sum(cross) / 2).alias("area"), F.min("s.p.x").cast("int").alias("min_x"), F.max("s.p.y").cast("int").alias("max_y"))
 
 
 @query()
 def region_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return vector.paths(vector.chaikin(vector.simplified(_scene_loops(spark)))).drop("image_id")
+    return vector.paths(vector.chaikin(vector.simplified(_loops(spark, sf))))
 
 
 @query("""WITH q AS (SELECT o_custkey, o_orderkey, o_totalprice AS x, o_orderkey % 97 AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
@@ -588,9 +615,9 @@ def custom_colors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def photo_to_template(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole conversion of the drawn scene: its palette and areas."""
-    made = template.convert(raster.scene(spark, 96))
-    return rounded(made.palette.drop("image_id"))
+    """The whole conversion of all images, reduced to 16 pixels first: where the numbers of their regions go."""
+    made = template.convert(pixels(spark, sf).select("image_id", "x", "y", "r", "g", "b"), least_area=9, max_side=16)
+    return made.points
 
 
 @query()
