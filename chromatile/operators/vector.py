@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,20 +44,59 @@ def _loops(starts: list[tuple], ends: list[tuple]) -> list[list[tuple]]:
     return loops
 
 
+def _runs(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where runs of equal keys begin in a table that has rows."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for name in keys:
+        codes = table[name].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
 def trace_loops(edges: DataFrame) -> DataFrame:
     """Closed loops of each region: loop_id and points (the first one again at the end).
 
-    At a place where several edges go on, the first unused one in raster order is taken. Groups are
-    single regions: their edges, not their pixels.
+    At a place where several edges go on, the first unused one in raster order is taken. Edges are sorted by
+    region and streamed: a task holds the edges of one batch and of the region that goes on in the next one.
     """
+    keys = ["image_id", "region_id"]
+
+    def traced(table: pa.Table) -> pa.RecordBatch:
+        starts = _runs(table, keys)
+        corners = [list(zip(table[f"x{k}"].to_pylist(), table[f"y{k}"].to_pylist(), strict=True)) for k in (1, 2)]
+        rows, ids, points = [], [], []
+        for first, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+            for k, loop in enumerate(_loops(corners[0][first:end], corners[1][first:end])):
+                rows.append(first)
+                ids.append(k)
+                points.append(loop)
+        flat = np.array([p for loop in points for p in loop], float).reshape(-1, 2)
+        offsets = pa.array(np.cumsum([0, *map(len, points)]).astype(np.int32))
+        vertices = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in (0, 1)], ["x", "y"]))
+        named = [table[c].combine_chunks().take(pa.array(rows, pa.int64())) for c in keys]
+        return pa.RecordBatch.from_arrays([*named, pa.array(ids, pa.int32()), vertices], [*keys, "loop_id", "points"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        loops = _loops(list(zip(pdf["x1"], pdf["y1"], strict=True)), list(zip(pdf["x2"], pdf["y2"], strict=True)))
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "region_id": pdf["region_id"].iloc[0], "loop_id": range(len(loops)), "points": [[{"x": float(x), "y": float(y)} for x, y in loop] for loop in loops]})
-
-    flat = edges.select("image_id", "region_id", (F.col("seq.y").cast("long") * (1 << 32) + F.col("seq.x").cast("long") * 4 + F.col("seq.side")).alias("seq"), "x1", "y1", "x2", "y2")
-    image, region = (edges.schema[c].dataType.simpleString() for c in ("image_id", "region_id"))
-    return flat.groupBy("image_id", "region_id").applyInPandas(lambda pdf: run(pdf.sort_values("seq")), f"image_id {image}, region_id {region}, loop_id int, points {POINTS}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the region that is still open
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lead = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+            begins = _runs(pa.Table.from_batches([*lead, batch]), keys) - len(lead)
+            cut = int(begins[-1])
+            if held and cut < 0:
+                held.append(batch)
+                continue
+            if held or cut:
+                yield traced(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = [batch.slice(cut)]
+        if held:
+            yield traced(pa.Table.from_batches(held))
+
+    flat = edges.select(*keys, (F.col("seq.y").cast("long") * (1 << 32) + F.col("seq.x").cast("long") * 4 + F.col("seq.side")).alias("seq"), "x1", "y1", "x2", "y2")
+    kinds = [edges.schema[c].dataType.simpleString() for c in keys]
+    return flat.repartition(*keys).sortWithinPartitions(*keys, "seq").mapInArrow(run, f"image_id {kinds[0]}, region_id {kinds[1]}, loop_id int, points {POINTS}")
 
 
 def simplify(points: np.ndarray, epsilon: float) -> np.ndarray:
