@@ -31,6 +31,10 @@ def _bits(df: DataFrame, digest: str, blocks: int) -> DataFrame:
     return df.withColumns({"_block": F.pmod(h, F.lit(blocks)), "_p": at(0), "_q": at(32)})
 
 
+def _range(digest: str, rounds: int) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit(2)), F.lit(rounds)).cast("int")
+
+
 def _is_set(bitmap: str, position: str) -> Column:
     byte = F.substring(F.col(bitmap), F.expr(f"{position} div 8 + 1"), F.lit(1))
     return F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr(f"shiftleft(1, {position} % 8)")) != 0
@@ -57,7 +61,9 @@ def possibly_repeated(df: DataFrame, digest: str, bits_per_row: int = 16, broadc
     if rounds == 1:
         return _flagged(df, digest, blocks)
     spark, path = df.sparkSession, new_path(df.sparkSession, "ranges")
-    df.withColumn("_range", F.pmod(F.xxhash64(digest, F.lit(2)), F.lit(rounds)).cast("int")).write.partitionBy("_range").parquet(path)  # a round reads its range alone
+    ranged = df.withColumn("_range", _range(digest, rounds))
+    files = max(1, broadcast_limit >> 22)  # a range: about 128 MB each
+    ranged.repartition(rounds * files, "_range", F.pmod(F.xxhash64(digest, F.lit(3)), F.lit(files))).write.partitionBy("_range").parquet(path)  # a round reads its range alone, a few files
     held = spark.read.schema(df.withColumn("_range", F.lit(0)).schema).parquet(path)
     found = [materialise(_flagged(held.filter(F.col("_range") == k).drop("_range"), digest, blocks), "flagged") for k in range(rounds)]
     discard(held)
@@ -89,8 +95,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Groups of two or more are found on slim rows, as in ``find_copies``. Their table is broadcast up to
     ``broadcast_rows`` groups, and then no document is shuffled; beyond that, documents that its
-    Bloom filter (of at most ``broadcast_limit`` bytes) does not hold pass straight through, and the
-    others are joined to it. Ties of the id are broken by a hash of the whole row; of rows that repeat
+    Bloom filter does not hold pass straight through, and the others are joined to it. A filter of more than
+    ``broadcast_limit`` bytes is made by ranges of digests: ``docs`` is read once for each range, and tested by the
+    filter of that range, which is never fuller than ``bits_per_row`` says. Ties of the id are broken by a hash of the whole row; of rows that repeat
     entirely one stays.
     """
     names = docs.columns
@@ -106,11 +113,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = docs.select(F.struct(*[docs[c] for c in names]).alias("_doc"), digest.alias("_sha"))
     n, straight = groups.count(), []
     if n > broadcast_rows:
-        blocks = power_of_two(min(broadcast_limit, n * bits_per_row / 8) / (BLOCK_BITS // 8))
-        bits = _bits(groups.select("_group"), "_group", blocks).select("_block", F.explode(F.array("_p", "_q")).alias("_bit"))
-        table = bits.repartition("_block").groupBy("_block").agg(F.bitmap_construct_agg(F.col("_bit")).alias("_map"))
-        held = _bits(held, "_sha", blocks).join(F.broadcast(table), "_block", "left").withColumn("_in", F.coalesce(_is_set("_map", "_p") & _is_set("_map", "_q"), F.lit(False)))
-        straight, held = [held.filter("NOT _in").select("_doc.*")], held.filter("_in").select("_doc", "_sha")
+        rounds = max(1, -int(-n * bits_per_row / 8 // broadcast_limit))
+        blocks, inside = power_of_two(n * bits_per_row / 8 / rounds / (BLOCK_BITS // 8)), []
+        for k in range(rounds):
+            own = lambda df, digest, k=k: df.filter(_range(digest, rounds) == k) if rounds > 1 else df
+            bits = _bits(own(groups, "_group").select("_group"), "_group", blocks).select("_block", F.explode(F.array("_p", "_q")).alias("_bit"))
+            table = bits.repartition("_block").groupBy("_block").agg(F.bitmap_construct_agg(F.col("_bit")).alias("_map"))
+            tested = _bits(own(held, "_sha"), "_sha", blocks).join(F.broadcast(table), "_block", "left").withColumn("_in", F.coalesce(_is_set("_map", "_p") & _is_set("_map", "_q"), F.lit(False)))
+            straight.append(tested.filter("NOT _in").select("_doc.*"))
+            inside.append(tested.filter("_in").select("_doc", "_sha"))
+        held = reduce(DataFrame.unionByName, inside)
     found = held.join(groups if n > broadcast_rows else F.broadcast(groups), F.col("_sha") == F.col("_group"), "left")
     identity = F.col("_doc").getField(id_col)
     own = F.struct(identity.isNull().alias("none"), identity.alias("id"), F.xxhash64("_doc").alias("mark"))
