@@ -2,9 +2,10 @@
 
 A vector is the sum of one codeword from each of several codebooks, all of full dimension. Codebooks
 start as k-means of residuals and are refined together on a bounded sample; encoding is a beam search
-over the codebooks. Every row is indexed. Queries in blocks meet rows in chunks: scores are read
+over the codebooks. Every row is indexed. Queries in blocks meet rows in chunks, where scores are read
 from look-up tables by the stored codes (and, for distances, the stored norms of the decoded
-vectors), the best are reranked on the original vectors.
+vectors). Of what all chunks offer, a fixed number of rows a query, the best by these scores, is
+reranked on the original vectors.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def build_index(vectors: DataFrame, books: np.ndarray, id_col: str = "vec_id", v
 MEASURES = ("inner", "euclidean")
 
 
-def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 20, measure: str = "inner", rerank: int = 1024, queries_per_block: int = 16_384, rows_per_chunk: int = 32_768) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 20, measure: str = "inner", rerank: int = 100, queries_per_block: int = 16_384, rows_per_chunk: int = 32_768) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows of ``index``.
 
     Nearest by ``inner`` is the largest inner product; by ``euclidean`` the smallest distance, scored
@@ -125,52 +126,67 @@ def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 20,
 
     queries: _id, _vector. A row is no neighbour of queries with its own id. Of rows with equal
     vectors only the k + 1 with the smallest ids can be among the nearest, so the others are not
-    scored. In each chunk ``rerank`` rows a query are chosen by their codes and reranked in double
-    precision. Blocks and chunks have bounded sizes; all of them meet, so the work is queries times
-    rows, and a row is shuffled once for every ``queries_per_block`` queries.
+    scored. Each chunk offers the ``rerank`` rows (at least k) of the best scores by codes, equal ones by id; the best
+    ``rerank`` of all chunks are scored exactly, in double precision and one order of components, so
+    that equal vectors score alike. Blocks and chunks have bounded sizes; all of them meet, so the work is
+    queries times rows, and a row's codes are shuffled once for every ``queries_per_block`` queries.
     """
     if measure not in MEASURES:
         raise ValueError(f"measure {measure!r} is none of {MEASURES}")
-    euclidean = measure == "euclidean"
+    euclidean, rerank = measure == "euclidean", max(rerank, k)
     copies = Window.partitionBy("_vector").orderBy("_id")
-    rows = materialise(index.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).drop("_copy"), "index")
-    queries = materialise(queries, "queries")
+    rows = materialise(index.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).drop("_copy").withColumn("_row", F.monotonically_increasing_id()), "index")
+    queries = materialise(queries.withColumn("_ask", F.monotonically_increasing_id()), "queries")
     blocks, chunks = max(1, -(-queries.count() // queries_per_block)), max(1, -(-rows.count() // rows_per_chunk))
     deal = lambda n: F.pmod(F.xxhash64("_id", "_vector"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(deal(blocks).alias("_block"), every(chunks).alias("_chunk"), "_id", "_vector")
-    right = rows.select(every(blocks).alias("_block"), deal(chunks).alias("_chunk"), "_id", "_vector", "_codes", "_norm")
+    left = queries.select(deal(blocks).alias("_block"), every(chunks).alias("_chunk"), "_ask", "_id", "_vector")
+    right = rows.select(every(blocks).alias("_block"), deal(chunks).alias("_chunk"), "_row", "_id", "_codes", "_norm")
     dim = books.shape[2]
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        out = [[], [], [], []]
         if asked.num_rows and held.num_rows:
-            ids = held["_id"].to_numpy()
-            vectors, norms = _matrix(held["_vector"].combine_chunks(), dim, None), held["_norm"].to_numpy()
+            ids, numbers, norms = (held[c].to_numpy() for c in ("_id", "_row", "_norm"))
             codes = np.frombuffer(b"".join(held["_codes"].to_pylist()), np.uint8).reshape(len(ids), len(books)).T.copy()
-            names, points = asked["_id"].to_numpy(), _matrix(asked["_vector"].combine_chunks(), dim, float)
+            names, points = asked["_ask"].to_numpy(), _matrix(asked["_vector"].combine_chunks(), dim)
+            own_ids = asked["_id"].to_numpy()
             step = max(1, (1 << 22) // len(ids))
             for at in range(0, len(names), step):
-                q, own = points[at : at + step], names[at : at + step]
+                q = points[at : at + step]
                 scores = np.tile(-norms / 2, (len(q), 1)) if euclidean else np.zeros((len(q), len(ids)), np.float32)
                 for m, book in enumerate(books):
-                    scores += np.take(q.astype(np.float32) @ book.T, codes[m], axis=1)
+                    scores += np.take(q @ book.T, codes[m], axis=1)
                 n = min(rerank + 1, len(ids))
-                best = np.argpartition(scores, len(ids) - n, axis=1)[:, len(ids) - n :]
-                for row, (near, name) in enumerate(zip(best, own, strict=True)):
-                    near = near[ids[near] != name]
-                    own_rows = vectors[near].astype(float)
-                    exact = -((own_rows - q[row]) ** 2).sum(axis=1) if euclidean else own_rows @ q[row]
-                    top = np.lexsort((ids[near], -exact))[:k]
+                least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
+                for row, (name, own) in enumerate(zip(names[at : at + step], own_ids[at : at + step], strict=True)):
+                    near = np.flatnonzero(scores[row] >= least[row])  # with all that tie
+                    near = near[ids[near] != own]
+                    top = near[np.lexsort((ids[near], -scores[row, near]))[:rerank]]
                     out[0].append(np.full(len(top), name))
-                    out[1].append(ids[near][top])
-                    out[2].append(exact[top])
+                    out[1].append(numbers[top])
+                    out[2].append(ids[top])
+                    out[3].append(scores[row, top])
         arrays = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table({"query_id": pa.array(arrays[0].astype(np.int64)), "vec_id": pa.array(arrays[1].astype(np.int64)), "score": pa.array(arrays[2].astype(float))})
-
-    found = left.groupBy("_block", "_chunk").cogroup(right.groupBy("_block", "_chunk")).applyInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return pa.table({**{c: pa.array(a.astype(np.int64)) for c, a in zip(("_ask", "_row", "_id"), arrays, strict=False)}, "_near": pa.array(arrays[3].astype(np.float32))})
+
+    offered = left.groupBy("_block", "_chunk").cogroup(right.groupBy("_block", "_chunk")).applyInArrow(run, "_ask long, _row long, _id long, _near float")
+    place = F.row_number().over(Window.partitionBy("_ask").orderBy(F.col("_near").desc(), "_id"))
+    chosen = offered.withColumn("_place", place).filter(F.col("_place") <= rerank).select("_ask", "_row")
+    pairs = chosen.join(rows.select("_row", "_id", "_vector"), "_row").join(queries.select("_ask", F.col("_id").alias("_query"), F.col("_vector").alias("_point")), "_ask")
+    scored = pairs.select("_ask", "_query", "_id", "_point", "_vector").mapInArrow(lambda batches: _exact(batches, dim, euclidean), "_ask long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("_ask").orderBy(F.col("score").desc(), "vec_id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _exact(batches: Iterator[pa.RecordBatch], dim: int, euclidean: bool) -> Iterator[pa.RecordBatch]:
+    """Scores of pairs (_ask, _query, _id, _point, _vector) in double precision: products are summed row by row, alike in every row."""
+    for batch in batches:
+        if batch.num_rows:
+            q, x = (_matrix(batch.column(c), dim, float) for c in (3, 4))
+            terms = np.ascontiguousarray((q - x) ** 2 if euclidean else q * x)
+            score = (-1.0 if euclidean else 1.0) * terms.sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], ["_ask", "query_id", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, **options) -> DataFrame:
