@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,18 +54,37 @@ _DATE = re.compile(r"(?:(?:19|20)\d\d[-./_]?(?:0?[1-9]|1[0-2])[-./_]?(?:0?[1-9]|
 _LEET = str.maketrans("4@3017$5", "aaeoltss")
 
 
+SEGMENTS = ("brute", "word", "walk", "repeat", "date")
+
+
 def _cardinality(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
 
-def pieces(value: str, ranks: dict[str, int] = RANK) -> list[list[tuple[str, int, float]]]:
-    """For each end 1 to len(value) the segments that can end there: (kind, start, log10 of the guesses)."""
+@lru_cache(1 << 16)
+def _log_cardinality(c: str) -> float:
+    return math.log10(_cardinality(c))
+
+
+#: Longest unit of a repeat, and most times it counts.
+UNIT, TIMES = 16, 64
+
+
+def pieces(value: str, ranks: dict[str, int] = RANK) -> Iterator[list[tuple[str, int, float]]]:
+    """For each end 1 to len(value) the segments that can end there: (kind, start, log10 of the guesses).
+
+    Work and memory for an end do not depend on the length of the value.
+    """
     n, lower = len(value), value.lower()
-    plain = lower.translate(_LEET) if len(lower) == n else lower
-    out: list[list[tuple[str, int, float]]] = []
+    lower = lower if len(lower) == n else "".join(c if len(c.lower()) > 1 else c.lower() for c in value)
+    plain = lower.translate(_LEET)
     walk = repeat = 0  # where the walk and the repeat that end here begin
+    runs = [0] * (UNIT + 1)  # by width: how many characters up to here equal the one that far before
+    costs = array("d", [0.0])  # of brute force from the beginning
     for end in range(1, n + 1):
-        found = [("brute", end - 1, math.log10(_cardinality(value[end - 1])))]
+        here = _log_cardinality(value[end - 1])
+        costs.append(costs[-1] + here)
+        found = [("brute", end - 1, here)]
         for start in range(max(0, end - LONGEST_WORD), end - 2):
             rank = ranks.get(lower[start:end]) or ranks.get(plain[start:end])
             if rank:
@@ -77,30 +98,33 @@ def pieces(value: str, ranks: dict[str, int] = RANK) -> list[list[tuple[str, int
             repeat = end - 1
         if end - repeat >= 3:
             found.append(("repeat", repeat, math.log10(_cardinality(value[end - 1]) * (end - repeat))))
-        for width in range(2, min(16, end // 2) + 1):
-            unit = value[end - width : end]
-            times = 1
-            while end - (times + 1) * width >= 0 and value[end - (times + 1) * width : end - times * width] == unit and times < 64:
-                times += 1
-            if times > 1:
-                found.append(("repeat", end - times * width, sum(math.log10(_cardinality(c)) for c in unit) + math.log10(times)))
+        for width in range(2, min(UNIT, end - 1) + 1):
+            if value[end - 1] != value[end - 1 - width]:
+                runs[width] = 0
+                continue
+            runs[width] += 1
+            if runs[width] >= width:
+                times = min(TIMES, 1 + runs[width] // width)
+                found.append(("repeat", end - times * width, costs[end] - costs[end - width] + math.log10(times)))
         for width in range(4, min(10, end) + 1):
             if value[end - width].isdigit() and value[end - 1].isdigit() and _DATE.fullmatch(value, end - width, end):
                 found.append(("date", end - width, math.log10(365 * 100 if width > 4 else 100)))
-        out.append(found)
-    return out
+        yield found
 
 
 def segments(value: str, ranks: dict[str, int] = RANK) -> list[tuple[str, int, int, float]]:
     """The cheapest segmentation of ``value``: (kind, start, end, log10 of the guesses)."""
-    best: list[tuple[float, int, str, float]] = [(0.0, 0, "", 0.0)]
+    total, origin, kinds, own = array("d", [0.0]), array("q", [0]), array("b", [0]), array("d", [0.0])
     for found in pieces(value, ranks):
-        best.append(min((best[start][0] + cost, start, kind, cost) for kind, start, cost in found))
+        whole, start, kind, cost = min((total[start] + cost, start, kind, cost) for kind, start, cost in found)
+        total.append(whole)
+        origin.append(start)
+        kinds.append(SEGMENTS.index(kind))
+        own.append(cost)
     out, end = [], len(value)
     while end:
-        _, start, kind, cost = best[end]
-        out.append((kind, start, end, cost))
-        end = start
+        out.append((SEGMENTS[kinds[end]], origin[end], end, own[end]))
+        end = origin[end]
     return out[::-1]
 
 
