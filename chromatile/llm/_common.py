@@ -67,29 +67,28 @@ def discard(table: DataFrame) -> None:
 
 
 def sample_by_hash(rows: DataFrame, stratum: str, most: int, *hashed: str) -> DataFrame:
-    """The ``most`` rows of each stratum (few values, not null) with the smallest hashes of the columns ``hashed``.
+    """One row for each of the ``most`` smallest different hashes of the columns ``hashed`` in each stratum (few values, not null).
 
-    Exactly ``most`` rows, or all if there are fewer: also where rows repeat, as ties count one by
-    one. The limits are found on hashes alone: first on those low enough that about four times
-    ``most`` rows of a stratum are left, and on all of them where rows repeat so much that this is
-    not enough.
+    Rows that repeat in ``hashed`` count once, however many there are, and exactly ``most`` rows of a
+    stratum are taken where it has as many different ones. The limits are found on different hashes, made
+    distinct on the map side first, and only among those low enough that about four times ``most`` of a
+    stratum are left, so that no task ranks more than these.
     """
     h = F.xxhash64(*hashed)
-    by = Window.partitionBy("_stratum").orderBy("_h")
-    counts = {r[0]: r[1] for r in rows.groupBy(stratum).agg(F.count(F.lit(1))).collect()}
+    counts = {r[0]: (r[1], r[2]) for r in rows.groupBy(stratum).agg(F.count(F.lit(1)), F.approx_count_distinct(h, 0.02)).collect()}
     if not counts:
         return rows.limit(0)
-    table = lambda of: F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, of(n))])[F.col("_stratum")]
-    low = table(lambda n: min((1 << 63) - 1, (4 * most << 64) // n - (1 << 63)))
-    slim = rows.select(F.col(stratum).alias("_stratum"), h.alias("_h"))
-    for tried in (slim.filter(F.col("_h") <= low), slim):
-        least = tried.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= most)
-        limits = {r[0]: (r[1], r[2]) for r in least.groupBy("_stratum").agg(F.max("_h"), F.count(F.lit(1))).collect()}
-        if all(limits.get(k, (0, 0))[1] == min(most, n) for k, n in counts.items()):
+    table = lambda of: F.create_map(*[F.lit(x) for k in counts for x in (k, of(k))])[F.col("_stratum")]
+    slim, top, scale = rows.select(F.col(stratum).alias("_stratum"), h.alias("_h")), (1 << 63) - 1, 4
+    while True:
+        low = {k: min(top, (scale * most << 64) // max(1, n) - (1 << 63)) for k, (_, n) in counts.items()}
+        ranked = slim.filter(F.col("_h") <= table(low.get)).distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("_stratum").orderBy("_h"))).filter(F.col("_rank") <= most)
+        limits = {r[0]: (r[1], r[2]) for r in ranked.groupBy("_stratum").agg(F.max("_h"), F.count(F.lit(1))).collect()}
+        if all(low[k] == top or limits.get(k, (0, 0))[1] == most for k in counts):
             break
-    limit = F.create_map(*[F.lit(x) for k, (top, _) in limits.items() for x in (k, top)])[F.col("_stratum")]
-    near = rows.withColumns({"_stratum": F.col(stratum), "_h": h}).filter(F.col("_h") <= limit)
-    return near.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= most).drop("_stratum", "_h", "_rank")
+        scale *= 8
+    near = rows.withColumns({"_stratum": F.col(stratum), "_h": h}).filter(F.col("_h") <= table(lambda k: limits[k][0]))
+    return near.dropDuplicates(["_stratum", "_h"]).drop("_stratum", "_h")
 
 
 def power_of_two(n: float) -> int:

@@ -165,7 +165,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     """Fit on a bounded sample of the rows of ``docs`` that have a label and are not held out.
 
     ``docs_per_language`` documents a language (fewer if there are so many languages that they would
-    be over ``most_docs``) are chosen by a hash of id and text; all windows of their whole texts
+    be over ``most_docs``) are chosen by a hash of the text, so that copies count once; all windows of their whole texts
     count. Languages beyond the ``most_languages`` most frequent are not learned. Without any
     labelled row the model knows no language.
     """
@@ -175,7 +175,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     if not languages:
         return Model([], {}, np.zeros(0), np.zeros((0, 0)), np.zeros(0))
     each = max(1, min(docs_per_language, most_docs // len(languages)))
-    chosen = sample_by_hash(rows.filter(F.col("_lang").isin(languages)), "_lang", each, "_id", "_text")
+    chosen = sample_by_hash(rows.filter(F.col("_lang").isin(languages)), "_lang", each, "_text")
     got = sorted((r["_lang"], r["_text"].encode()) for r in chosen.filter("_text != ''").select("_lang", "_text").collect())
     found = [windows_of(data)[0] for _, data in got]
     number = {k: i for i, k in enumerate(languages)}

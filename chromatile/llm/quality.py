@@ -172,10 +172,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """Estimate the labellers on all documents, then fit the scorer.
 
     The scorer is fitted on at most ``sample_rows`` whole documents, half of them likely bad as far as
-    there are so many, chosen by a hash of id and text.
+    there are so many, chosen by a hash of the text, so that copies count once.
     """
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    mark = F.xxhash64("_id", "_text", F.lit(seed))
+    texts = docs.select(F.col(text_col).cast("string").alias("_text"))
+    mark = F.xxhash64("_text", F.lit(seed))
     voted = materialise(_with_votes(texts.select(mark.alias("_mark"), "_text")), "votes")
     rows = voted.groupBy(F.col("_votes").alias("votes")).agg(F.count(F.lit(1)).alias("n")).collect()
     k = len(LABELLERS)
@@ -189,9 +189,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     is_bad = F.col("_votes").isin(bad) if bad else F.lit(False)
     likely = voted.filter(F.col("_votes") != str(NONE) * k).withColumn("_bad", is_bad)
     marks = sample_by_hash(likely, "_bad", sample_rows // 2, "_mark")
-    marks = materialise(marks.groupBy("_mark", "_votes").agg(F.count(F.lit(1)).alias("_times")), "sample")  # at most sample_rows
-    found = texts.withColumn("_mark", mark).join(F.broadcast(marks), "_mark").select("_text", "_votes", "_times", "_mark")
-    got = sorted((r["_text"].encode(), r["_votes"]) for r in found.dropDuplicates(["_mark"]).select("_text", "_votes", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).collect())
+    marks = materialise(marks.select("_mark", "_votes"), "sample")  # at most sample_rows
+    found = texts.withColumn("_mark", mark).join(F.broadcast(marks), "_mark").select("_text", "_votes", "_mark")
+    got = sorted((r["_text"].encode(), r["_votes"]) for r in found.dropDuplicates(["_mark"]).select("_text", "_votes").collect())
     discard(voted)
     soft = dict(zip((v for v, _ in rows), post, strict=True))
     weights, bias = fit_scorer([d for d, _ in got], np.array([soft[v] for _, v in got]), seed=seed)
