@@ -28,7 +28,7 @@ STEP = 1 << 20
 
 @lru_cache(2)
 def _tokenizers(byte_level: str, pieces: str):
-    """Encoders of both (texts -> ids), and by id the bytes, byte lengths and the texts for digests."""
+    """Encoders of both (texts -> ids), the bytes of pieces, byte lengths by id and the texts for digests."""
     import sentencepiece
 
     encode_a = encoder(byte_level)
@@ -40,7 +40,7 @@ def _tokenizers(byte_level: str, pieces: str):
     # For digests: each id with what follows it inside its side of a group, and at the end of that side.
     shown_a = [f"{i}{end}" for i in range(len(bytes_a)) for end in ",|"]
     shown = shown_a + [f"{i}{end}" for i in range(len(bytes_b)) for end in ",;"]
-    return encode_a, encode_b, bytes_a, bytes_b, *lengths, shown, len(shown_a)
+    return encode_a, encode_b, bytes_b, *lengths, shown, len(shown_a)
 
 
 def _piece_bytes(piece: str) -> bytes:
@@ -71,14 +71,15 @@ def align_texts(texts: list[str | None], byte_level: str, pieces: str) -> list[d
 
     A text that is null, empty, or not given back by both tokenizers with a space in front has no tokens.
     """
-    encode_a, encode_b, bytes_a, bytes_b, length_a, length_b, shown, first_b = _tokenizers(byte_level, pieces)
+    encode_a, encode_b, bytes_b, length_a, length_b, shown, first_b = _tokenizers(byte_level, pieces)
     none = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "pair": np.zeros(0, np.int64), "times": np.zeros(0, np.int64)}
     out, some, a, b, sizes = [none] * len(texts), [], [], [], []
     own = [k for k, text in enumerate(texts) if text]
     for k, ids_b in zip(own, encode_b([texts[k] for k in own]) if own else [], strict=True):
         whole = f" {texts[k]}"
         data, ids_a = whole.encode(), encode_a(whole).astype(np.int64)
-        if b"".join(map(bytes_b.__getitem__, ids_b.tolist())) == data == b"".join(map(bytes_a.__getitem__, ids_a.tolist())):
+        # Byte-level tokens are pieces of the text in order: they give it back whole if they are as long.
+        if length_a[ids_a].sum() == len(data) and b"".join(map(bytes_b.__getitem__, ids_b.tolist())) == data:
             some.append(k)
             a.append(ids_a)
             b.append(ids_b)
@@ -91,9 +92,9 @@ def align_texts(texts: list[str | None], byte_level: str, pieces: str) -> list[d
     cuts, upto_a, upto_b = shared_cuts(ends_a, ends_b)
     link_a, link_b = links_of(ends_a, ends_b, cuts, upto_a, upto_b)
     # In digests a token of group g stands after its own side up to it and the other side's groups before (a) or up to g (b).
-    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
     closes_a, closes_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
     closes_a[upto_a - 1] = closes_b[upto_b - 1] = 1
+    group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
     order = np.zeros(len(ids_a) + len(ids_b), np.int64)
     order[np.arange(len(ids_a)) + np.r_[0, upto_b][group_a]] = 2 * ids_a + closes_a
     order[np.arange(len(ids_b)) + upto_a[group_b]] = first_b + 2 * ids_b + closes_b
