@@ -11,16 +11,16 @@ from chromatile.llm.queries import tokenizer_path
 
 
 def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; only null texts and texts without a letter go.
+    """Documents in which a language is found, with it: null texts and texts without a letter go.
 
-    Neither which language is found nor its score decides. If no row that is not held out has a
-    label, no language can be learned; then all texts with a letter stay.
+    ``lang`` is what is found where a document had none; labels that are there stay. If no row that is not held
+    out has a label, no language can be learned; then all texts with a letter stay as they are.
     """
     model = language_id.train(docs)
     if not model.languages:
         return language_id.with_letter(docs)
     found = language_id.identify(docs, model, lang_col="_lang", score_col="_score")
-    return found.filter(F.col("_lang") != language_id.UNKNOWN).select(*docs.columns)
+    return found.filter(F.col("_lang") != language_id.UNKNOWN).withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
