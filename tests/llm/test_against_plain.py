@@ -19,12 +19,22 @@ LONG = " ".join(f"word{i * 7919 % 5003} and" for i in range(20_000))
 def test_samples_are_exact(spark):
     rows = spark.createDataFrame([(1, "same", "a")] * 500 + [(i, f"t{i}", "b") for i in range(40)] + [(None, None, "c")], "id long, text string, kind string").repartition(4)
     got = Counter(r.kind for r in _common.sample_by_hash(rows, "kind", 30, "id", "text").collect())
-    assert got == {"a": 30, "b": 30, "c": 1}
+    assert got == {"a": 1, "b": 30, "c": 1}
     assert _common.sample_by_hash(rows.limit(0), "kind", 30, "id").count() == 0
     first = {r.id for r in _common.sample_by_hash(rows.filter("kind = 'b'"), "kind", 7, "id").collect()}
     assert first == {r.id for r in rows.filter("kind = 'b'").orderBy(F.xxhash64("id")).limit(7).collect()}
 
 
+def test_copies_of_a_hot_row_weigh_once(spark):
+    """A third of all rows are equal and have the lowest hash: they are one row of the sample, and no window ranks them."""
+    ids = spark.range(6000).withColumn("h", F.xxhash64(F.col("id").cast("string"))).orderBy("h").limit(1).first()[0]
+    rows = spark.range(6000).select(F.when(F.col("id") < 2000, F.lit(str(ids))).otherwise(F.col("id").cast("string")).alias("text"), F.lit("a").alias("kind"), "id").repartition(6)
+    for most in (1, 10, 800, 2000, 4500):
+        got = [r.text for r in _common.sample_by_hash(rows, "kind", most, "text").collect()]
+        different = {r.text for r in rows.select("text").distinct().withColumn("h", F.xxhash64("text")).orderBy("h").limit(most).collect()}
+        assert len(got) == len(set(got)) and set(got) == different and str(ids) in got
+
+
 def test_running_sum_over_many_buckets(spark):
     rows = spark.range(5000).select((F.col("id") % 3).alias("k"), F.floor(F.col("id") / 2).alias("b"), "id")
     got = _common.running_sum(rows, ["k"], "b", ["id"], F.col("id"), "s").collect()
@@ -200,8 +210,118 @@ def test_scores_are_exact_in_their_own_precision(spark, kind, measure):
         neighbours.nearest(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, score int"), F.lit(True), measure="other")
 
 
+@pytest.mark.parametrize("measure", neighbours.MEASURES)
+def test_few_are_reranked_and_recall_is_from_the_codes(spark, measure):
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(60, 16))
+    points = (centres[rng.integers(0, 60, 4000)] + 0.35 * rng.normal(size=(4000, 16))).astype(np.float32)
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    books = neighbours.train(rows, codebooks=8)
+    index = neighbours.build_index(rows, books).cache()
+    queries = index.filter("_id % 100 = 0").select("_id", "_vector")
+    exact = points.astype(float)
+
+    def recall(index, rerank):
+        got = neighbours.search(index, queries, books, 10, measure, rerank, queries_per_block=16, rows_per_chunk=700).collect()
+        hits = 0
+        for q in range(0, 4000, 100):
+            score = exact @ exact[q] if measure == "inner" else -((exact - exact[q]) ** 2).sum(axis=1)
+            best = {i for i in np.lexsort((np.arange(4000), -score)) if i != q}
+            top = [i for i in np.lexsort((np.arange(4000), -score)) if i != q][:10]
+            assert best
+            hits += len({r.vec_id for r in got if r.query_id == q} & set(top))
+        return hits / 400
+
+    assert recall(index, 50) >= 0.9
+    shuffled = index.select("_id", "_vector", "_norm").join(index.select((4000 - 1 - F.col("_id")).alias("_id"), "_codes"), "_id")
+    assert recall(shuffled.select("_id", "_vector", "_codes", "_norm"), 50) < 0.5
+    index.unpersist()
+
+
+def test_equal_vectors_of_different_chunks_tie_by_id(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 24)).astype(np.float32)
+    rows = [(i, base[(i * 7) % 40].tolist()) for i in range(400)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=15, rows_per_chunk=37, queries_per_block=6).collect()
+    score = {q: [sum(float(a) * float(b) for a, b in zip(rows[q][1], rows[i][1])) for i in range(400)] for q in range(0, 400, 20)}
+    for q in range(0, 400, 20):
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in own] == sorted((i for i in range(400) if i != q), key=lambda i: (-round(score[q][i], 9), i))[:15]
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_drop_copies_by_ranges_shuffles_no_unrepeated_document(spark):
+    from chromatile.llm import exact_dedup
+
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") < 3000, F.col("id") % 1500).otherwise(F.col("id")).cast("string")).alias("text"), F.lit("x").alias("source")).repartition(5)
+    want = sorted(r.doc_id for r in exact_dedup.drop_copies(rows).collect())
+    assert want == [*range(1500), *range(3000, 4000)]
+    ranged = exact_dedup.drop_copies(rows, broadcast_limit=1500, broadcast_rows=0)
+    assert sorted(r.doc_id for r in ranged.collect()) == want and ranged.columns == rows.columns
+    # The union's branches without a join by digest are the documents that pass straight through: nearly all of the unrepeated ones, however small the limit.
+    plan = ranged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") >= 2
+
+
+def plain_pieces(value, ranks):
+    """Every segment of a value by its definition."""
+    from chromatile.llm import secrets as S
+
+    lower = value.lower()
+    plain = lower.translate(S._LEET)
+    card = lambda c: np.log10(S._cardinality(c))
+    for start in range(len(value)):
+        yield "brute", start, start + 1, card(value[start])
+        for end in range(start + 2, len(value) + 1):
+            part = value[start:end]
+            rank = ranks.get(lower[start:end]) or ranks.get(plain[start:end])
+            if 3 <= end - start <= S.LONGEST_WORD and rank:
+                yield "word", start, end, np.log10(rank * 2 ** ((part != lower[start:end]) + (plain[start:end] != lower[start:end]))) + 0.5
+            if end - start >= 3 and all((lower[k], lower[k + 1]) in S._BESIDE for k in range(start, end - 1)) and (start == 0 or (lower[start - 1], lower[start]) not in S._BESIDE):
+                yield "walk", start, end, np.log10(len(S._BESIDE) * (end - start))
+            if end - start >= 3 and len(set(part)) == 1 and (start == 0 or value[start - 1] != part[0]):
+                yield "repeat", start, end, np.log10(S._cardinality(part[0]) * (end - start))
+            for width in range(2, 17):
+                times = (end - start) // width
+                if times >= 2 and times * width == end - start and part == part[:width] * times and (times == 64 or start < width or value[start - width : start] != part[:width]):
+                    if times <= 64:
+                        yield "repeat", start, end, sum(map(card, part[:width])) + np.log10(times)
+            if 4 <= end - start <= 10 and part[0].isdigit() and part[-1].isdigit() and S._DATE.fullmatch(part):
+                yield "date", start, end, np.log10(365 * 100 if end - start > 4 else 100)
+
+
+def test_segments_of_values_equal_plain_ones():
+    from chromatile.llm import secrets as S
+
+    rng = np.random.default_rng(6)
+    parts = ["password", "P4ssw0rd", "qwerty", "asdf", "2024-05-01", "1999", "abcabcabc", "aaaa", "xyxyxyxyxy", "zQ9!", "é", "7", "ß", "hunter2", "20240131", "İ"]
+    for _ in range(60):
+        value = "".join(rng.choice(parts) for _ in range(int(rng.integers(1, 7))))
+        want = sorted(plain_pieces(value, S.RANK)) if "İ" not in value else None
+        got = sorted((kind, start, end, cost) for end, found in enumerate(S.pieces(value), 1) for kind, start, cost in found)
+        if want is not None:
+            assert [g[:3] for g in got] == [w[:3] for w in want]
+            assert np.allclose([g[3] for g in got], [w[3] for w in want])
+        whole = S.segments(value)
+        assert "".join(value[s:e] for _, s, e, _ in whole) == value
+
+
+def test_very_long_values_take_time_in_proportion():
+    import time
+
+    from chromatile.llm import secrets as S
+
+    rng = np.random.default_rng(1)
+    value = "".join(rng.choice(list("abcdef0123456789XYZ+/"), 200_000))
+    began = time.time()
+    spans = S.scan(f"token={value} and password = 'ab'")
+    took = time.time() - began
+    assert spans[0][:3] == ("assign", 0, 6 + len(value)) and spans[0][3] > 100_000 and {s[0] for s in spans[1:]} <= {"hex"} and took < 30
+    began = time.time()
+    assert S.guess_cost("ab" * 100_000) < S.guess_cost(value[:10_000]) and time.time() - began < 30
