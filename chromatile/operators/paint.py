@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,20 +17,29 @@ POINTS = "array<struct<x: double, y: double, pressure: double>>"
 def dedupe_points(points: Column, near: float = 0.01) -> Column:
     """Points (x, y, pressure) of a stroke without those as near as ``near`` in both axes to the last one kept.
 
-    What is kept depends on what was kept before, so this is one pass over each stroke, in Arrow batches.
+    What is kept depends on what was kept before only where neighbours are near each other: strokes
+    without such neighbours stay as they are, the others are passed through point by point, on flat arrays.
     """
 
-    def run(strokes: pd.Series) -> pd.Series:
-        out = []
-        for points in strokes:
-            kept: list[dict] = []
-            for p in () if points is None else points:
-                if not kept or abs(kept[-1]["x"] - p["x"]) >= near or abs(kept[-1]["y"] - p["y"]) >= near:
-                    kept.append(p)
-            out.append(None if points is None else kept)
-        return pd.Series(out)
-
-    return F.pandas_udf(run, POINTS)(points.cast(POINTS))
+    def run(strokes: pa.Array) -> pa.Array:
+        sizes = strokes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, ends = strokes.flatten(), np.cumsum(sizes)
+        at = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], axis=1) if len(flat) else np.zeros((0, 2))
+        stroke = np.repeat(np.arange(len(sizes)), sizes)
+        beside = (np.abs(np.diff(at, axis=0)) < near).all(axis=1) & (stroke[1:] == stroke[:-1]) if len(at) else np.zeros(0, bool)
+        stays = np.ones(len(at), bool)
+        for k in np.unique(stroke[1:][beside]).tolist():
+            first, xy = ends[k] - sizes[k], at[ends[k] - sizes[k] : ends[k]].tolist()
+            x, y = xy[0]
+            for i, (u, v) in enumerate(xy[1:], 1):
+                if abs(x - u) < near and abs(y - v) < near:
+                    stays[first + i] = False
+                else:
+                    x, y = u, v
+        offsets = pa.array(np.r_[0, np.r_[0, np.cumsum(stays)][ends]].astype(np.int32), mask=np.r_[strokes.is_null().to_numpy(zero_copy_only=False), False])
+        return pa.ListArray.from_arrays(offsets, flat.filter(pa.array(stays)))
+
+    return F.arrow_udf(run, POINTS)(points.cast(POINTS))
 
 
 def pointer_points(events: DataFrame, scale: str = "scale", tx: str = "tx", ty: str = "ty") -> DataFrame:

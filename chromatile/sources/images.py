@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.color import half_up
-from ..operators import raster
+from ..operators import drawing, raster
+from . import jpeg
 
 _PIXELS = "image_id string, p long, x int, y int, r int, g int, b int, a int"
 
@@ -101,9 +102,16 @@ def to_png(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
 THUMBNAIL = 96
 
 
-def thumbnails(pixels: DataFrame, most: int = THUMBNAIL) -> DataFrame:
-    """(image_id, png) of every image, at most ``most`` pixels a side; null where it has no whole pixels."""
+def thumbnails(pixels: DataFrame, most: int = THUMBNAIL, kind: str = "png") -> DataFrame:
+    """(image_id, png) of every image, at most ``most`` pixels a side; null where it has no whole pixels.
+
+    With ``kind="jpeg"`` (image_id, jpeg), over white at a quality of 0.8; images without pixels give no row.
+    """
+    if kind not in ("png", "jpeg"):
+        raise ValueError(f"kind {kind!r} is neither png nor jpeg")
     images = raster.scaled_sizes(raster.sizes(pixels), most)
     small = raster.downscale(pixels, most, ("r", "g", "b", "a"), images.select("image_id", "width", "height"))
     small = small.select("image_id", "x", "y", *[half_up(F.col(c)).cast("int").alias(c) for c in ("r", "g", "b", "a")])
+    if kind == "jpeg":
+        return jpeg.to_jpeg(drawing.export(small), 0.8, images.select("image_id", F.col("new_width").alias("width"), F.col("new_height").alias("height")))
     return to_png(small, images.select("image_id", F.col("new_width").alias("width"), F.col("new_height").alias("height")))

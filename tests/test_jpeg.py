@@ -110,6 +110,23 @@ def test_files_decode_to_the_picture(spark, quality, least):
         assert len(files[0]) < 64 * 48  # far below three bytes a pixel
 
 
+def test_another_decoder_reads_the_files(spark, tmp_path):
+    from chromatile.sources import images
+
+    p = picture(50, 70, 1)
+    rows = [("one", x, y, *map(int, p[y, x]), 255) for y in range(50) for x in range(70)]
+    pixels = spark.createDataFrame(rows, "image_id string, x int, y int, r int, g int, b int, a int")
+    (tmp_path / "one.jpg").write_bytes(bytes(jpeg.to_jpeg(pixels).first().jpeg))
+    back = np.zeros((50, 70, 3))
+    for r in images.read_images(spark, str(tmp_path)).collect():
+        back[r.y, r.x] = r.r, r.g, r.b
+    assert 10 * np.log10(255**2 / ((back - p) ** 2).mean()) > 30
+    small = images.thumbnails(pixels, 32, "jpeg").first()
+    assert decode(bytes(small.jpeg)).shape == (23, 32, 3)
+    with pytest.raises(ValueError):
+        images.thumbnails(pixels, kind="gif")
+
+
 def test_missing_pixels_and_no_pictures(spark):
     cells = spark.createDataFrame([(1, x, y, None if x == 3 else 255, 255, 255) for x in range(16) for y in range(8)], "image_id int, x int, y int, r int, g int, b int")
     white = decode(bytes(jpeg.to_jpeg(cells.filter("x != 9")).first().jpeg))

@@ -94,3 +94,105 @@ def test_clusters_without_weight_attract_nothing(spark):
     assert rows[1].new_idx == rows[3].new_idx and len({r.new_idx for r in rows}) == 4
     rows = pal.refine(table([((20.0 * i, 0.0, 0.0), 0) for i in range(3)]), max_colors=2).orderBy("idx").collect()
     assert rows[0].new_idx == rows[1].new_idx != rows[2].new_idx
+
+
+def test_nearest_by_ciede2000_equals_the_column_formula(spark):
+    from chromatile.functions.color import with_ciede2000
+
+    rng = np.random.default_rng(3)
+    points = spark.createDataFrame([(int(i), int(i % 3), *map(float, rng.uniform(-60, 90, 3))) for i in range(200)] + [(900, 0, None, 1.0, 1.0)], "p long, g int, L double, a double, b double")
+    palette = spark.createDataFrame([(g, i, *map(float, rng.uniform(-60, 90, 3))) for g in range(3) for i in range(5 + g)] + [(0, 70, 1.0, 2.0, 3.0), (0, 71, 1.0, 2.0, 3.0)], "g int, idx int, L double, a double, b double")
+    got = {r.p: (r.idx, r.d) for r in pal.nearest_color(points, palette, ["g"], "ciede2000").collect()}
+    pairs = with_ciede2000(points.join(palette.select("g", "idx", *[F.col(c).alias(f"q{c}") for c in ("L", "a", "b")]), "g"), ["L", "a", "b"], ["qL", "qa", "qb"], "de")
+    want = {r.p: r.s for r in pairs.groupBy("p").agg(F.min(F.struct(F.round("de", 9).alias("d"), "idx")).alias("s")).collect()}
+    assert got.keys() == want.keys() and got[900] == (None, None)
+    for p, s in want.items():
+        assert p == 900 or (got[p][0] == s.idx and abs(got[p][1] - s.d) < 1e-8)
+
+
+def plain_refine(rows, least, most):
+    """Leader clustering and joining of the closest clusters, step by step; rows: (L, a, b, n)."""
+    clusters = []
+    mean = lambda c: [v / c["n"] for v in c["lab"]] if c["n"] else None
+    apart = lambda p, q: pal.delta(p, q) if p is not None and q is not None else math.inf
+    for i, (*lab, n) in enumerate(rows):
+        near = min(((apart(lab, mean(c)), k) for k, c in enumerate(clusters)), default=(math.inf, -1))
+        if near[0] < least:
+            c = clusters[near[1]]
+            c["lab"], c["n"] = [s + v * n for s, v in zip(c["lab"], lab)], c["n"] + n
+            c["has"].append(i)
+        else:
+            clusters.append({"lab": [v * n for v in lab], "n": n, "has": [i]})
+    while len(clusters) > most:
+        best, pair = math.inf, (0, 1)
+        for i in range(len(clusters)):
+            for j in range(i + 1, len(clusters)):
+                d = apart(mean(clusters[i]), mean(clusters[j]))
+                if d < best:
+                    best, pair = d, (i, j)
+        one, two = clusters[pair[0]], clusters.pop(pair[1])
+        one["lab"], one["n"] = [s + v for s, v in zip(one["lab"], two["lab"])], one["n"] + two["n"]
+        one["has"] += two["has"]
+    ranked = sorted(range(len(clusters)), key=lambda k: (-clusters[k]["n"], k))
+    return {i: (place, clusters[k]["n"], mean(clusters[k])) for place, k in enumerate(ranked) for i in clusters[k]["has"]}
+
+
+@pytest.mark.parametrize("least,most", [(5.0, 36), (12.0, 36), (2.0, 8), (0.0, 3)])
+def test_refined_palettes_of_the_table_equal_plain_ones(spark, least, most):
+    colors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.expr("vec_id div 40").alias("image_id"), (F.col("vec_id") % 40).cast("int").alias("idx"), (50 + 100 * F.col("embedding")[0]).cast("double").alias("L"), (200 * F.col("embedding")[1]).cast("double").alias("a"), (200 * F.col("embedding")[2]).cast("double").alias("b"), (F.col("vec_id") % 7).alias("n"))
+    images = {}
+    for r in colors.orderBy("image_id", "idx").collect():
+        images.setdefault(r.image_id, []).append((r.L, r.a, r.b, r.n))
+    got = {(r.image_id, r.idx): r for r in pal.refine(colors, least, most).collect()}
+    assert len(got) == sum(map(len, images.values()))
+    for image, rows in images.items():
+        for i, (place, n, lab) in plain_refine(rows, least, most).items():
+            r = got[image, i]
+            assert (r.new_idx, r.n) == (place, n) and ((r.L is None) if lab is None else np.allclose((r.L, r.a, r.b), lab))
+
+
+def plain_merge(areas, colors, near, least, contrast):
+    """Small regions go to their nearest neighbour by colour, one by one; areas and near are changed."""
+    into, queue = {i: i for i in areas}, deque(sorted(i for i in areas if areas[i] < least))
+    while queue:
+        i = queue.popleft()
+        if into[i] != i or areas[i] >= least or not near[i]:
+            continue
+        far = [(pal.delta(colors[i], colors[j]), k, j) for k, j in enumerate(near[i])]
+        if max(far)[0] >= contrast:
+            continue
+        j = min(far)[2]
+        areas[j] += areas[i]
+        for k in near[i]:
+            if k != j:
+                near[k] = [x for x in near[k] if x != i]
+                if j not in near[k]:
+                    near[k].append(j)
+                if k not in near[j]:
+                    near[j].append(k)
+        near[j] = [x for x in near[j] if x != i]
+        near[i], into[i] = [], j
+        if areas[j] < least:
+            queue.append(j)
+    end = lambda i: i if into[i] == i else end(into[i])
+    return {i: end(i) for i in into}
+
+
+def test_merges_of_table_images_equal_plain_ones(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_suppkey AS image_id", "l_linenumber AS n", "row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS p")
+    cells = rows.select("image_id", (F.col("p") % 20).cast("int").alias("x"), F.floor(F.col("p") / 20).cast("int").alias("y"), F.least(F.floor((F.col("n") - 1) / 2), F.lit(2)).cast("int").alias("label"))
+    found = regions.components(cells).cache()
+    nodes = regions.stats(found).select("image_id", "region_id", "area", (F.lit(50.0) + F.col("label") * 9).alias("L"), (F.col("label") * 3.0).alias("a"), F.lit(0.0).alias("b"))
+    edges = regions.adjacency(found)
+    got = {(r.image_id, r.region_id): r.into for r in regions.merge(nodes, edges, 6).collect()}
+    by, links = {}, {}
+    for r in nodes.collect():
+        by.setdefault(r.image_id, []).append(r)
+    for r in edges.orderBy("image_id", "src", "dst").collect():
+        links.setdefault(r.image_id, {}).setdefault(r.src, []).append(r.dst)
+    for image, own in by.items():
+        want = plain_merge({r.region_id: r.area for r in own}, {r.region_id: (r.L, r.a, r.b) for r in own}, {r.region_id: links[image].get(r.region_id, []) for r in own}, 6, regions.CONTRAST)
+        assert {i: got[image, i] for i in want} == want
+    final = regions.compact(found, regions.merge(nodes, edges, 6))
+    assert final.count() == found.count() and final.select("image_id", "region_id").distinct().count() == len({(k[0], v) for k, v in got.items()})
+    found.unpersist()
