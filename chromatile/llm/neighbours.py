@@ -59,7 +59,7 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(book[codes[:, m]] for m, book in enumerate(books))
 
 
-def fit(sample: np.ndarray, codebooks: int = 16, words: int = 256, rounds: int = 6, sweeps: int = 2, seed: int = 0) -> np.ndarray:
+def fit(sample: np.ndarray, codebooks: int = 32, words: int = 256, rounds: int = 4, sweeps: int = 1, seed: int = 0) -> np.ndarray:
     """Codebooks (codebooks, words, dim) for vectors ``sample`` (n, dim), n at least 1; repeatable."""
     rng = np.random.default_rng(seed)
     rest, k = sample.astype(np.float32), min(words, len(sample))
@@ -118,7 +118,7 @@ def build_index(vectors: DataFrame, books: np.ndarray, id_col: str = "vec_id", v
 MEASURES = ("inner", "euclidean")
 
 
-def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 20, measure: str = "inner", rerank: int = 100, queries_per_block: int = 16_384, rows_per_chunk: int = 32_768) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 20, measure: str = "inner", rerank: int = 400, queries_per_block: int = 16_384, rows_per_chunk: int = 32_768) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows of ``index``.
 
     Nearest by ``inner`` is the largest inner product; by ``euclidean`` the smallest distance, scored
