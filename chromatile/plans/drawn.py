@@ -68,7 +68,7 @@ def _sql_cover(source: str, keys: str, width: int, height: int) -> str:
     box = lambda a, n: f"unnest(range(greatest(0, CAST(floor(least({a}1, {a}2) - r) AS BIGINT) - 1), least({n}, CAST(ceil(greatest({a}1, {a}2) + r) AS BIGINT) + 1)))"
     return f"""bx AS (SELECT *, {box('x', width)} AS x FROM {source}), by_ AS (SELECT *, {box('y', height)} AS y FROM bx), ct AS (SELECT *, x + .5::DOUBLE AS cx, y + .5::DOUBLE AS cy, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS len FROM by_),
 tt AS (SELECT *, CASE WHEN len = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((cx - x1) * (x2 - x1) + (cy - y1) * (y2 - y1)) / len)) END AS t FROM ct),
-cv AS (SELECT DISTINCT {keys}, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM tt WHERE {_NEAR_SEGMENT})"""
+cv AS MATERIALIZED (SELECT DISTINCT {keys}, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM tt WHERE {_NEAR_SEGMENT})"""
 
 
 _LINES = f"{_POLY}, {_SMOOTH}, sg AS (SELECT a.image_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, 1.0::DOUBLE AS r FROM q2 a JOIN q2 b ON a.image_id = b.image_id AND a.region_id = b.region_id AND b.i = (a.i + 1) % a.n), {_sql_cover('sg', 'image_id', 20, 30)}"
@@ -96,7 +96,7 @@ sp AS (SELECT DISTINCT * EXCLUDE (cells, gx, gy, cw, ch, c, w, symbol, lx, ly, f
 _NUMBERS = f"{_LABEL}, {_RG}, wr AS (SELECT image_id, label_x AS lx, label_y AS ly, {SYMBOL} AS symbol, {_FONT} AS fs FROM (SELECT *, color_idx AS idx FROM rg)), {_ATLAS}, {_STAMP}"
 
 
-@query(f"""WITH {PX}, {_LINES}, {_NUMBERS}, ink AS (SELECT image_id, x, y, max(k) AS k FROM (SELECT image_id, x, y, 0 AS k FROM cv UNION ALL SELECT image_id, x, y, 51 FROM sp) GROUP BY ALL)
+@query(f"""WITH {PX}, {_LINES}, {_NUMBERS}, ink AS MATERIALIZED (SELECT image_id, x, y, max(k) AS k FROM (SELECT image_id, x, y, 0 AS k FROM cv UNION ALL SELECT image_id, x, y, 51 FROM sp) GROUP BY ALL)
 SELECT p.image_id, p.x, p.y, {', '.join(f"coalesce(k, CAST(floor({c} * (p.n * 255 // 7) / 255.0::DOUBLE + 255 * (1 - (p.n * 255 // 7) / 255.0::DOUBLE) + .5) AS INTEGER)) AS {c}" for c in 'rgb')}, 255 AS a
 FROM px p LEFT JOIN ink i ON i.image_id = p.image_id AND i.x = p.x AND i.y = p.y""")
 def drawn_export(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +167,7 @@ def brush_pixels(spark: SparkSession, sf: str) -> DataFrame:
 _TOOL = "CASE stroke % 6 WHEN 3 THEN 'eraser' WHEN 5 THEN 'fill-all' ELSE 'brush' END"
 
 
-@query(f"""WITH RECURSIVE {_MARKS}, mk AS (SELECT image_id, x, y, row_number() OVER (PARTITION BY image_id, x, y ORDER BY stroke, part) AS i, {_TOOL} AS tool, (stroke * 53 % 256)::DOUBLE AS r, (stroke * 101 % 256)::DOUBLE AS g, (stroke * 197 % 256)::DOUBLE AS b, [0.35, 0.6, 0.85, 1.0][stroke % 4 + 1]::DOUBLE AS o FROM cv),
+@query(f"""WITH RECURSIVE {_MARKS}, mk AS MATERIALIZED (SELECT image_id, x, y, row_number() OVER (PARTITION BY image_id, x, y ORDER BY stroke, part) AS i, {_TOOL} AS tool, (stroke * 53 % 256)::DOUBLE AS r, (stroke * 101 % 256)::DOUBLE AS g, (stroke * 197 % 256)::DOUBLE AS b, [0.35, 0.6, 0.85, 1.0][stroke % 4 + 1]::DOUBLE AS o FROM cv),
 ly(image_id, x, y, i, r, g, b, a) AS (SELECT DISTINCT image_id, x, y, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM mk UNION ALL
   SELECT m.image_id, m.x, m.y, m.i, {', '.join(f"CASE m.tool WHEN 'brush' THEN l.{c} * (1 - o) + o * m.{c} WHEN 'eraser' THEN l.{c} * (1 - o) ELSE l.{c} + (1 - l.a) * o * m.{c} END" for c in 'rgb')}, CASE m.tool WHEN 'eraser' THEN l.a * (1 - o) ELSE l.a * (1 - o) + o END
   FROM ly l JOIN mk m ON m.image_id = l.image_id AND m.x = l.x AND m.y = l.y AND m.i = l.i + 1)

@@ -58,7 +58,7 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("*", (F.col("p") % WIDTH).cast("int").alias("x"), F.floor(F.col("p") / WIDTH).cast("int").alias("y"))
 
 
-PX = """px AS (
+PX = """px AS MATERIALIZED (
   SELECT *, CAST(p % 20 AS INTEGER) AS x, CAST(p // 20 AS INTEGER) AS y FROM (
     SELECT CAST(l_suppkey AS VARCHAR) AS image_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS p,
       CAST(floor((l_quantity - 1) * 255 / 49 + .5) AS INTEGER) AS r, CAST(floor(l_discount * 2550 + .5) AS INTEGER) AS g, CAST(floor(l_tax * 255 / 0.08 + .5) AS INTEGER) AS b, l_linenumber AS n FROM lineitem))"""
@@ -119,7 +119,7 @@ LOG = """log AS (SELECT user_id AS project_id, row_number() OVER (PARTITION BY u
   CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'brush' END AS tool, value AS size, props FROM events)"""
 
 
-_NEAR4 = """nb AS (SELECT a.image_id, a.p, b.p AS q, a.label = b.label AS same FROM lb a JOIN (VALUES (1), (-1), (20), (-20)) d(k) ON true JOIN lb b ON b.image_id = a.image_id AND b.p = a.p + d.k AND (abs(d.k) = 20 OR a.y = b.y))"""
+_NEAR4 = """nb AS MATERIALIZED (SELECT a.image_id, a.p, b.p AS q, a.label = b.label AS same FROM lb a JOIN (VALUES (1), (-1), (20), (-20)) d(k) ON true JOIN lb b ON b.image_id = a.image_id AND b.p = a.p + d.k AND (abs(d.k) = 20 OR a.y = b.y))"""
 _REGION = f"""{_NEAR4}, reach(image_id, p, root) AS (SELECT image_id, p, p FROM lb WHERE NOT EXISTS (SELECT 1 FROM nb WHERE nb.image_id = lb.image_id AND nb.p = lb.p AND same AND q < lb.p)
   UNION SELECT nb.image_id, nb.q, reach.root FROM reach JOIN nb ON nb.image_id = reach.image_id AND nb.p = reach.p AND same),
 reg AS (SELECT s.*, dense_rank() OVER (PARTITION BY image_id ORDER BY root) - 1 AS region_id FROM lb s JOIN (SELECT image_id, p, min(root) AS root FROM reach GROUP BY ALL) r USING (image_id, p))"""
@@ -261,7 +261,7 @@ def gradient(spark: SparkSession, sf: str) -> DataFrame:
     return stencil.gradient(pixels(spark, sf).withColumn("r", F.col("r").cast("double")), "r").select("image_id", F.col("p").cast("long").alias("p"), "grad")
 
 
-_LABEL = "lb AS (SELECT image_id, p, x, y, CAST(n <= 5 AS INTEGER) AS label FROM px)"
+_LABEL = "lb AS MATERIALIZED (SELECT image_id, p, x, y, CAST(n <= 5 AS INTEGER) AS label FROM px)"
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -666,7 +666,7 @@ def label_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return regions.numbers(_grid_regions(spark, sf)).select("image_id", "region_id", "symbol", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "font_size")
 
 
-_MASK = f"q AS (SELECT image_id, x, y, label, {_NEAR.format('label')} FROM lb {_HV}), mask AS (SELECT DISTINCT image_id, x + dx AS x, y + dy AS y FROM (SELECT * FROM q WHERE l != label OR r_ != label OR u != label OR d != label), (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))"
+_MASK = f"q AS (SELECT image_id, x, y, label, {_NEAR.format('label')} FROM lb {_HV}), mask AS MATERIALIZED (SELECT DISTINCT image_id, x + dx AS x, y + dy AS y FROM (SELECT * FROM q WHERE l != label OR r_ != label OR u != label OR d != label), (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))"
 
 
 def _mask(spark: SparkSession, sf: str) -> DataFrame:
@@ -797,6 +797,9 @@ def finish_for_me(spark: SparkSession, sf: str) -> DataFrame:
     return paint.finish(log(spark, sf).select("project_id", "seq", "tool"))
 
 
-@query("SELECT * FROM (VALUES {}) v(place, id, title, category, difficulty, minutes)".format(", ".join(f"({k}, '{i}', '{t}', '{c}', '{d}', {m})" for k, (i, t, c, d, m) in enumerate(catalog.ROWS))))
+@query("""WITH v AS (SELECT * FROM (VALUES {}) v(place, id, title, category, difficulty, minutes)), o AS (SELECT o_custkey % 19 AS place, count(*) AS projects, max(o_orderdate) AS latest FROM orders GROUP BY 1)
+SELECT v.*, coalesce(projects, 0) AS projects, latest FROM v LEFT JOIN o USING (place)""".format(", ".join(f"({k}, '{i}', '{t}', '{c}', '{d}', {m})" for k, (i, t, c, d, m) in enumerate(catalog.ROWS))))
 def catalog_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.artworks(spark)
+    """The catalog, with how many projects (orders, by customer) were begun from each picture and when the latest one was."""
+    begun = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 19).cast("int").alias("place")).agg(F.count(F.lit(1)).alias("projects"), F.max("o_orderdate").alias("latest"))
+    return catalog.artworks(spark).join(begun, "place", "left").na.fill(0, ["projects"])
