@@ -102,7 +102,8 @@ def unzipped(data: bytes) -> bytes:
 def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, bytes], bytes]]:
     """(offset, header fields, network document) of each record of an archive.
 
-    A version block (``filedesc://``) names the version and the fields of the records after it.
+    A version block (``filedesc://``) names the version and the fields of the records after it; it is given
+    as a record of its own, with the field ``Version``.
     Fields are taken from the right, so that a stray space in a URL does no harm. A record whose
     declared length goes beyond the end raises ValueError.
     """
@@ -120,6 +121,7 @@ def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, bytes], bytes]]:
         if line.startswith(b"filedesc://"):
             version, named = body.split(b"\n")[:2]
             names = named.decode().split() or ARC_FIELDS[int(version.split()[0])]
+            yield at, dict(zip(ARC_FIELDS[1], line.split(b" "), strict=False)) | {"Version": version}, body
         else:
             values = line.rsplit(b" ", len(names) - 1)
             yield at, dict(zip(names, values, strict=True)), body
@@ -139,7 +141,7 @@ def _page_id(head: bytes) -> int | None:
     return int(found[1]) if found else None
 
 
-_ARC_ROW = "row string, page_id long, url string, ip string, date string, head string, payload_bytes long, payload_digest string, head_digest string, block_digest string"
+_ARC_ROW = "row string, kind string, page_id long, url string, ip string, date string, content_type string, head string, payload_bytes long, payload_digest string, head_digest string, block_digest string"
 
 
 #: Names of archives; others in a folder are left alone.
@@ -151,16 +153,24 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """A row per record of the archives under ``path``; ``row`` (file and offset) is its name."""
+    """A row per record of the archives under ``path``; ``row`` (file and offset) is its name.
+
+    Its ``kind`` is ``warcinfo`` for a version block, whose payload says what archive it was, ``response``
+    for an HTTP document, else ``resource``.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 name = batch.column(0)[i].as_py().rsplit("/", 1)[1]
-                out: list[list] = [[] for _ in range(10 + with_payload)]
+                out: list[list] = [[] for _ in range(12 + with_payload)]
                 for offset, fields, body in arc_records(unzipped(batch.column(1)[i].as_py())):
-                    head, payload = _http(body)
-                    row = [f"{name}:{offset}".encode(), _page_id(head), fields["URL"], fields["IP-address"], fields["Archive-date"], head, len(payload), base32_sha1(payload).encode(), base32_sha1(head).encode(), base32_sha1(body).encode(), payload]
+                    version = fields.get("Version")
+                    if version is not None:
+                        body = b"software: chromatile\r\nformat: WARC File Format 1.1\r\nisPartOf: %s\r\ndescription: from an ARC archive, version block %s\r\n" % (name.encode(), version)
+                    head, payload = (b"", body) if version is not None else _http(body)
+                    kind = b"warcinfo" if version is not None else b"response" if head else b"resource"
+                    row = [f"{name}:{offset}".encode(), kind, _page_id(head), fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], head, len(payload), base32_sha1(payload).encode(), base32_sha1(head).encode(), base32_sha1(body).encode(), payload]
                     for column, x in zip(out, row, strict=False):
                         column.append(x)
                 names = [x.split()[0] for x in _ARC_ROW.split(", ")] + ["payload"] * with_payload
@@ -199,7 +209,7 @@ def _in_chunks(values: DataFrame, chunk_bytes: int) -> DataFrame:
     return values.mapInArrow(run, "value string")
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0, chunk_bytes: int = 32 << 20) -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0, chunk_bytes: int = 32 << 20, broadcast_rows: int = 200_000) -> None:
     """Convert the ARC archives under ``arc_path`` to gzipped WARC archives under ``warc_path``.
 
     An archive holds about ``chunk_bytes`` bytes of records; a larger record makes a larger one.
@@ -207,25 +217,28 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
     Of records with equal payloads of at least ``min_bytes`` bytes, the one with the largest page id
     (null ids first; ties by name) becomes a response, the others revisit it: they keep the HTTP
     headers and the digest of the payload, and name the response. The winners are found on slim
-    rows, pre-aggregated; payloads are shuffled once.
+    rows, pre-aggregated. Up to ``broadcast_rows`` digests that repeat are broadcast, and no payload is shuffled; beyond
+    that payloads are shuffled once. Documents that are no HTTP responses become resources and revisit
+    nothing; a version block becomes a warcinfo record.
     """
-    slim = read_arc(spark, arc_path, with_payload=False).filter(F.col("payload_bytes") >= min_bytes)
+    slim = read_arc(spark, arc_path, with_payload=False).filter((F.col("kind") == "response") & (F.col("payload_bytes") >= min_bytes))
     first = slim.groupBy("payload_digest").agg(F.max(F.struct("page_id", "row", "url", "date")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     first = materialise(first, "first")  # with an exchange of its own, so that a payload of many pages is split in the join
-    rows = read_arc(spark, arc_path).join(first, "payload_digest", "left")
+    rows = read_arc(spark, arc_path).join(F.broadcast(first) if first.count() <= broadcast_rows else first, "payload_digest", "left")
     iso = lambda d: F.date_format(F.to_timestamp(F.rpad(d, 14, "0"), "yyyyMMddHHmmss"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    again = (F.col("payload_bytes") >= min_bytes) & F.col("_first").isNotNull() & (F.col("row") != F.col("_first.row"))
+    again = (F.col("kind") == "response") & (F.col("payload_bytes") >= min_bytes) & F.col("_first").isNotNull() & (F.col("row") != F.col("_first.row"))
     again = F.coalesce(again, F.lit(False))
     block = F.concat("head", F.when(again, F.lit("")).otherwise(F.col("payload")))
+    info = F.col("kind") == "warcinfo"
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(again, "revisit").otherwise("response")),
+        line("WARC-Type", F.when(again, "revisit").otherwise(F.col("kind"))),
         line("WARC-Record-ID", _urn(F.col("row"))),
         line("WARC-Date", iso(F.col("date"))),
-        line("WARC-Target-URI", F.col("url")),
-        F.when(F.col("ip") != "0.0.0.0", line("WARC-IP-Address", F.col("ip"))).otherwise(F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
+        F.when(info, line("WARC-Filename", F.regexp_replace("url", "^filedesc://", ""))).otherwise(line("WARC-Target-URI", F.col("url"))),
+        F.when(~info & (F.col("ip") != "0.0.0.0"), line("WARC-IP-Address", F.col("ip"))).otherwise(F.lit("")),
+        F.when(info, F.lit("")).otherwise(line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest"))),
         line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.when(again, F.col("head_digest")).otherwise(F.col("block_digest")))),
         F.when(
             again,
@@ -236,7 +249,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
                 line("WARC-Refers-To-Date", iso(F.col("_first.date"))),
             ),
         ).otherwise(F.lit("")),
-        line("Content-Type", F.when(F.col("head") == "", "application/octet-stream").otherwise("application/http; msgtype=response")),
+        line("Content-Type", F.when(info, "application/warc-fields").when(F.col("kind") == "response", "application/http; msgtype=response").otherwise(F.col("content_type"))),
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
@@ -265,9 +278,9 @@ _WARC_ROW = "record_id string, record_type string, target_uri string, date strin
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """A row per response or revisit record of the archives under ``path``.
+    """A row per response, resource or revisit record of the archives under ``path``.
 
-    A response's length and digest are those of the payload read; a digest that differs from the
+    A response's or resource's length and digest are those of the payload read; a digest that differs from the
     declared one raises ValueError. A revisit's are what its headers declare.
     """
 
@@ -276,9 +289,9 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
             for content in batch.column(1):
                 out: list[list] = [[] for _ in range(8 + with_payload)]
                 for h, block in warc_records(unzipped(content.as_py())):
-                    if h["warc-type"] not in ("response", "revisit"):
+                    if h["warc-type"] not in ("response", "resource", "revisit"):
                         continue
-                    head, payload = _http(block)
+                    head, payload = _http(block) if h["warc-type"] != "resource" else (b"", block)
                     size, digest = len(payload), h.get("warc-payload-digest", "").removeprefix("sha1:")
                     if h["warc-type"] == "revisit":
                         found = re.search(rb"(?im)^Content-Length:\s*(\d+)", head)
