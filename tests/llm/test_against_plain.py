@@ -138,6 +138,28 @@ def test_archives_against_plain_python(spark):
     assert got == by_hand([(i, (h or "").encode()) for i, _, h in pages])
 
 
+def test_version_blocks_documents_without_http_and_binary_payloads(spark, tmp_path):
+    (tmp_path / "arc").mkdir()
+    raw = bytes(range(256)) * 3 + b"\xe9t\xe9 latin\r\n\r\n"
+    records = [(b"dns:h", b"text/dns", b"20200102030405\nh. 3600 IN A 1.2.3.4\n"), (b"http://a", b"text/html", b"HTTP/1.1 200 OK\r\nX-Page-Id: 1\r\n\r\n" + raw), (b"http://b", b"image/x", b"HTTP/1.1 200 OK\r\nX-Page-Id: 2\r\n\r\n" + raw), (b"ftp://c", b"application/x", raw), (b"dns:h", b"text/dns", b"20200102030405\nh. 3600 IN A 1.2.3.4\n")]
+    data = warc._arc_block(1, "x.arc", "20200102030405")
+    for url, kind, body in records:
+        data += b"\n%s 1.2.3.4 20200102030405 %s %d\n" % (url, kind, len(body)) + body
+    (tmp_path / "arc" / "x.arc").write_bytes(data)
+    for limit in (0, 200_000):
+        out = f"{tmp_path}/warc{limit}"
+        warc.convert(spark, f"{tmp_path}/arc", out, broadcast_rows=limit)
+        rows = sorted((r.target_uri, r.record_type, r.page_id, bytes(r.payload)) for r in warc.read_warc(spark, out, with_payload=True).collect())
+        dns = ("dns:h", "resource", None, records[0][2])
+        assert rows == [dns, dns, ("ftp://c", "resource", None, raw), ("http://a", "revisit", 1, b""), ("http://b", "response", 2, raw)]
+        whole = b"".join(warc.unzipped(f.read_bytes()) for f in pathlib.Path(out).glob("*.gz"))
+        kinds = Counter(h["warc-type"] for h, _ in warc.warc_records(whole))
+        assert kinds == {"warcinfo": 1, "resource": 3, "response": 1, "revisit": 1}
+        info = next((h, b) for h, b in warc.warc_records(whole) if h["warc-type"] == "warcinfo")
+        assert info[0]["content-type"] == "application/warc-fields" and info[0]["warc-filename"] == "x.arc" and b"isPartOf: x.arc" in info[1] and "warc-payload-digest" not in info[0]
+        assert {h["content-type"] for h, _ in warc.warc_records(whole) if h["warc-type"] == "resource"} == {"text/dns", "application/x"}
+
+
 def test_archives_that_are_not_zipped_and_of_either_version(spark, tmp_path):
     (tmp_path / "arc").mkdir()
     for version in (1, 2):
@@ -149,7 +171,7 @@ def test_archives_that_are_not_zipped_and_of_either_version(spark, tmp_path):
     warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc", chunk_bytes=1)
     rows = warc.read_warc(spark, f"{tmp_path}/warc", with_payload=True).collect()
     assert {(r.target_uri, r.date, bytes(r.payload), r.record_type) for r in rows} == {(f"http://v{v}", "2020-01-02T03:04:05Z", f"page {v}".encode(), "response") for v in (1, 2)}
-    assert len([f for f in pathlib.Path(f"{tmp_path}/warc").glob("*.gz")]) == 2  # a record is larger than a chunk
+    assert len([f for f in pathlib.Path(f"{tmp_path}/warc").glob("*.gz")]) == 4  # a record, version blocks included, is larger than a chunk
 
 
 def best_fit(histogram):
