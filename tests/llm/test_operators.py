@@ -39,7 +39,9 @@ def test_exact_dedup(docs, nothing):
     assert len(rows) == 16 and sum(r.kept for r in rows) == len({r.text_sha256 for r in rows})
     assert {r.group_size for r in rows if r.keep_id == 0} == {4} and {r.group_size for r in rows if r.keep_id == 4} == {3}
     assert exact_dedup.drop_copies(docs).count() == sum(r.kept for r in rows) and exact_dedup.drop_copies(docs).columns == docs.columns
-    for limit in (1, 8, 64 << 20):  # rounds over ranges of digests
+    once = exact_dedup.drop_copies(docs, broadcast_limit=1, broadcast_rows=0)
+    assert sorted(str(r.doc_id) for r in once.collect()) == sorted(str(r.doc_id) for r in rows if r.kept)
+    for limit in (12, 64 << 20):  # rounds over ranges of digests
         assert sorted(map(str, exact_dedup.find_copies(docs, broadcast_limit=limit).collect())) == sorted(map(str, rows))
         for few in (0, 1_000_000):
             stay = exact_dedup.drop_copies(docs, broadcast_limit=limit, broadcast_rows=few)
