@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sample_by_hash
+from ._common import freeing, sample_by_hash
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -213,4 +213,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
 
     flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema) + f", `{lang_col}` string, `{score_col}` double"
-    return flat.mapInArrow(apply, schema).toDF(*docs.columns, lang_col, score_col)
+    return flat.mapInArrow(freeing(apply), schema).toDF(*docs.columns, lang_col, score_col)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, materialise
+from ._common import discard, freeing, materialise
 
 WORDS = 5
 SIMILARITY = 75  # percent
@@ -167,7 +167,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) ->
             yield pa.RecordBatch.from_arrays([pa.nulls(len(own), kind), *(pa.nulls(len(own), t) for t in (pa.int64(), pa.int64(), pa.binary())), pa.array(own, pa.int32()), pa.array([zlib.compress(np.minimum(blocks[b], 65_535).astype(np.uint16).tobytes(), 1) for b in own], pa.binary())], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"_id {kind}, _key long, _n long, _bits binary, _block int, _counts binary")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(freeing(run), f"_id {kind}, _key long, _n long, _bits binary, _block int, _counts binary")
 
 
 def frequent(described: DataFrame, deviations: float = 6.0, least: int = 20) -> bytes:
@@ -188,7 +188,7 @@ def frequent(described: DataFrame, deviations: float = 6.0, least: int = 20) ->
         found = {b: np.packbits(c > limit).tobytes() for b, c in sums.items() if (c > limit).any()}
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.binary())], ["block", "bits"])
 
-    rows = described.filter("_block IS NOT NULL").select("_block", "_counts").repartition("_block").mapInArrow(add, "block int, bits binary").collect()
+    rows = described.filter("_block IS NOT NULL").select("_block", "_counts").repartition("_block").mapInArrow(freeing(add), "block int, bits binary").collect()
     table = np.zeros((COUNTERS // _COUNTERS_PER_ROW, _COUNTERS_PER_ROW // 8), np.uint8)
     for row in rows:
         table[row["block"]] = np.frombuffer(row["bits"], np.uint8)
@@ -223,7 +223,7 @@ def prefixes(docs: DataFrame, text_col: str, often: bytes, words: int = WORDS, p
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rare, pa.int64()), lists], ["_key", "_n", "_rare", "_tokens"])
 
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "_key long, _n long, _rare long, _tokens array<long>")
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(freeing(run), "_key long, _n long, _rare long, _tokens array<long>")
     return found.select("_key", "_n", "_rare", F.posexplode("_tokens").alias("_place", "_token")).select("_key", "_n", "_token", F.floor(F.col("_place") * PARTS / F.col("_n")).cast("int").alias("_at"), (F.col("_place") >= F.col("_rare")).alias("_often"))
 
 
@@ -293,7 +293,7 @@ def possible(pairs: DataFrame, bits: DataFrame, percent: int = SIMILARITY) -> Da
 
     side = lambda c: bits.select(F.col("_key").alias(f"_{c}"), F.col("_n").alias(f"_n{c}"), F.col("_bits").alias(f"_b{c}"))
     both = pairs.join(side("y"), "_y").join(side("x"), "_x").filter(_fits(F.col("_nx"), F.col("_ny"), percent))
-    return both.select("_x", "_y", "_nx", "_ny", "_bx", "_by").mapInArrow(run, "_x long, _y long")
+    return both.select("_x", "_y", "_nx", "_ny", "_bx", "_by").mapInArrow(freeing(run), "_x long, _y long")
 
 
 def tiles(members: DataFrame, percent: int = SIMILARITY) -> DataFrame:
@@ -399,7 +399,7 @@ def hopeful(dealt: DataFrame, bits: DataFrame, percent: int = SIMILARITY, most:
 
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.struct([("differ", pa.int64()), ("key", pa.int64())])), pa.bool_())
     rows = dealt.join(bits.select("_key", "_bits"), "_key").select(*_TILE_COLUMNS, "_bits")
-    return _in_tiles(rows).mapInArrow(run, f"{_TILE}, _near array<struct<differ: long, key: long>>, _more boolean")
+    return _in_tiles(rows).mapInArrow(freeing(run), f"{_TILE}, _near array<struct<differ: long, key: long>>, _more boolean")
 
 
 def _pairs(a: str, b: str) -> list[Column]:
@@ -449,7 +449,7 @@ def tile_links(rows: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> D
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["_x", "_y"])
 
-    return _in_tiles(rows.join(sets, "_key").select(*_TILE_COLUMNS, "_set")).mapInArrow(run, "_x long, _y long")
+    return _in_tiles(rows.join(sets, "_key").select(*_TILE_COLUMNS, "_set")).mapInArrow(freeing(run), "_x long, _y long")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -479,7 +479,7 @@ def class_sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, id_col: str
                 seen.update(new)
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([found[k] for k in new], pa.binary())], ["_key", "_set"])
 
-    arrays = texts.select("_text").mapInArrow(sets, "_key long, _set binary").join(of("_key"), "_key", "left_semi")
+    arrays = texts.select("_text").mapInArrow(freeing(sets), "_key long, _set binary").join(of("_key"), "_key", "left_semi")
     return materialise(arrays, "sets")
 
 
@@ -492,7 +492,7 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["_x", "_y"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: sets.select(F.col("_key").alias(f"_{c}"), F.col("_set").alias(f"_s{c}"))
-    return pairs.join(side("y"), "_y").join(side("x"), "_x").select("_x", "_y", "_sx", "_sy").mapInArrow(decide, "_x long, _y long")
+    return pairs.join(side("y"), "_y").join(side("x"), "_x").select("_x", "_y", "_sx", "_sy").mapInArrow(freeing(decide), "_x long, _y long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, power_of_two, running_sum
+from ._common import freeing, materialise, power_of_two, release, running_sum
 
 # Fixed value: how byte-level BPE splits a text before it merges where its file names no pattern (as published).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -90,6 +90,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, added=True)
+        release()  # what reading the file took
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 keys, cols = [], [[] for _ in range(5)]
@@ -110,7 +111,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
     schema = f"key {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(cut, schema).withColumnRenamed("key", id_col)
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(freeing(cut), schema).withColumnRenamed("key", id_col)
 
 
 def patterns_of(capacity: int, present: np.ndarray) -> np.ndarray:
