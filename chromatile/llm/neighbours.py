@@ -1,11 +1,12 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation.
 
-A vector is the sum of one codeword from each of several codebooks, all of full dimension. Codebooks
+A direction is the sum of one codeword from each of several codebooks, all of full dimension. Codebooks
 start as k-means of residuals and are refined together on a bounded sample; encoding is a beam search
 over the codebooks. Every row is indexed. Queries in blocks meet rows in chunks, where scores are read
-from look-up tables by the stored codes (and, for distances, the stored norms of the decoded
-vectors). Of what all chunks offer, a fixed number of rows a query, the best by these scores, is
-reranked on the original vectors.
+from look-up tables by the stored codes and norms. What the codes leave over is stored too, so that
+they also bound each score from above: the rows best by codes are scored on the original vectors,
+then all others whose bound reaches the k-th best of these. So nothing is missed, whatever the
+rows are; rows that the codes describe badly only cost time.
 """
 
 from __future__ import annotations
@@ -36,6 +37,14 @@ def _stored(vectors: DataFrame, vector_col: str) -> Column:
     return F.col(vector_col).cast("array<float>" if own == "array<float>" else "array<double>")
 
 
+def _directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1, and the lengths, of vectors x (n, dim) without zero vectors; in double precision."""
+    top = np.abs(x).max(axis=1, keepdims=True).astype(float)
+    x = x / top  # squares of very large or small components would not fit
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / length, (length * top)[:, 0]
+
+
 def encode(x: np.ndarray, books: np.ndarray, beam: int = 4) -> np.ndarray:
     """Codes (n, number of codebooks) of vectors x (n, dim) by beam search."""
     n = len(x)
@@ -93,100 +102,140 @@ def _recentre(book: np.ndarray, points: np.ndarray, at: np.ndarray) -> None:
 
 
 def train(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 8192, **options) -> np.ndarray | None:
-    """Fit the codebooks on ``sample_rows`` usable rows, chosen by a hash of id and vector; None without any."""
-    rows = vectors.filter(usable(F.col(vector_col))).select(F.col(vector_col).cast("array<float>").alias("v"), F.xxhash64(id_col, vector_col).alias("h"))
+    """Fit the codebooks on the directions of ``sample_rows`` usable rows, chosen by a hash of id and vector; None without any."""
+    rows = vectors.filter(usable(F.col(vector_col))).select(_stored(vectors, vector_col).alias("v"), F.xxhash64(id_col, vector_col).alias("h"))
     got = rows.orderBy("h").limit(sample_rows).select("v").collect()
-    return fit(np.array([r["v"] for r in got], np.float32), **options) if got else None
+    return fit(_directions(np.array([r["v"] for r in got], float))[0].astype(np.float32), **options) if got else None
+
+
+def _norms(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> pa.StructArray:
+    """NORMS of vectors x (n, dim) with these codes."""
+    unit, length = _directions(x)
+    decoded = sum(book[codes[:, m]].astype(float) for m, book in enumerate(books))
+    size = np.sqrt((decoded * decoded).sum(axis=1))
+    size[size == 0] = 1
+    decoded /= size[:, None]
+    along = (unit * decoded).sum(axis=1)
+    across = np.sqrt(((unit - along[:, None] * decoded) ** 2).sum(axis=1))
+    return pa.StructArray.from_arrays([pa.array(length)] + [pa.array(a.astype(np.float32)) for a in (size, along, across)], ["length", "decoded", "along", "across"])
+
+
+#: Of a row: its length, the length of what its codes decode to, and the parts of its direction along that and across it.
+NORMS = "struct<length: double, decoded: float, along: float, across: float>"
 
 
 def build_index(vectors: DataFrame, books: np.ndarray, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = 4) -> DataFrame:
-    """Every usable row: _id, _vector (float or double, as it came), _codes, _norm (squared, of the decoded vector)."""
+    """Every usable row: _id, _vector (float or double, as it came), _codes (of its direction), _norm (``NORMS``)."""
     dim = books.shape[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                codes = encode(_matrix(part.column(1), dim), books, beam)
-                norms = (decode(codes, books) ** 2).sum(axis=1, dtype=np.float32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["_id", "_vector", "_codes", "_norm"])
+                x = _matrix(part.column(1), dim, float)
+                codes = encode(_directions(x)[0].astype(np.float32), books, beam)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), _norms(x, codes, books)], ["_id", "_vector", "_codes", "_norm"])
 
     rows = vectors.filter(usable(F.col(vector_col))).select(F.col(id_col).cast("long"), _stored(vectors, vector_col).alias("_v"))
-    return rows.mapInArrow(run, f"_id long, _vector {rows.schema['_v'].dataType.simpleString()}, _codes binary, _norm float")
+    return rows.mapInArrow(run, f"_id long, _vector {rows.schema['_v'].dataType.simpleString()}, _codes binary, _norm {NORMS}")
 
 
 MEASURES = ("inner", "euclidean")
 
 
+def _chunk(held: pa.Table, books: np.ndarray) -> dict[str, np.ndarray]:
+    """The rows of one chunk as arrays; ``slack`` is what the rounding of a score from the tables may add to a cosine."""
+    dim = books.shape[2]
+    chunk = {name: held["_norm"].combine_chunks().field(name).to_numpy(zero_copy_only=False) for name in ("length", "decoded", "along", "across")}
+    chunk["ids"] = held["_id"].to_numpy()
+    chunk["vectors"] = _matrix(held["_vector"].combine_chunks(), dim, None)
+    codes = chunk["codes"] = np.frombuffer(b"".join(held["_codes"].to_pylist()), np.uint8).reshape(held.num_rows, len(books)).T.copy()
+    words = sum(np.sqrt((book.astype(float) ** 2).sum(axis=1))[codes[m]] for m, book in enumerate(books))
+    chunk["slack"] = ((dim + len(books) + 8) * 2.0**-24 * words / chunk["decoded"]).astype(np.float32)
+    return chunk
+
+
+def _from_codes(units: np.ndarray, sizes: np.ndarray, chunk: dict[str, np.ndarray], books: np.ndarray, euclidean: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of queries (directions, lengths) with the rows of a chunk as their codes have them, and upper bounds of the true ones.
+
+    With an angle t between query and decoded row, and e between row and decoded row, the cosine of query and row is at most cos(t - e).
+    """
+    cosine = np.zeros((len(units), len(chunk["ids"])), np.float32)
+    for m, book in enumerate(books):
+        cosine += np.take(units @ book.T, chunk["codes"][m], axis=1)
+    cosine /= chunk["decoded"]
+    guess = cosine * chunk["along"]
+    cosine += chunk["slack"]
+    bound = np.sqrt(np.maximum((1 - cosine) * (1 + cosine), 0)) * chunk["across"] + cosine * chunk["along"]
+    bound[cosine >= chunk["along"]] = 1
+    bound += np.float32(1e-6)
+    size, length = sizes[:, None], chunk["length"]
+    if not euclidean:
+        return guess * length, size * (bound * length)
+    rounded = 1e-14 * (size * size + length * length)
+    return 2 * size * (guess * length) - length * length, 2 * size * (bound * length) - length * length - size * size + rounded
+
+
+def _exact(q: np.ndarray, x: np.ndarray, euclidean: bool) -> np.ndarray:
+    """Scores of q with the rows of x in double precision: products are summed row by row, alike in every row."""
+    terms = np.ascontiguousarray((q - x.astype(float)) ** 2 if euclidean else q * x.astype(float))
+    return (-1.0 if euclidean else 1.0) * terms.sum(axis=1)
+
+
 def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 20, measure: str = "inner", rerank: int = 400, queries_per_block: int = 16_384, rows_per_chunk: int = 32_768) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows of ``index``.
 
     Nearest by ``inner`` is the largest inner product; by ``euclidean`` the smallest distance, scored
-    as its negative square (only this reads the stored norms).
+    as its negative square.
 
     queries: _id, _vector. A row is no neighbour of queries with its own id. Of rows with equal
     vectors only the k + 1 with the smallest ids can be among the nearest, so the others are not
-    scored. Each chunk offers the ``rerank`` rows (at least k) of the best scores by codes, equal ones by id; the best
-    ``rerank`` of all chunks are scored exactly, in double precision and one order of components, so
-    that equal vectors score alike. Blocks and chunks have bounded sizes; all of them meet, so the work is
-    queries times rows, and a row's codes are shuffled once for every ``queries_per_block`` queries.
+    scored. In each chunk the ``rerank`` rows (at least k) of the best scores by codes are scored exactly, then all
+    rows whose bound by codes reaches the k-th best of them; the chunk offers its best k, equal ones by id. Exact scores
+    are in double precision and one order of components, so that equal vectors score alike. Blocks and chunks
+    have bounded sizes (of long vectors they hold fewer); all of them meet, so the work is
+    queries times rows, and a row is shuffled once for every ``queries_per_block`` queries.
     """
     if measure not in MEASURES:
         raise ValueError(f"measure {measure!r} is none of {MEASURES}")
-    euclidean, rerank = measure == "euclidean", max(rerank, k)
+    euclidean, rerank, dim = measure == "euclidean", max(rerank, k), books.shape[2]
+    queries_per_block, rows_per_chunk = (max(1, min(n, (1 << 23) // dim)) for n in (queries_per_block, rows_per_chunk))
     copies = Window.partitionBy("_vector").orderBy("_id")
-    rows = materialise(index.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).drop("_copy").withColumn("_row", F.monotonically_increasing_id()), "index")
+    rows = materialise(index.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).drop("_copy"), "index")
     queries = materialise(queries.withColumn("_ask", F.monotonically_increasing_id()), "queries")
     blocks, chunks = max(1, -(-queries.count() // queries_per_block)), max(1, -(-rows.count() // rows_per_chunk))
     deal = lambda n: F.pmod(F.xxhash64("_id", "_vector"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select(deal(blocks).alias("_block"), every(chunks).alias("_chunk"), "_ask", "_id", "_vector")
-    right = rows.select(every(blocks).alias("_block"), deal(chunks).alias("_chunk"), "_row", "_id", "_codes", "_norm")
-    dim = books.shape[2]
+    right = rows.select(every(blocks).alias("_block"), deal(chunks).alias("_chunk"), "_id", "_vector", "_codes", "_norm")
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
+        out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
         if asked.num_rows and held.num_rows:
-            ids, numbers, norms = (held[c].to_numpy() for c in ("_id", "_row", "_norm"))
-            codes = np.frombuffer(b"".join(held["_codes"].to_pylist()), np.uint8).reshape(len(ids), len(books)).T.copy()
-            names, points = asked["_ask"].to_numpy(), _matrix(asked["_vector"].combine_chunks(), dim)
-            own_ids = asked["_id"].to_numpy()
-            step = max(1, (1 << 22) // len(ids))
+            chunk = _chunk(held, books)
+            ids, vectors = chunk["ids"], chunk["vectors"]
+            points = _matrix(asked["_vector"].combine_chunks(), dim, float)
+            units, sizes = _directions(points)
+            units, names, own_ids = units.astype(np.float32), asked["_ask"].to_numpy(), asked["_id"].to_numpy()
+            step, first = max(1, (1 << 20) // len(ids)), min(rerank + 1, len(ids))
             for at in range(0, len(names), step):
-                q = points[at : at + step]
-                scores = np.tile(-norms / 2, (len(q), 1)) if euclidean else np.zeros((len(q), len(ids)), np.float32)
-                for m, book in enumerate(books):
-                    scores += np.take(q @ book.T, codes[m], axis=1)
-                n = min(rerank + 1, len(ids))
-                least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
-                for row, (name, own) in enumerate(zip(names[at : at + step], own_ids[at : at + step], strict=True)):
-                    near = np.flatnonzero(scores[row] >= least[row])  # with all that tie
-                    near = near[ids[near] != own]
-                    top = near[np.lexsort((ids[near], -scores[row, near]))[:rerank]]
-                    out[0].append(np.full(len(top), name))
-                    out[1].append(numbers[top])
-                    out[2].append(ids[top])
-                    out[3].append(scores[row, top])
-        arrays = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table({**{c: pa.array(a.astype(np.int64)) for c, a in zip(("_ask", "_row", "_id"), arrays, strict=False)}, "_near": pa.array(arrays[3].astype(np.float32))})
-
-    offered = left.groupBy("_block", "_chunk").cogroup(right.groupBy("_block", "_chunk")).applyInArrow(run, "_ask long, _row long, _id long, _near float")
-    place = F.row_number().over(Window.partitionBy("_ask").orderBy(F.col("_near").desc(), "_id"))
-    chosen = offered.withColumn("_place", place).filter(F.col("_place") <= rerank).select("_ask", "_row")
-    pairs = chosen.join(rows.select("_row", "_id", "_vector"), "_row").join(queries.select("_ask", F.col("_id").alias("_query"), F.col("_vector").alias("_point")), "_ask")
-    scored = pairs.select("_ask", "_query", "_id", "_point", "_vector").mapInArrow(lambda batches: _exact(batches, dim, euclidean), "_ask long, query_id long, vec_id long, score double")
+                guess, bound = _from_codes(units[at : at + step], sizes[at : at + step], chunk, books, euclidean)
+                for row, (q, name, own) in enumerate(zip(points[at : at + step], names[at : at + step], own_ids[at : at + step], strict=True)):
+                    best = np.argpartition(guess[row], len(ids) - first)[len(ids) - first :]
+                    best = best[ids[best] != own]
+                    score = _exact(q, vectors[best], euclidean)
+                    least = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else -np.inf
+                    bound[row, best] = np.nan  # done
+                    more = np.flatnonzero(bound[row] >= least)
+                    more = more[ids[more] != own]
+                    best, score = np.concatenate([best, more]), np.concatenate([score, _exact(q, vectors[more], euclidean)])
+                    top = np.lexsort((ids[best], -score))[:k]
+                    out.append((np.full(len(top), name), np.full(len(top), own), ids[best[top]], score[top]))
+        return pa.table({c: pa.array(np.concatenate(a)) for c, a in zip(("_ask", "query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+
+    offered = left.groupBy("_block", "_chunk").cogroup(right.groupBy("_block", "_chunk")).applyInArrow(run, "_ask long, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("_ask").orderBy(F.col("score").desc(), "vec_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _exact(batches: Iterator[pa.RecordBatch], dim: int, euclidean: bool) -> Iterator[pa.RecordBatch]:
-    """Scores of pairs (_ask, _query, _id, _point, _vector) in double precision: products are summed row by row, alike in every row."""
-    for batch in batches:
-        if batch.num_rows:
-            q, x = (_matrix(batch.column(c), dim, float) for c in (3, 4))
-            terms = np.ascontiguousarray((q - x) ** 2 if euclidean else q * x)
-            score = (-1.0 if euclidean else 1.0) * terms.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], ["_ask", "query_id", "vec_id", "score"])
+    return offered.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, **options) -> DataFrame:

@@ -260,6 +260,36 @@ def test_few_are_reranked_and_recall_is_from_the_codes(spark, measure):
     index.unpersist()
 
 
+def _other_vectors(kind):
+    rng = np.random.default_rng(31)
+    points = rng.normal(size=(3000, 24))
+    if kind == "lengths":
+        return points * (1 + rng.pareto(0.7, size=(3000, 1)))
+    if kind == "huge":
+        return points * 1e20
+    if kind == "tiny":
+        return points * 1e-30
+    if kind == "rare":  # tight groups of which the sample may hold little, far from the rest
+        return np.where(rng.random((3000, 1)) < 0.1, 5 * rng.normal(size=24) + 1e-3 * points, points / 8)
+    return rng.normal(size=24) + 1e-4 * points
+
+
+@pytest.mark.parametrize("measure", neighbours.MEASURES)
+@pytest.mark.parametrize("kind", ["lengths", "huge", "tiny", "rare", "tight"])
+def test_no_neighbour_is_missed_whatever_the_rows_are(spark, kind, measure):
+    points = _other_vectors(kind).astype(np.float32)
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    books = neighbours.train(rows, sample_rows=300, codebooks=4)
+    index = neighbours.build_index(rows, books)
+    queries = index.filter("_id % 100 = 0").select("_id", "_vector")
+    got = neighbours.search(index, queries, books, 20, measure, 25, queries_per_block=16, rows_per_chunk=900).collect()
+    exact = points.astype(float)
+    for q in range(0, 3000, 100):
+        score = (exact * exact[q]).sum(axis=1) if measure == "inner" else -((exact - exact[q]) ** 2).sum(axis=1)
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [(r.vec_id, r.score) for r in own] == [(i, score[i]) for i in np.lexsort((np.arange(3000), -score)) if i != q][:20]
+
+
 def test_equal_vectors_of_different_chunks_tie_by_id(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 24)).astype(np.float32)
