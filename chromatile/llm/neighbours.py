@@ -115,7 +115,7 @@ def _norms(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> pa.StructArra
     size = np.sqrt((decoded * decoded).sum(axis=1))
     size[size == 0] = 1
     decoded /= size[:, None]
-    along = (unit * decoded).sum(axis=1)
+    along = np.clip((unit * decoded).sum(axis=1), -1, 1)
     across = np.sqrt(((unit - along[:, None] * decoded) ** 2).sum(axis=1))
     return pa.StructArray.from_arrays([pa.array(length)] + [pa.array(a.astype(np.float32)) for a in (size, along, across)], ["length", "decoded", "along", "across"])
 
@@ -149,7 +149,7 @@ def _chunk(held: pa.Table, books: np.ndarray) -> dict[str, np.ndarray]:
     chunk = {name: held["_norm"].combine_chunks().field(name).to_numpy(zero_copy_only=False) for name in ("length", "decoded", "along", "across")}
     chunk["ids"] = held["_id"].to_numpy()
     chunk["vectors"] = _matrix(held["_vector"].combine_chunks(), dim, None)
-    codes = chunk["codes"] = np.frombuffer(b"".join(held["_codes"].to_pylist()), np.uint8).reshape(held.num_rows, len(books)).T.copy()
+    codes = chunk["codes"] = np.frombuffer(b"".join(held["_codes"].to_pylist()), np.uint8).reshape(held.num_rows, len(books)).T.astype(np.intp)
     words = sum(np.sqrt((book.astype(float) ** 2).sum(axis=1))[codes[m]] for m, book in enumerate(books))
     chunk["slack"] = ((dim + len(books) + 8) * 2.0**-24 * words / chunk["decoded"]).astype(np.float32)
     return chunk
@@ -160,14 +160,20 @@ def _from_codes(units: np.ndarray, sizes: np.ndarray, chunk: dict[str, np.ndarra
 
     With an angle t between query and decoded row, and e between row and decoded row, the cosine of query and row is at most cos(t - e).
     """
-    cosine = np.zeros((len(units), len(chunk["ids"])), np.float32)
-    for m, book in enumerate(books):
-        cosine += np.take(units @ book.T, chunk["codes"][m], axis=1)
+    tables = [book @ units.T for book in books]
+    sums = np.zeros((len(chunk["ids"]), len(units)), np.float32)
+    for at in range(0, len(sums), 4096):  # so that it stays in the cache
+        for table, codes in zip(tables, chunk["codes"][:, at : at + 4096], strict=True):
+            sums[at : at + 4096] += np.take(table, codes, axis=0, mode="clip")
+    cosine = np.ascontiguousarray(sums.T)
     cosine /= chunk["decoded"]
     guess = cosine * chunk["along"]
     cosine += chunk["slack"]
-    bound = np.sqrt(np.maximum((1 - cosine) * (1 + cosine), 0)) * chunk["across"] + cosine * chunk["along"]
-    bound[cosine >= chunk["along"]] = 1
+    np.clip(cosine, -1, chunk["along"], out=cosine)  # t is not below e: there the bound is 1
+    bound = np.sqrt((1 - cosine) * (1 + cosine))
+    bound *= chunk["across"]
+    cosine *= chunk["along"]
+    bound += cosine
     bound += np.float32(1e-6)
     size, length = sizes[:, None], chunk["length"]
     if not euclidean:
