@@ -68,7 +68,8 @@ def cover(capsules: DataFrame, keys: list[str], images: DataFrame | None = None,
     """keys, x, y: the pixels within ``r`` of the segment (x1, y1) to (x2, y2); with ``many`` once for every capsule, else once.
 
     A segment of no length is a disc. On each row only the part of the segment within ``r`` of the row
-    gives candidates; distances decide. ``images`` cuts off what lies outside.
+    (and a little more: of a segment that is level but for rounding, all or nothing is) gives candidates; distances
+    decide. ``images`` cuts off what lies outside.
     """
     own = ["x1", "y1", "x2", "y2", "r"]
     shapes = _in_picture(capsules.select(*dict.fromkeys([*keys, *own])), images)
@@ -76,7 +77,7 @@ def cover(capsules: DataFrame, keys: list[str], images: DataFrame | None = None,
     rows = shapes.withColumn("y", F.explode(_rows(F.ceil(low - 0.5 - SLACK), F.floor(high - 0.5 + SLACK), images)))
     dx, dy, cx, cy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("x") + 0.5, F.col("y") + 0.5
     inside = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    at = lambda k: F.when(dy == 0, F.lit(0.0 if k < 0 else 1.0)).otherwise(inside((cy + k * F.col("r") - F.col("y1")) / dy))
+    at = lambda k: F.when(dy == 0, F.lit(0.0 if k < 0 else 1.0)).otherwise(inside((cy + k * (F.col("r") + SLACK) - F.col("y1")) / dy))
     ends = [F.col("x1") + at(k) * dx for k in (-1, 1)]
     pixels = _across(rows, keys, F.ceil(F.least(*ends) - F.col("r") - 0.5 - SLACK), F.floor(F.greatest(*ends) + F.col("r") - 0.5 + SLACK), images, *[c for c in own if c not in keys])
     length = dx * dx + dy * dy

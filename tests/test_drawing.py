@@ -110,6 +110,14 @@ def test_brush_marks_equal_plain_strokes(spark, seed):
     assert set(got) == want and len(got) == len(want) > 300
 
 
+@pytest.mark.parametrize("rise", [0.0, 2e-15, -2e-15, 1e-9, -1e-9, 1e-3])
+def test_level_segments_that_touch_a_row(spark, rise):
+    """A row may be just ``r`` away from a segment that is level but for rounding."""
+    shapes = [(k, x1, y, x2, y + rise, r) for k, (x1, x2, y, r) in enumerate([(2.0, 9.0, 10.0, 0.5), (9.0, 2.0, 10.0, 0.5), (1.25, 11.5, 7.25, 1.75), (3.0, 12.0, 5.0, 2.5)])]
+    got = {tuple(r) for r in drawing.cover(spark.createDataFrame(shapes, "k int, x1 double, y1 double, x2 double, y2 double, r double"), ["k"]).select("k", "x", "y").collect()}
+    assert got == {(k, x, y) for k, *s, r in shapes for x in range(-4, 20) for y in range(-4, 20) if apart2(x + 0.5, y + 0.5, *s) <= r * r}
+
+
 def test_flattened_pieces_stay_near(spark):
     rng = np.random.default_rng(9)
     rows = [(i, *map(float, rng.uniform(0, 300, 6)), 1.0) for i in range(20)]
