@@ -171,6 +171,25 @@ def test_composite_equals_laying_on_one_by_one(spark, fold):
     assert paint.composite(table.limit(0), ["p"]).count() == 0
 
 
+def test_painted_layer_equals_its_sql_where_a_stroke_is_level(spark, tmp_path):
+    """The last stroke of either user has neighbouring points of one height, and a row that its line just touches."""
+    import duckdb
+
+    from chromatile.plans import drawn  # noqa: F401  registers its queries
+    from chromatile.plans.queries import QUERIES, SQL
+
+    level = [251505, 252977, 253093, 255576, 256705, 258475, 258904, 259980]
+    other = [553163, 553687, 555510, 555962, 557912, 560860, 560865, 560938]
+    # As a user's fifth stroke and sixth stroke, which have the sizes and tools of those.
+    own = [(0, e) for e in [*range(1, 65, 2), *level]] + [(1, e) for e in [*range(2, 82, 2), *other]]
+    spark.createDataFrame([(e, u) for u, e in own], "event_id long, user_id long").selectExpr("event_id", "timestamp_seconds(event_id) AS ts", "user_id", "'x' AS event_type", "0D AS value", "'' AS props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("brush_pixels", "painted_layer"):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(db.sql(SQL[name]).select(*[duckdb.ColumnExpression(c) for c in got.columns]).fetchall()), name
+
+
 def test_a_hot_pixel_is_folded_in_pieces(spark):
     n = 20_000  # one pixel under all marks
     marks = spark.range(n).select(F.lit(1).alias("p"), F.floor(F.col("id") / 40).alias("seq"), (F.col("id") % 40).alias("part"), F.when(F.col("id") % 7 == 3, "eraser").otherwise("brush").alias("tool"), (F.col("id") % 256).alias("r"), F.lit(10).alias("g"), (F.col("id") % 3 * 100).alias("b"), F.lit(0.1).alias("opacity"))
