@@ -214,3 +214,28 @@ def test_undo_redo_stream(spark, tmp_path):
     for r in spark.table("stacks").collect():
         last[r.project_id] = (r.done, r.redo)
     assert last == {r.project_id: (r.done, r.redo) for r in paint.undo_redo(log).collect()}
+
+
+def test_runs_and_regions_are_not_broadcast(spark):
+    """Files and kernels with a row a run or region look small to Spark, however many rows they hold."""
+    plain = regions.settle(labels(spark, square(12, 3, 5)).withColumn("region_id", F.col("label").cast("long")), "plain")
+    merged = regions.settle(plain.select("image_id", "region_id", F.col("region_id").alias("into")).distinct(), "into")
+    for made in (regions.components(plain.drop("region_id")), regions.compact(plain, merged)):
+        assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_superpixels_are_not_broadcast(spark, monkeypatch):
+    """In a conversion the tables with a row a superpixel meet in shuffle joins."""
+    plans = {}
+
+    def noted(df, name, settle=regions.settle):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return settle(df, name)
+
+    monkeypatch.setattr(regions, "settle", noted)
+    rng = np.random.default_rng(3)
+    rows = [("i", x, y, *map(int, rng.integers(0, 256, 3))) for x in range(10) for y in range(8)]
+    made = convert(spark.createDataFrame(rows, "image_id string, x int, y int, r int, g int, b int"), least_area=2)
+    assert made.labels.count() == 80
+    assert plans["superpixels"].count("SortMergeJoin") >= 2
+    assert "BroadcastHashJoin" not in plans["labels"] and plans["labels"].count("SortMergeJoin") == 2
