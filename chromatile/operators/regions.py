@@ -56,12 +56,13 @@ def components(pixels: DataFrame, column: str = "label") -> DataFrame:
     Rows are cut into runs of one label. Edges between runs are seen by their pixels, each of which
     looks at the one below: no join, and linear in the pixels however short the runs are. The edges of
     an image, whose size bounds them, meet in one kernel, which numbers the components. Runs may be as many as
-    pixels, whatever Spark takes the kernel's output for, so they are never broadcast.
+    pixels, whatever Spark takes the kernel's output for, so they are never broadcast. Pixels with their runs are
+    written down, as two steps read them: what makes the labels is done once.
     """
     row = Window.partitionBy("image_id", "y").orderBy("x")
     starts = pixels.withColumn("_new", F.coalesce(F.lag(column).over(row) != F.col(column), F.lit(True)))
     marked = starts.withColumn("_x0", F.last(F.when(F.col("_new"), F.col("x")), True).over(row.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    marked = marked.withColumn("_run", F.col("y").cast("long") * ROW + F.col("_x0"))
+    marked = settle(marked.withColumn("_run", F.col("y").cast("long") * ROW + F.col("_x0")).drop("_x0"), "runs")
     down = column_window()
     same = (F.lead("y").over(down) == F.col("y") + 1) & (F.lead(column).over(down) == F.col(column))
     edges = marked.select("image_id", F.col("_run").alias("v"), F.coalesce(F.when(same, F.lead("_run").over(down)), F.col("_run")).alias("w")).distinct()
@@ -74,7 +75,7 @@ def components(pixels: DataFrame, column: str = "label") -> DataFrame:
 
     kind = pixels.schema["image_id"].dataType.simpleString()
     named = edges.groupBy("image_id").applyInArrow(number, f"image_id {kind}, _run long, region_id long")
-    return marked.join(named.hint("merge"), ["image_id", "_run"]).drop("_run", "_x0")
+    return marked.join(named.hint("merge"), ["image_id", "_run"]).drop("_run")
 
 
 def stats(labelled: DataFrame, column: str = "label") -> DataFrame:

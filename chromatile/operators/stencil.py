@@ -67,8 +67,8 @@ def majority(df: DataFrame, column: str = "label", passes: int = 2, votes: int =
         rows = df.withColumns({"_w": F.lag(c).over(row_window()), "_e": F.lead(c).over(row_window())})
         trio = F.array("_w", c, "_e")
         rows = rows.withColumns({"_n": F.lag(trio).over(column_window()), "_s": F.lead(trio).over(column_window())})
-        ring = F.concat("_n", F.array("_w", "_e"), "_s")
-        inner = F.col("_w").isNotNull() & F.col("_e").isNotNull() & F.col("_n").isNotNull() & F.col("_s").isNotNull() & F.forall(ring, lambda v: v.isNotNull())
+        ring = [F.col("_n")[0], F.col("_n")[1], F.col("_n")[2], F.col("_w"), F.col("_e"), F.col("_s")[0], F.col("_s")[1], F.col("_s")[2]]
+        inner = _all([v.isNotNull() for v in ring])
         # A label with 6 of 8 votes is among any 3 of the neighbours.
         chosen = F.coalesce(*[F.when(_votes(ring, ring[k]) >= votes, ring[k]) for k in range(8 - votes + 1)])
         df = rows.withColumn(column, F.when(inner, F.coalesce(chosen, c)).otherwise(c)).drop("_w", "_e", "_n", "_s")
@@ -103,8 +103,9 @@ def forward_fill(df: DataFrame, column: str) -> DataFrame:
     return first.withColumn(column, F.last(F.coalesce(F.col(column), F.col("_first")), True).over(right)).drop("_first")
 
 
-def _votes(ring: Column, label: Column) -> Column:
-    return F.size(F.filter(ring, lambda v: v == label))
+def _votes(ring: list[Column], label: Column) -> Column:
+    """How many of ``ring`` are ``label``: a sum inside generated code, which a filter of an array is not."""
+    return sum((v == label).cast("int") for v in ring)
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -112,3 +113,10 @@ def _any(conditions: list[Column]) -> Column:
     for c in conditions[1:]:
         out = out | c
     return out
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
