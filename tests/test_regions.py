@@ -239,3 +239,25 @@ def test_superpixels_are_not_broadcast(spark, monkeypatch):
     assert made.labels.count() == 80
     assert plans["superpixels"].count("SortMergeJoin") >= 2
     assert "BroadcastHashJoin" not in plans["labels"] and plans["labels"].count("SortMergeJoin") == 2
+
+
+def test_labels_are_made_once_for_their_components(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    pixels = labels(spark, square(12, 3, 5)).repartition("image_id", "x")
+    found = regions.components(pixels.mapInArrow(counted, pixels.schema))
+    assert {(r.label, r.region_id) for r in found.collect()} == {(0, 0), (1, 1)} and made.value == 144
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = held()
+    table = regions.settle(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    assert table.count() == 100
+    regions.settle(spark.range(5000).repartition(3, "id"), "dealt")
+    assert held() <= before + 2  # of the count above, which nothing has written down
