@@ -43,19 +43,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/chromatile-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows_per_group: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     This cuts the lineage, and what is not repeatable in ``df`` (row numbers) is fixed from then on,
     also when executors are lost later. Nothing reads the shuffle files of the write any more, so
     they go when it ends; else they would stay until the driver collects its garbage.
+
+    Writers hold a row group in memory, and readers decode one at once. Parquet looks at its size only after 100
+    rows, so tables of rows of megabytes name ``rows_per_group``.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    groups = {} if rows_per_group is None else {"parquet.block.row.count.limit": str(rows_per_group)}
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**groups).parquet(path)
     finally:
         spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -23,13 +23,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, running_sum
+from ._common import freeing, materialise, running_sum
 
 # The bytes of a word (lower-case letters, digits, all bytes beyond ASCII), A-Z in lower case; the rest parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: Segments in a row group of an index that is written down: a segment is megabytes long.
+SEGMENTS_PER_GROUP = 4
+#: How many windows are looked up, and about how many candidates of theirs are held, at once.
+WINDOWS, CANDIDATES = 1 << 14, 1 << 18
+
+
 def words_of(text: bytes) -> list[bytes]:
     """The words of a text in UTF-8."""
     return text.translate(WORD_BYTES).split()
@@ -59,7 +65,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 at = end
 
     schema = f"ids array<{docs.schema[id_col].dataType.simpleString()}>, words array<int>, terms array<binary>, lengths array<int>, places binary"
-    return docs.select(id_col, F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("binary")).mapInArrow(freeing(run), schema)
 
 
 def _segment(ids: pa.Array, words: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
@@ -237,20 +243,31 @@ def _search(index: DataFrame, blocks: Iterable[Block | None], emit: Emit, schema
             for row, segment in Segment.rows(batches):
                 yield from emit(row, segment, sent.value)
 
-        found = index.mapInArrow(run, schema)
+        found = index.mapInArrow(freeing(run), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _occurrences(segment: Segment, block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """For each length of windows: item number, place in the item, place in the segment of every occurrence, and the length."""
+def _occurrences(segment: Segment, block: Block, windows: int = WINDOWS, candidates: int = CANDIDATES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each length of windows: item number, place in the item, place in the segment of every occurrence, and the length.
+
+    At most ``windows`` windows are looked up at once, and no more than have ``candidates`` candidates together (or one
+    window), so that memory does not grow with the items. What is found comes in as many parts.
+    """
     local = segment.find(block.vocabulary)[block.codes]
     absent = np.r_[0, np.cumsum(local < 0)]
     for length, (begin, item, at) in block.windows.items():
         here = np.flatnonzero(absent[begin + length] == absent[begin])  # the segment has all their terms
-        if len(here):
-            which, start = phrases(segment, local[begin[here][:, None] + np.arange(length)])
-            yield item[here][which], at[here][which], start, length
+        for first in range(0, len(here), windows):
+            some = here[first : first + windows]
+            terms = local[begin[some][:, None] + np.arange(length)]
+            starts = np.cumsum(segment.lengths[terms].min(axis=1))  # candidates up to each window
+            low = 0
+            while low < len(some):
+                high = max(low + 1, int(np.searchsorted(starts, (starts[low - 1] if low else 0) + candidates, "right")))
+                which, start = phrases(segment, terms[low:high])
+                yield item[some[low:high]][which], at[some[low:high]][which], start, length
+                low = high
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10, item_col: str = "item_id", text_col: str = "text", id_col: str = "doc_id", pieces_per_block: int = 4096) -> DataFrame:
@@ -316,7 +333,8 @@ def contamination(index: DataFrame, items: DataFrame, window: int = 10, item_col
     pieces = materialise(item_pieces(items, window, item_col, text_col), "pieces")
     n_blocks, blocks = _blocks(pieces, window, pieces_per_block)
     several = n_blocks > 1
-    held = materialise(index.withColumn("_segment", F.monotonically_increasing_id()), "index") if several else index
+    named = "_segment" in index.columns  # a name of each segment, written down with the index
+    held = materialise(index.withColumn("_segment", F.monotonically_increasing_id()), "index", SEGMENTS_PER_GROUP) if several and not named else index
 
     def emit(row: pa.RecordBatch, segment: Segment, block: Block | None) -> Iterator[pa.RecordBatch]:
         cover, pairs = np.zeros(segment.size + 1, np.int64), []
@@ -369,7 +387,7 @@ def digests(found: DataFrame) -> DataFrame:
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The counts of ``digests`` for all documents: index them, then look up all windows of the items."""
-    index = materialise(build_index(docs, id_col, text_col), "index")
+    index = materialise(build_index(docs, id_col, text_col).withColumn("_segment", F.monotonically_increasing_id()), "index", SEGMENTS_PER_GROUP)
     return digests(contamination(index, items, window, item_col, item_text_col, id_col))
 
 

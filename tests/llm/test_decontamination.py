@@ -104,3 +104,36 @@ def test_proximity_equals_all_runs(spark, seed):
     got = decontamination.proximity_matches(decontamination.build_index(d, segment_bytes=300), b, 7).collect()
     want = [(doc, item, 0, at, n) for doc, t in docs for item, p in items if words(p) for at, n in brute_near(words(t), words(p), 7)]
     assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_memory_of_a_look_up_does_not_grow_with_the_items():
+    """Windows whose rarest term is frequent: all candidates at once were 40 million here."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from chromatile.llm.decontamination import Block, Segment, _occurrences, _segment
+
+    words = [b"a", b"b"] * 10_000 + [b"a", b"a", b"b"]
+    segment = next(Segment.rows([_segment(pa.array([1, 2]), words, np.array([20_000, 3], np.int32))]))[1]
+    items = pa.table({"_item": pa.array(range(4000)), "_at": pa.array([0] * 4000, pa.int32()), "_words": [["a", "a", "b"] if k % 1000 == 7 else ["b", "b", "a"] for k in range(4000)]})
+    block = Block.of(items, 3)
+    tracemalloc.start()
+    found = [(int(i), int(at), int(start), length) for item, places, starts, length in _occurrences(segment, block) for i, at, start in zip(item, places, starts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(k, 0, 20_001, 3) for k in (7, 1007, 2007, 3007)]
+    assert peak < 60e6
+    for bounds in ((1, 1), (3, 25_000), (1 << 20, 1 << 40)):
+        assert [x[0].tolist() for x in _occurrences(segment, Block.of(items.slice(0, 10), 3), *bounds) if len(x[0])] == [[7]]
+
+
+def test_row_groups_of_an_index_are_small(spark, tmp_path):
+    """A writer holds a row group, and Parquet looks at its size after 100 rows only: of segments, hundreds of megabytes."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(k, f"w{k} x y z") for k in range(40)], "doc_id long, text string").coalesce(1)
+    index = decontamination.materialise(decontamination.build_index(docs, segment_bytes=8), "index", decontamination.SEGMENTS_PER_GROUP)
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in index.inputFiles()]
+    groups = [f.metadata.row_group(g).num_rows for f in files for g in range(f.num_row_groups)]
+    assert sum(groups) == index.count() > 8 and max(groups) <= decontamination.SEGMENTS_PER_GROUP
